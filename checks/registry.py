@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from netloom import vocab
 from netloom.config import EngineConfig
 from netloom.functions.scalars import stage_name
-from netloom.session import configure
+from netloom.session import configure, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,22 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table written once per application to the shared folder, then read by many queries.
+
+    Evaluation always works on a stored windows table; this also ends the lineage at durable files.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Comparable output: integers as bigint, doubles rounded to 6 places (and no -0.0)."""
     def fix(field: T.StructField) -> Column:
