@@ -1,6 +1,6 @@
 """Imports every query module; the registries fill as a side effect."""
 
-from checks import q_splits, q_states  # noqa: F401
+from checks import q_metrics, q_splits, q_states  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -70,27 +70,31 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float],
               buckets: int = BUCKETS) -> DataFrame:
-    """Exact linear-interpolation quantiles, one ``q`` array per group (NULLs ignored)."""
-    ranked = cumulate(value_counts(df, by, value), by, value, ["n"], buckets=buckets)
-    n = F.col("total_n")
-
-    def at(rank: Column) -> Column:
-        holds = (F.col("cum_n") > rank) & (F.col("cum_n") - F.col("n") <= rank)
-        return F.max(F.when(holds, F.col(value)))
-
-    names = []
-    aggs = []
-    for i, q in enumerate(qs):
-        spot = F.lit(float(q)) * (n - 1)
-        aggs += [at(F.floor(spot)).alias(f"_lo{i}"), at(F.ceil(spot)).alias(f"_hi{i}")]
-        names.append((i, q))
-    picked = ranked.groupBy(*by).agg(F.max("total_n").alias("n"), *aggs)
+    """Exact linear-interpolation quantiles, one ``q`` array per group (NULLs ignored).
 
-    def blend(i: int, q: float) -> Column:
-        spot = F.lit(float(q)) * (F.col("n") - 1)
-        return F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (spot - F.floor(spot))
-
-    return picked.select(*by, "n", F.array(*[blend(i, q) for i, q in names]).alias("q"))
+    Every distinct value knows the ranks it covers, so it emits only the requested quantiles it
+    takes part in: at most two short rows per quantile and group reach the last aggregate.
+    """
+    ranked = cumulate(value_counts(df, by, value), by, value, ["n"], buckets=buckets)
+    points = F.array(*[F.lit(float(q)) for q in qs])
+    start, end = F.col("cum_n") - F.col("n"), F.col("cum_n")
+
+    def covers(rank: Column) -> Column:
+        return (rank >= start) & (rank < end)
+
+    def spot(i: Column) -> Column:
+        return F.element_at(points, i) * (F.col("total_n") - 1)
+
+    wanted = F.filter(F.sequence(F.lit(1), F.lit(len(qs))),
+                      lambda i: covers(F.floor(spot(i))) | covers(F.ceil(spot(i))))
+    held = ranked.withColumn("_i", F.explode(wanted)).withColumn("_spot", spot(F.col("_i")))
+    low, high = F.floor("_spot"), F.ceil("_spot")
+    ends = held.groupBy(*by, "_i").agg(
+        F.max(F.when(covers(low), F.col(value))).alias("_lo"), F.max(F.when(covers(high), F.col(value))).alias("_hi"),
+        F.max("_spot").alias("_spot"), F.max("total_n").alias("n"))
+    blend = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_spot") - F.floor("_spot"))
+    packed = F.array_sort(F.collect_list(F.struct("_i", blend.alias("v"))))
+    return ends.groupBy(*by).agg(F.max("n").alias("n"), F.transform(packed, lambda x: x["v"]).alias("q"))
 
 
 def order_statistic(df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
