@@ -267,3 +267,5 @@ def next_state(spark, sf_dir):
     h = nm.mean_nll(both, "p_history", keys).withColumnRenamed("nll", "nll_history")
     p = nm.mean_nll(both, "p_persistence", keys).withColumnRenamed("nll", "nll_persistence")
     return h.join(p, keys)
+
+SURPRISE_PARTS = (*_scaler(FEW), _ZL, _EDGES, _BINNED)
