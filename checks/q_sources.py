@@ -391,11 +391,13 @@ def parameters(spark, sf_dir):
 @query("stix_bundle", f"select type, {big('count(*)', 'objects')} from (select 'attack-pattern' as type from part union all "
        "select 'course-of-action' from supplier union all select 'x-mitre-tactic' from nation) group by type")
 def stix_bundle(spark, sf_dir):
-    """Objects written as one bundle document per type and read back through the bundle reader."""
+    """Objects written as bundle documents of at most a thousand, read back through the bundle reader."""
     from checks.q_explain import stix_objects
     path = scratch_path(spark, "stix")
     objs = stix_objects(spark, sf_dir).filter("type <> 'relationship'")
-    objs.groupBy("type").agg(F.collect_list(F.struct(*objs.columns)).alias("objects")).select("objects").write.json(path)
+    chunk = F.floor(F.substring("id", 2, 20).cast("bigint") / 1000)
+    (objs.groupBy(F.col("type").alias("kind"), chunk.alias("chunk"))
+     .agg(F.collect_list(F.struct(*objs.columns)).alias("objects")).write.partitionBy("kind", "chunk").json(path))
     return st.read_stix(spark, path).groupBy("type").agg(F.count(F.lit(1)).alias("objects"))
 
 

@@ -65,7 +65,8 @@ def resolve_tokens(df: DataFrame, label: str = "label", scenario: str = "scenari
     def matches(rule: vocab.TokenRule) -> Column:
         hit = F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in rule.tokens]))
         for prefix in rule.prefixes:
-            hit = hit | F.exists(tokens, lambda t, p=prefix: t.rlike(f"^{p}[0-9]+$"))
+            numbered = F.lit(f"^{prefix}[0-9]+$")
+            hit = hit | F.exists(tokens, lambda t: F.regexp_like(t, numbered))  # noqa: B023 (used at once)
         return hit & F.col(scenario).isin(*rule.scenarios) if rule.scenarios else hit
 
     def result(rule: vocab.TokenRule) -> Column:
