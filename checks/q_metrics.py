@@ -137,8 +137,8 @@ _DRAWS = ("draws", f"""select b.boot, n.block, count(*) as m from (
     select boot, i, cast(floor(('0x' || substr(md5(boot || '|' || i || '|0'), 1, 8))::bigint / 4294967296.0::double
       * (select count(distinct block) from blocked)) as bigint) as pick
     from (select unnest(generate_series(0, {N_BOOT - 1})) as boot),
-         (select row_number() over (order by block) - 1 as i from (select distinct block from blocked))) b
-  join (select block, row_number() over (order by block) - 1 as i from (select distinct block from blocked)) n
+         (select row_number() over (order by substr(md5(block), 1, 2), block) - 1 as i from (select distinct block from blocked))) b
+  join (select block, row_number() over (order by substr(md5(block), 1, 2), block) - 1 as i from (select distinct block from blocked)) n
     on n.i = b.pick group by b.boot, n.block""")
 
 

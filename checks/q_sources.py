@@ -307,10 +307,34 @@ def export_to_flows(spark, sf_dir):
 
 @query("has_packet_level", with_parts("select capture, bool_or(ttl_mean is not null) as has_packet_level from flows group by capture"))
 def has_packet_level(spark, sf_dir):
-    f = flows(spark, sf_dir)
-    caps = f.select("capture").distinct()
-    flag = f.groupBy("capture").agg(F.max(F.col("ttl_mean").isNotNull() & ~F.isnan("ttl_mean")).alias("has_packet_level"))
-    return caps.join(flag, "capture")
+    return cf.has_packet_level(flows(spark, sf_dir), ["capture"])
+
+
+@query("conform_flows", with_parts(f"""
+select {big('flow_id', 'flow_id')}, src_ip, {big('dst_port', 'dst_port')}, {r6('duration', 'duration')}, case when flow_id % 9 = 0 then -1 else {r6('fwd_bytes', 'x')[:-5]} end as fwd_bytes,
+  {r6('coalesce(ttl_mean, -1)', 'ttl_mean')}, 'BENIGN' as label, 'Benign' as stage, false as is_attack from flows"""))
+def conform_flows(spark, sf_dir):
+    """Lenient casts and defaults over text columns without labels."""
+    f = flows(spark, sf_dir).drop(*vocab.LABEL_COLUMNS, "win_mean")
+    text = f.withColumns({"dst_port": F.col("dst_port").cast("string"), "fwd_bytes": F.when(
+        F.col("flow_id") % 9 == 0, "bad").otherwise(F.col("fwd_bytes").cast("string"))})
+    out = cf.conform(text, ["flow_id"])
+    return out.select("flow_id", "src_ip", "dst_port", "duration", F.coalesce("fwd_bytes", F.lit(-1.0)).alias("fwd_bytes"),
+                      F.coalesce("ttl_mean", F.lit(-1.0)).alias("ttl_mean"), "label", "stage", "is_attack")
+
+
+@query("capture_names", """
+select event_id, 'cic17-' || event_type || '_' || event_id % 7 as capture from events""")
+def capture_names(spark, sf_dir):
+    name = F.concat(F.upper("event_type"), F.lit(" "), (F.col("event_id") % 7).cast("string"), F.lit(".csv.gz"))
+    return events(spark, sf_dir).select("event_id", cf.capture_name("cicids2017", cf.file_stem(name)).alias("capture"))
+
+
+@query("sample_rows", """
+select event_id from events order by substr(md5(event_id || '|0'), 1, 8), event_id limit 500""")
+def sample_rows(spark, sf_dir):
+    from netloom.operators.ranking import sample_rows as sample
+    return sample(events(spark, sf_dir).select("event_id"), ["event_id"], 500)
 
 
 # ------------------------------------------------------------------ stored tables

@@ -128,9 +128,10 @@ def sustained_policy(scored: DataFrame, budgets: Sequence[float], k: int, split:
         F.coalesce(bin_index(F.col("_held"), F.col("_grid")), F.lit(0)).alias("_i"))
     counts = placed.groupBy("_i").agg(F.count(F.lit(1)).alias("_n"))
     levels = grid.select(F.posexplode("grid").alias("_c", "threshold"))
-    # At most candidates + 1 histogram rows against at most ``candidates`` levels.
-    above = levels.join(F.broadcast(counts), F.col("_i") > F.col("_c"), "left").groupBy("_c", "threshold").agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("_fp"))
+    # A row in histogram cell i alerts at every level below i. Levels number at most ``candidates``.
+    above = F.sum(F.coalesce("_n", F.lit(0))).over(W.orderBy(F.desc("_c")).rowsBetween(W.unboundedPreceding, 0))
+    above = levels.join(counts, F.col("_i") == F.col("_c") + 1, "left").select(
+        "_c", "threshold", above.alias("_fp"))
     total = counts.agg(F.sum("_n").alias("n")).scalar()
     rated = above.withColumn("fpr", F.col("_fp") / F.greatest(total, F.lit(1)))
     picks = [F.struct(F.lit(float(b)).alias("budget"),

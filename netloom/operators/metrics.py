@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.functions.scalars import clip
+from netloom.functions.scalars import clip, stable_uniform
 from netloom.operators.alerts import KEY, POS, run_length, sustained
-from netloom.operators.ranking import cumulate, quantiles
+from netloom.operators.ranking import cumulate
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -103,28 +103,38 @@ def time_blocks(df: DataFrame, block: int = 180) -> DataFrame:
     return df.withColumn("block", F.concat_ws("@", KEY, F.floor(F.col(POS) / block).cast("string")))
 
 
+def dense_index(df: DataFrame, key: str, out: str = "i") -> DataFrame:
+    """Number distinct keys from 0. Keys are spread over 256 hash groups, numbered inside each, and
+    shifted by the group totals (256 rows), so no task orders them all."""
+    group = F.substring(F.md5(key), 1, 2)
+    keyed = df.select(key).distinct().withColumn("_g", group)
+    inside = F.row_number().over(W.partitionBy("_g").orderBy(key)) - 1
+    sizes = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1))
+    offsets = F.broadcast(sizes.select("_g", F.coalesce(before, F.lit(0)).alias("_o")))
+    return keyed.withColumn("_r", inside).join(offsets, "_g").select(key, (F.col("_r") + F.col("_o")).alias(out))
+
+
 def block_multiplicities(blocks: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
     """How often each block is drawn in every resample: ``(boot, block, m)``.
 
-    A resample draws as many blocks as there are. Draw j of resample b picks by hash, so the
-    table is the same on every layout and retry. Blocks are half-hour spans of window rows, one
-    short row each; numbering them is the only ordered step.
+    A resample draws as many blocks as there are. Draw i of resample b picks a block number by
+    hash, so the table is the same on every layout and retry.
     """
-    numbered = blocks.select("block").distinct().withColumn(
-        "_i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("block")) - 1)
-    total = F.broadcast(numbered.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(0)))
-    draws = (numbered.withColumn("_one", F.lit(0)).join(total, "_one")
-             .withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))))
-    u = _uniform_of("boot", "_i", seed)
-    picked = draws.select("boot", F.floor(u * F.col("_n")).cast("int").alias("_i")).groupBy("boot", "_i").agg(
+    numbered = dense_index(blocks, "block", "_i")
+    total = blocks.agg(F.count_distinct("block").alias("n")).scalar()
+    draws = numbered.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    u = stable_uniform([F.col("boot"), F.col("_i")], seed)
+    picked = draws.select("boot", F.floor(u * total).alias("_i")).groupBy("boot", "_i").agg(
         F.count(F.lit(1)).alias("m"))
     return picked.join(numbered, "_i").select("boot", "block", "m")
 
 
-def _uniform_of(a: str, b: str, seed: int) -> Column:
-    from netloom.functions.scalars import stable_uniform
-
-    return stable_uniform([F.col(a), F.col(b)], seed)
+def bootstrap_mean(df: DataFrame, value: str, n_boot: int, seed: int = 0) -> DataFrame:
+    """Mean of a column in every block resample, from per-block sums."""
+    sums = df.groupBy("block").agg(F.sum(value).alias("s"), F.count(value).alias("c"))
+    drawn = sums.join(block_multiplicities(df, n_boot, seed), "block")
+    return drawn.groupBy("boot").agg((F.sum(F.col("s") * F.col("m")) / F.sum(F.col("c") * F.col("m"))).alias("mean"))
 
 
 def bootstrap_auprc(df: DataFrame, n_boot: int, seed: int = 0, score: str = "score", label: str = "y") -> DataFrame:
@@ -152,8 +162,10 @@ def paired_bootstrap(df: DataFrame, n_boot: int, score_a: str, score_b: str, lab
     a = bootstrap_auprc(df, n_boot, seed, score_a, label).select("boot", F.col("auprc").alias("a"))
     b = bootstrap_auprc(df, n_boot, seed, score_b, label).select("boot", F.col("auprc").alias("b"))
     diffs = a.join(b, "boot").withColumn("diff", F.col("a") - F.col("b"))
-    return interval(diffs.withColumn("better", (F.col("diff") > 0).cast("double")), "diff").join(
-        diffs.agg(F.avg((F.col("diff") > 0).cast("double")).alias("p_a_better")))
+    return diffs.agg(
+        F.count(F.lit(1)).alias("resamples"), F.percentile("diff", F.lit(0.025)).alias("low"),
+        F.percentile("diff", F.lit(0.975)).alias("high"),
+        F.avg((F.col("diff") > 0).cast("double")).alias("p_a_better"))
 
 
 def per_capture(df: DataFrame, score: str = "score", label: str = "y", min_class: int = 5) -> DataFrame:
@@ -174,5 +186,3 @@ def macro_f1(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return per_class.filter("t > 0").agg(
         F.avg(2.0 * F.col("h") / (F.col("t") + F.col("p"))).alias("macro_f1"), F.count(F.lit(1)).alias("classes"))
 
-
-__all__ = ["quantiles"] + [n for n in dir() if not n.startswith("_")]

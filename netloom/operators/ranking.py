@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netloom.functions.scalars import stable_uniform
+
 BUCKETS = 64
 _ONE = "_one"
 
@@ -102,3 +104,9 @@ def order_statistic(df: DataFrame, by: Sequence[str], value: str, ranks: dict[st
     ranked = cumulate(value_counts(df, by, value), by, value, ["n"])
     picks = [F.min(F.when(F.col("cum_n") >= r, F.col(value))).alias(name) for name, r in ranks.items()]
     return ranked.groupBy(*by).agg(F.max("total_n").alias("n"), *picks)
+
+
+def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows without replacement, chosen by key hash: each task keeps its own best ``n``."""
+    u = stable_uniform([F.col(k) for k in keys], seed)
+    return df.orderBy(u, *keys).limit(n)

@@ -28,7 +28,9 @@ def local_session(cpus: str = "*", memory: str = "8g", partitions: int = 8) -> S
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName("netloom")
                .config("spark.driver.memory", memory)
                .config("spark.ui.enabled", "false")
-               .config("spark.sql.shuffle.partitions", str(partitions)))
+               .config("spark.sql.shuffle.partitions", str(partitions))
+               # No call-site capture per expression: it costs more than small plans do.
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

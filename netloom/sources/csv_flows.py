@@ -96,11 +96,11 @@ def conform(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return df.select(*out, *extra)
 
 
-def has_packet_level(flows: DataFrame) -> DataFrame:
-    """One row: does any representative packet column carry a measurement?"""
-    seen = [F.col(c).isNotNull() & ~F.isnan(c) for c in ("ttl_mean", "win_mean", "frag_rate", "retrans_count")]
+def has_packet_level(flows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Does any representative packet column carry a measurement (per group)?"""
+    seen = [F.coalesce(~F.isnan(c), F.lit(False)) & F.col(c).isNotNull() for c in ("ttl_mean", "win_mean", "frag_rate", "retrans_count")]
     any_seen = seen[0] | seen[1] | seen[2] | seen[3]
-    return flows.agg(F.coalesce(F.bool_or(any_seen), F.lit(False)).alias("has_packet_level"))
+    return flows.groupBy(*by).agg(F.coalesce(F.bool_or(any_seen), F.lit(False)).alias("has_packet_level"))
 
 
 def capture_name(dataset: str, stem: Column) -> Column:
