@@ -201,11 +201,11 @@ def read_flowmeter(spark, sf_dir):
 
 @query("read_stage_labelled", with_parts(f"""
 select case when is_attack then 'LateralMovement' else 'Benign' end as stage,
-  case when is_attack then 'APT-Lateral' else 'Benign' end as family, {big('count(*)', 'flows')}, {r6('sum(ts) / 1e6', 'ts_sum')}
+  case when is_attack then 'APT-Lateral' else 'Benign' end as family, {big('count(*)', 'flows')}, {r6('sum(ts) / 1e12', 'ts_sum')}
 from flows group by 1, 2"""))
 def read_stage_labelled(spark, sf_dir):
     df = cf.read_flows(spark, cf.list_files(spark, _flowmeter_csv(spark, sf_dir, True))[0].rsplit("/", 1)[0], "stage_labelled")
-    return df.groupBy("stage", "family").agg(F.count(F.lit(1)).alias("flows"), (F.sum("ts") / 1e6).alias("ts_sum"))
+    return df.groupBy("stage", "family").agg(F.count(F.lit(1)).alias("flows"), (F.sum("ts") / 1e12).alias("ts_sum"))
 
 
 @query("read_argus", with_parts(f"""

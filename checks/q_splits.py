@@ -141,7 +141,7 @@ def scaler_fit(spark, sf_dir):
     return nm.fit_scaler(nm.fit_rows(state_table(spark, sf_dir)), NAMES).select("feature", "center", "scale")
 
 
-_PIVOT = ", ".join(f"round(max(z) filter (feature = '{n}'), 6) + 0.0 as {n}" for n in FEW)
+_PIVOT = ", ".join(r6(f"max(z) filter (feature = '{n}')", n) for n in FEW)
 
 
 @query("scale_features", with_parts(f"select capture, {WIN}, {_PIVOT} from zlong group by capture, win",
@@ -177,8 +177,8 @@ def warm(spark, sf_dir):
     return nm.warmup_centers(state_table(spark, sf_dir, FEW), FEW)
 
 
-_WPIVOT = ", ".join(f"round(max(least(greatest((value - coalesce(own, center)) / scale, -10.0), 10.0))"
-                    f" filter (feature = '{n}'), 6) + 0.0 as {n}" for n in FEW)
+_WPIVOT = ", ".join(r6("max(least(greatest((value - coalesce(own, center)) / scale, -10.0), 10.0))"
+                       f" filter (feature = '{n}')", n) for n in FEW)
 
 
 @query("scale_warmup", with_parts(f"""

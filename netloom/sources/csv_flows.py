@@ -108,7 +108,9 @@ def capture_name(dataset: str, stem: Column) -> Column:
 
 
 def file_stem(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(name, r"\.gz$", ""), r"\.[^.]*$", "")
+    """File name without its extensions; Spark reports names URL-encoded."""
+    plain = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(F.regexp_replace(plain, r"\.gz$", ""), r"\.[^.]*$", "")
 
 
 def _finish(df: DataFrame, dataset: str, capture: Column, on_unmapped: str) -> DataFrame:
