@@ -137,7 +137,8 @@ def sustained_policy(scored: DataFrame, budgets: Sequence[float], k: int, split:
     picks = [F.struct(F.lit(float(b)).alias("budget"),
                       F.coalesce(F.min(F.when(F.col("fpr") <= b, F.col("threshold"))), F.max("threshold"))
                       .alias("threshold")) for b in budgets]
-    return rated.agg(F.array(*picks).alias("_p")).select(F.inline("_p"))
+    chosen = rated.agg(F.array(*picks).alias("_p")).select(F.inline("_p"))
+    return chosen.filter(F.col("threshold").isNotNull())
 
 
 def early_warning_threshold(scored: DataFrame, budget: float, score: str, quiet: str = "is_quiet",
