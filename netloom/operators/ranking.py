@@ -30,12 +30,17 @@ def _attach(df: DataFrame, small: DataFrame, keys: list[str], grouped: bool) ->
     return df.join(small if grouped else F.broadcast(small), keys)
 
 
-def bucketed(df: DataFrame, by: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``_bucket``: a non-decreasing function of ``value`` with even buckets per group."""
+def bucketed(df: DataFrame, by: Sequence[str], value: str, weights: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Add ``_bucket``: a non-decreasing function of ``value`` with even buckets per group.
+
+    The sketch looks at the weights too, so that it reads the same columns as the later passes and
+    Spark reuses one shuffle of the grouped values for all of them.
+    """
     grouped = bool(by)
     df, keys = _keyed(df, by)
     points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    borders = df.groupBy(*keys).agg(F.percentile_approx(value, points, F.lit(20 * buckets)).alias("_borders"))
+    weighted = F.when(F.greatest(*[F.col(w) for w in weights], F.lit(0)) > 0, F.col(value))
+    borders = df.groupBy(*keys).agg(F.percentile_approx(weighted, points, F.lit(20 * buckets)).alias("_borders"))
     borders = borders.withColumn("_borders", F.coalesce("_borders", F.array().cast("array<double>")))
     joined = _attach(df, borders, keys, grouped)
     return joined.withColumn("_bucket", F.size(F.filter("_borders", lambda b: b < F.col(value)))).drop("_borders")
@@ -48,7 +53,7 @@ def cumulate(df: DataFrame, by: Sequence[str], value: str, weights: Sequence[str
     ``df`` must hold one row per (group, value).
     """
     grouped = bool(by)
-    cut = bucketed(df, by, value, buckets)
+    cut = bucketed(df, by, value, weights, buckets)
     keys = list(by) if by else [_ONE]
     way = F.desc if descending else F.asc
     before = W.partitionBy(*keys).orderBy(way("_bucket")).rowsBetween(W.unboundedPreceding, -1)

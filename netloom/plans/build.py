@@ -45,11 +45,11 @@ def build_windows(flows: DataFrame, cfg: EngineConfig, packet_block: DataFrame |
     """One row per window of every session: features, masks, labels, episodes and targets."""
     keys = [*series, "window"]
     feats = window_features(assign_windows(flows, cfg), cfg, series)
-    win = label_windows(flows, cfg, series)
+    # The narrow label table is already partitioned by the series, so the mask joins it in place;
+    # joining it to the wide result would shuffle every feature by capture.
+    win = label_windows(flows, cfg, series).join(address_mask(flows, cfg, series), list(series), "left")
     labels = [x for x in win.columns if x not in keys]
     joined = win.join(feats, keys, "left")
     if packet_block is not None:
         joined = merge_packet_block(joined, packet_block, series)
-    full = clean_features(joined, [*keys, *labels])
-    # One row per capture: small, but left to the optimiser since captures grow with the data.
-    return full.join(address_mask(flows, cfg, series), list(series), "left")
+    return clean_features(joined, [*keys, *labels])

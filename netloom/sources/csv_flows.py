@@ -191,7 +191,7 @@ def argus_split(packets: Column, octets: Column, forward: Column, duration: Colu
     fwd_share = sc.clip(forward / F.greatest(octets, F.lit(1.0)), 0.0, 1.0)
     per = F.greatest(packets, F.lit(1.0))
     gap, size = duration / per, octets / per
-    # Halves round away from zero, as float rounding does in the reference data.
+    # Halves round away from zero, as for plain floats.
     return {
         "bwd_bytes": F.greatest(octets - forward, F.lit(0.0)),
         "fwd_packets": F.round(packets * fwd_share), "bwd_packets": F.round(packets * (1.0 - fwd_share)),
