@@ -147,7 +147,30 @@ def accuracy(spark, sf_dir):
     return tr.transition_accuracy(ready, tr.onset_counts(scored(spark, sf_dir), CFG.context), 1)
 
 
-@query("predictor_comparison")
+_CAND = ("cand", """select h.session_key, h.pos, h.stage_now, h.truth, m.s,
+  case when m.s = 0 or (h.stage_now > 0 and m.s = h.stage_now) then 0.0 else m.m end as w0,
+  case when m.s = 0 or (h.stage_now > 0 and m.s = h.stage_now) then 0.0 else o.n::double end as t0
+from anch h join stagemass m on m.session_key = h.session_key and m.pos = h.pos
+join onsetcounts o on o.z = h.stage_now and o.p = greatest(h.progress, h.stage_now) and o.s = m.s""")
+_NORM = ("norm", """select *, greatest(w0 / sum(w0) over a, 1e-6) as w, greatest(t0 / sum(t0) over a, 1e-6) as t
+from cand window a as (partition by session_key, pos)""")
+
+
+def _first(value: str) -> str:
+    return f"list(s order by {value} desc, s)[1]"
+
+
+_blends = ", ".join(_first(f"case when s = 0 then 0.0 else exp({w}::double * ln(w) + {1 - w}::double * ln(t)) end")
+                    + f" as b{int(100 * w)}" for w in (0.25, 0.5, 0.75))
+_BEST = ("best", f"""select truth, {_first('w0')} as wm, {_first('t0')} as tab, {_blends} from norm
+group by session_key, pos, truth""")
+
+
+@query("predictor_comparison", with_parts(f"""
+select {big('count(*)', 'n')}, {r6('avg((wm = truth)::int)', 'wm')}, {r6('avg((tab = truth)::int)', 'table_now')},
+  {r6('avg((tab = truth)::int)', 'markov_true')}, {r6('avg((b25 = truth)::int)', 'blend_25')},
+  {r6('avg((b50 = truth)::int)', 'blend_50')}, {r6('avg((b75 = truth)::int)', 'blend_75')}, {r6('1', 'current_stage_correct')}
+from best""", *_CHAIN, _BELIEF, _MASS, _STAGEMASS, _ONSETS, _ANCH, _CAND, _NORM, _BEST))
 def comparison(spark, sf_dir):
     df, forecast = forecast_table(spark, sf_dir)
     ready = tr.horizon_stage_mass(df, forecast, K)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.q_metrics import scored
-from checks.q_splits import _BINNED, _EDGES, _MASKED, _ZL, FEW, _scaler, binned
+from checks.q_splits import _BINNED, _EDGES, _MASKED, _ZL, FEW, _scaler, binned, masked_rows
 from checks.registry import CFG, big, flows, query, r6, stored
 from checks.sqltext import with_parts
 from netloom.plans import analyse as an
@@ -43,10 +43,26 @@ def next_state_report(spark, sf_dir):
     return out.select("k", "n", "nll_history", "nll_persistence", "gain")
 
 
-@query("next_state_interval")
+_GAIN = ("gain", """select session_key || '@' || cast(floor(pos / 20) as bigint) as block,
+  (-sum(ln(greatest(pp, 1e-4)) * mask) + sum(ln(greatest(ph, 1e-4)) * mask)) / greatest(sum(mask), 1) as g
+from nllrows group by session_key, pos""")
+_NUM = ("numbered", """select block, s, c, row_number() over (order by substr(md5(block), 1, 2), block) - 1 as i
+from (select block, sum(g) as s, count(*) as c from gain group by block)""")
+_MEANS = ("means", """select boot, sum(n.s) / sum(n.c) as m from (
+  select boot, cast(floor(('0x' || substr(md5(boot || '|' || i || '|0'), 1, 8))::bigint / 4294967296.0::double
+    * (select count(*) from numbered)) as bigint) as pick
+  from (select unnest(generate_series(0, 49)) as boot) b cross join numbered) d
+join numbered n on n.i = d.pick group by boot""")
+
+
+@query("next_state_interval", with_parts(f"""
+select {big('1', 'k')}, {big('(select count(*) from gain)', 'n')}, {r6('(select avg(g) from gain)', 'gain')},
+  {r6('quantile_cont(m, 0.025)', 'gain_low')}, {r6('quantile_cont(m, 0.975)', 'gain_high')} from means""",
+                                       *_scaler(FEW), _ZL, _EDGES, _BINNED, masked_rows(1), _GAIN, _NUM, _MEANS))
 def next_state_interval(spark, sf_dir):
     long = stored(spark, sf_dir, "binned6", lambda: binned(spark, sf_dir)[0])
-    return ev.next_state_report(long, (1,), CFG.context, n_boot=50, block=20)
+    return ev.next_state_report(long, (1,), CFG.context, n_boot=50, block=20).select(
+        "k", "n", "gain", "gain_low", "gain_high")
 
 
 @query("fixed_threshold_report", with_parts(f"""

@@ -239,19 +239,24 @@ def bin_of(spark, sf_dir):
     return binned(spark, sf_dir)[0].select(*KEYS, "feature", "bin", "n_bins")
 
 
-_MASKED = ("nllrows", """
+def masked_rows(k: int) -> tuple[str, str]:
+    """Bin probabilities of every window under persistence and under the eight windows up to k before."""
+    return ("nllrows", f"""
 select t.session_key, t.pos, t.feature, t.bin, t.n_bins,
   case when t.feature like 'ttl%' then t.m_packet else 1.0 end as mask,
   case when c.bin = t.bin then 0.9::double else 0.1::double / greatest(t.n_bins - 1, 1) end as pp,
   (h.n + 0.5::double) / (8.0::double + 0.5::double * t.n_bins) as ph
 from binned t
-join binned c on c.session_key = t.session_key and c.feature = t.feature and c.pos = t.pos - 3
+join binned c on c.session_key = t.session_key and c.feature = t.feature and c.pos = t.pos - {k}
 join (select t.session_key, t.feature, t.pos, count(a.pos) as n from binned t left join binned a
         on a.session_key = t.session_key and a.feature = t.feature and a.bin = t.bin
-        and a.pos between t.pos - 10 and t.pos - 3
+        and a.pos between t.pos - {k + 7} and t.pos - {k}
       group by t.session_key, t.feature, t.pos) h
   on h.session_key = t.session_key and h.feature = t.feature and h.pos = t.pos
-where t.pos - 3 >= 7""")
+where t.pos - {k} >= 7""")
+
+
+_MASKED = masked_rows(3)
 
 
 @query("next_state_nll", with_parts(f"""
