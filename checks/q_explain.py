@@ -180,10 +180,11 @@ def top_risk(spark, sf_dir):
 
 # ------------------------------------------------------------------ knowledge (derived from the order tables)
 _PREF = ", ".join(f"'{x}'" for x in vocab.COUNTERMEASURE_PREFERENCE)
-_MAP_TEXT = """select concat('T', cast(1030 + l_partkey % 400 as {S})) as technique,
+# Technique numbers skip 1046, so that it has no mapping and takes the curated fallback.
+_MAP_TEXT = """select concat('T', cast(1030 + l_partkey % 400 + case when l_partkey % 400 >= 16 then 1 else 0 end as {S})) as technique,
   concat('D3-', cast(l_suppkey % 60 as {S})) as raw_id,
   cast(l_suppkey % 60 as int) as k, min(l_orderkey * 10 + l_linenumber) as ord
-from {T} where l_partkey % 400 <> 16 group by 1, 2, 3"""
+from {T} group by 1, 2, 3"""
 _MAPPINGS = ("mappings", f"""select technique, case when k < 16 then [{_PREF}][k + 1] else raw_id end as id,
   ['Isolate', 'Detect', 'Evict', 'Harden', 'Model'][k % 5 + 1] as tactic, 'measure ' || k as name, ord
 from ({_MAP_TEXT.format(S='varchar', T='lineitem')})""")

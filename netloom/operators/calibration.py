@@ -27,13 +27,13 @@ def conformal_thresholds(df: DataFrame, budgets: Sequence[float], by: Sequence[s
                          label: str = "y") -> DataFrame:
     """Split-conformal threshold per budget, from the scores of negative rows: (by, budget, threshold).
 
-    One ranking pass serves every budget.
+    One ranking pass serves every budget. Without any negative row the threshold is 0.5.
     """
     ranks = {f"_t{i}": conformal_rank(F.col("total_n"), b) for i, b in enumerate(budgets)}
     picked = order_statistic(df.filter(~F.col(label)), by, score, ranks)
     cells = [F.struct(F.lit(float(b)).alias("budget"), F.coalesce(f"_t{i}", F.lit(0.5)).alias("threshold"))
              for i, b in enumerate(budgets)]
-    return picked.select(*by, F.col("n").alias("n_calibration"), F.inline(F.array(*cells)))
+    return picked.select(*by, F.coalesce("n", F.lit(0)).alias("n_calibration"), F.inline(F.array(*cells)))
 
 
 def achieved_rates(df: DataFrame, thresholds: DataFrame, by: Sequence[str] = (), score: str = "score",

@@ -62,9 +62,10 @@ def test_conformal_rank(scores):
     assert (neg >= row["threshold"]).mean() <= 0.03 + 0.02
 
 
-def test_no_negatives_gives_no_threshold(spark):
+def test_without_negatives_the_threshold_defaults(spark):
     df = spark.createDataFrame([(0.4, True)], "score double, y boolean")
-    assert ca.conformal_thresholds(df, (0.03,)).count() == 0
+    row = ca.conformal_thresholds(df, (0.03,)).first()
+    assert (row["threshold"], row["n_calibration"]) == (0.5, 0)
 
 
 def test_bootstrap_reweights_whole_blocks(scores):
