@@ -7,15 +7,20 @@ Rows of one key must arrive in time order across batches; inside a batch they ar
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from netloom.config import EngineConfig
 
+# Send the processors themselves to the workers, which need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _sorted(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     """All rows of one key in this batch. A key's batch is one time slice of one pair or channel."""
