@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.config import EngineConfig
 from netloom.functions.scalars import bin_index, logit, sigmoid
 from netloom.operators.alerts import KEY, POS, sustained_score
 from netloom.operators.blocked import with_halo
@@ -177,7 +176,3 @@ def hybrid_score(scored: DataFrame, first: str, second: str, split: str = "split
     cal = scored.filter((F.col(split) == "calibration") & F.col(valid))
     parts = [apply_platt(F.col(s), *fit_platt(cal, s, label)) for s in (first, second)]
     return scored.withColumn("hybrid", (parts[0] + parts[1]) / 2)
-
-
-def policy_config(cfg: EngineConfig) -> dict[str, float]:
-    return {"hysteresis": cfg.hysteresis, "primary": cfg.primary_fpr_budget, "early": cfg.early_warning_budget}

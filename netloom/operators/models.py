@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from netloom import vocab
 from netloom.operators.alerts import KEY, POS
 from netloom.operators.blocked import with_halo
-from netloom.operators.normalise import model_input
 
 
 def stack_history(win: DataFrame, column: str, depth: int, block: int, out: str = "x") -> DataFrame:
@@ -87,10 +86,6 @@ def nowcast(model, rows: DataFrame, out: str = "nowcast") -> DataFrame:
         "features", "rawPrediction", "probability", "prediction")
 
 
-def baseline_input(scaled: DataFrame, names: Sequence[str]) -> DataFrame:
-    return model_input(scaled, names, "x")
-
-
 # ------------------------------------------------------------------ ridge autoregression
 def ridge_autoregression(history: DataFrame, outputs: int, alpha: float = 1.0) -> dict[str, np.ndarray]:
     """Multi-output ridge from rows with ``x`` (inputs) and ``target`` (outputs), both arrays.

@@ -11,7 +11,7 @@ from netloom.config import EngineConfig
 from netloom.operators import calibration as ca
 from netloom.operators import metrics as mt
 from netloom.operators import normalise as nm
-from netloom.operators.alerts import sustained, two_level
+from netloom.operators.alerts import two_level
 from netloom.operators.ranking import quantiles
 
 
@@ -108,5 +108,3 @@ def next_state_report(binned: DataFrame, horizons: Sequence[int], context: int,
         out = report if out is None else out.unionByName(report)
     return out
 
-
-__all__ = ["evaluation_report", "fixed_threshold_report", "next_state_report", "sustained", "two_level_report"]
