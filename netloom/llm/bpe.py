@@ -20,7 +20,6 @@ between rows only); repeated rows are encoded alike; an empty table gives an emp
 from __future__ import annotations
 
 import base64
-import functools
 import heapq
 import unicodedata
 
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netloom.llm.common import fresh, pieces, ship, sources_path
+from netloom.llm.common import kept, pieces, ship, sources_path
 
 ship(__name__)
 
@@ -74,8 +73,7 @@ def _step(state: int, kind: int) -> tuple[int, int]:
     return start, late | HERE | (BEFORE if state == RUN_BLANK else 0)
 
 
-@functools.lru_cache(1)
-def automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(function of each class, product table, next state by function and state, boundaries by state and class)."""
     of_class = [tuple(_step(s, c)[0] for s in range(12)) for c in range(11)]
     number = {f: i for i, f in enumerate(dict.fromkeys(of_class))}
@@ -93,8 +91,7 @@ def automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             np.array([[_step(s, c)[1] for c in range(11)] for s in range(12)], np.uint8))
 
 
-@functools.lru_cache(1)
-def classes() -> np.ndarray:
+def _classes() -> np.ndarray:
     """Class of every code point, from its general category and the blanks of the pattern."""
     kinds = {"L": LETTER, "N": NUMBER}
     out = np.array([kinds.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)], np.uint8)
@@ -105,6 +102,10 @@ def classes() -> np.ndarray:
     return out
 
 
+def automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return kept("bpe automaton", _automaton)
+
+
 def scan(kinds: np.ndarray) -> np.ndarray:
     """State before every character."""
     of_class, product, go, _ = automaton()
@@ -126,7 +127,7 @@ def scan(kinds: np.ndarray) -> np.ndarray:
 
 def boundaries(points: np.ndarray) -> np.ndarray:
     """Where tokens start, for code points in which every text ends with the value 0x110000."""
-    kinds = np.where(points == 0x110000, END, classes()[np.minimum(points, 0x10FFFF)]).astype(np.uint8)
+    kinds = np.where(points == 0x110000, END, kept("bpe classes", _classes)[np.minimum(points, 0x10FFFF)]).astype(np.uint8)
     found = automaton()[3][scan(kinds), kinds]
     starts = (found & HERE) > 0
     starts[:-1] |= (found[1:] & BEFORE) > 0
@@ -186,24 +187,31 @@ class Vocabulary:
                     heapq.heappush(heap, (found, j, end[after[j]]))
         return [x for x in ids if x is not None]
 
-    def merge(self, slices: list[bytes]) -> list[np.ndarray]:
-        """ids of every slice."""
-        out: list = [None] * len(slices)
-        todo = []
-        for i, data in enumerate(slices):
-            if (r := self.ranks.get(data)) is not None:
-                out[i] = [r]
-            elif len(data) > LONG:
-                out[i] = self.heap_merge(data)
-            else:
-                todo.append(i)
-        for start in range(0, len(todo), 1 << 16):
-            part = todo[start:start + (1 << 16)]
-            for i, ids in zip(part, self.merge_together([slices[i] for i in part])):
-                out[i] = ids
-        return out
-
-    def merge_together(self, slices: list[bytes]) -> list[np.ndarray]:
+    def merge(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all slices in turn, number of ids of each)."""
+        counts = np.ones(len(slices), np.int64)
+        direct = np.array([self.ranks.get(data, -1) for data in slices], np.int64)
+        todo = np.flatnonzero(direct < 0)
+        short = np.array([i for i in todo.tolist() if len(slices[i]) <= LONG], np.int64)
+        long = {i: self.heap_merge(slices[i]) for i in todo.tolist() if len(slices[i]) > LONG}
+        together = []
+        for start in range(0, len(short), 1 << 16):
+            part = short[start:start + (1 << 16)]
+            flat, counts[part] = self.merge_together([slices[i] for i in part.tolist()])
+            together.append(flat)
+        for i, ids in long.items():
+            counts[i] = len(ids)
+        at = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int64)
+        out[at[direct >= 0]] = direct[direct >= 0]
+        for i, ids in long.items():
+            out[at[i]:at[i] + len(ids)] = ids
+        if len(short):
+            n = counts[short]
+            out[np.repeat(at[short] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.concatenate(together)
+        return out, counts
+
+    def merge_together(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(x) for x in slices])
         ids = self.single[np.frombuffer(b"".join(slices), np.uint8)]
         owner = np.repeat(np.arange(len(slices)), lengths)
@@ -225,21 +233,19 @@ class Vocabulary:
             keep = ~closed
             keep[at + 1] = False
             ids, owner = ids[keep], owner[keep]
-        order = np.argsort(np.concatenate(done_owner), kind="stable")
-        counts = np.bincount(np.concatenate(done_owner), minlength=len(slices))
-        return np.split(np.concatenate(done_ids)[order], np.cumsum(counts)[:-1])
+        owners = np.concatenate(done_owner)
+        return np.concatenate(done_ids)[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(slices))
 
     def learn(self, slices: list[str]) -> None:
         """Add slices to the cache."""
-        found = self.merge([s.encode() for s in slices])
-        counts = np.array([len(x) for x in found])
-        total = int(counts.sum())
+        found, counts = self.merge([s.encode() for s in slices])
+        total = len(found)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while self.known + len(slices) > len(self.first):
             self.first = np.concatenate([self.first, np.empty_like(self.first)])
             self.count = np.concatenate([self.count, np.empty_like(self.count)])
-        self.ids[self.used:self.used + total] = np.concatenate(found)
+        self.ids[self.used:self.used + total] = found
         self.first[self.known:self.known + len(slices)] = self.used + np.cumsum(counts) - counts
         self.count[self.known:self.known + len(slices)] = counts
         self.cache.update(zip(slices, range(self.known, self.known + len(slices))))
@@ -282,15 +288,8 @@ class Vocabulary:
         return out.tobytes()
 
 
-@functools.lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
-def _opened(path: str):
-    # Found by reference inside the worker, so that its cache lives as long as the worker.
-    from netloom.llm import bpe
-    return bpe.vocabulary(path)
+    return kept(f"bpe {path}", lambda: Vocabulary(path))
 
 
 def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:

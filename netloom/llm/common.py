@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import os
 import sys
+import types
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.session import configure, materialise
 
-__all__ = ["SPACE", "configure", "digest", "fresh", "join_small", "let", "materialise", "pieces", "read", "same",
+__all__ = ["SPACE", "configure", "digest", "fresh", "join_small", "kept", "let", "materialise", "pieces", "read", "same",
            "ship", "sources_path", "words"]
 
 #: Blank characters of the contracts; words are what lies between them. ``bytes.split()`` uses the same set.
@@ -31,6 +33,14 @@ def ship(name: str) -> None:
 ship(__name__)
 
 
+def kept(key: str, make: Callable[[], object]) -> object:
+    """Build once per worker process. Functions arrive by value with each task, so module globals would not last."""
+    store = sys.modules.setdefault("netloom_worker_store", types.ModuleType("netloom_worker_store")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,7 +97,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4_000_00
         if batch.num_rows == 0:
             continue
         values = batch.column(column)
-        sizes = [0 if n is None else n for n in pa.compute.binary_length(values).to_pylist()]
+        sizes = [0 if n is None else n for n in pc.binary_length(values).to_pylist()]
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > limit:
