@@ -1,6 +1,6 @@
 """Imports every query module of the subpackage; the registries fill as a side effect."""
 
-from netloom.llm import q_bpe, q_lines, q_mixing, q_quality, q_topk  # noqa: F401
+from netloom.llm import q_bpe, q_lines, q_mixing, q_quality, q_secrets, q_topk  # noqa: F401
 from netloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
