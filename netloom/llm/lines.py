@@ -89,17 +89,23 @@ def filter_bits(lines: int) -> int:
     return int(min(MAX_BITS, max(MIN_BITS, 1 << (BITS_PER_LINE * max(lines, 1) - 1).bit_length())))
 
 
-def twice_seen(docs: DataFrame, bits: int) -> np.ndarray:
-    """The merged twice-seen filter as bytes; its size is ``bits`` / 8, whatever the table holds."""
+def line_hashes(data: bytes) -> np.ndarray:
+    """Hash of every distinct key of a text."""
+    return np.array([xxhash.xxh3_64_intdigest(k) for k in set(keys_of(data)) if k], np.uint64)
+
+
+def twice_seen(docs: DataFrame, bits: int, hashes=line_hashes) -> np.ndarray:
+    """The merged twice-seen filter of ``hashes`` of each text, as bytes; its size is ``bits`` / 8 for any table."""
     def fill(batches):
         held, n = [], 0
-        for batch in batches:
-            found = [xxhash.xxh3_64_intdigest(k) for data in texts_of(batch) for k in set(keys_of(data)) if k]
-            held.append(np.array(found, np.uint64))
-            n += len(found)
-            if n >= FLUSH:
-                yield from frame(np.concatenate(held))
-                held, n = [], 0
+        for whole in batches:
+            for batch in pieces([whole], "text"):
+                found = np.concatenate([np.empty(0, np.uint64), *map(hashes, texts_of(batch))])
+                held.append(found)
+                n += len(found)
+                if n >= FLUSH:
+                    yield from frame(np.concatenate(held))
+                    held, n = [], 0
         if n:
             yield from frame(np.concatenate(held))
 
