@@ -208,6 +208,33 @@ def read_stage_labelled(spark, sf_dir):
     return df.groupBy("stage", "family").agg(F.count(F.lit(1)).alias("flows"), (F.sum("ts") / 1e12).alias("ts_sum"))
 
 
+@query("read_folder", with_parts(f"""
+select f.src_ip, {big('f.src_port', 'src_port')}, f.dst_ip, {big('f.dst_port', 'dst_port')}, {big('f.protocol', 'protocol')}, {r6('ts', 'ts')},
+  {r6('round(duration * 1e6) / 1e6', 'duration')}, {r6('fwd_packets', 'fwd_packets')}, {r6('bwd_bytes', 'bwd_bytes')},
+  case when is_attack then 'LateralMovement' else 'Benign' end as stage
+from (select * from flows union all select * from flows where flow_id % 100 = 5) f"""))
+def read_folder(spark, sf_dir):
+    """Events as a folder of files with three column orders, two of them headerless or compressed, and repeated flows."""
+    f = flows(spark, sf_dir)
+    f = f.unionByName(f.filter("flow_id % 100 = 5"))
+    at = F.timestamp_micros(F.round(F.col("ts") * 1000000).cast("bigint"))
+    cells = {
+        "Flow ID": F.lit("x"), "Src IP": F.col("src_ip"), "Src Port": F.col("src_port"), "Dst IP": F.col("dst_ip"), "Dst Port": F.col("dst_port"),
+        "Protocol": F.col("protocol"), "Timestamp": F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        "Flow Duration": F.round(F.col("duration") * 1e6), "Total Fwd Packet": F.col("fwd_packets"),
+        "Total Length of Bwd Packet": F.col("bwd_bytes"), "Activity": F.lit("y"),
+        "Stage": F.when(F.col("is_attack"), "Lateral Movement").otherwise("Benign"),
+    }
+    root, names = scratch_path(spark, "day"), list(cells)
+    swapped = ["Dst IP", "Dst Port", "Flow ID", "Src IP", "Src Port", *names[5:], "Fwd Header Length"]
+    cells["Fwd Header Length"] = F.lit(3)
+    for part, order, header, codec in ((0, names, True, "none"), (1, names, False, "none"), (2, swapped, True, "gzip")):
+        (f.filter(F.col("flow_id") % 3 == part).select(*[cells[n].alias(n) for n in order])
+         .write.option("header", str(header).lower()).option("compression", codec).csv(f"{root}/{part}"))
+    got = cf.read_flows(spark, root)
+    return got.select("src_ip", "src_port", "dst_ip", "dst_port", "protocol", "ts", "duration", "fwd_packets", "bwd_bytes", "stage")
+
+
 @query("read_argus", with_parts(f"""
 select family, {big('dst_port', 'dst_port')}, {big('count(*)', 'flows')}, {r6('sum(fwd_bytes + bwd_bytes - fwd_bytes)', 'bwd_bytes')},
   {r6('sum(round((fwd_packets + bwd_packets) * least(greatest(fwd_bytes / greatest(fwd_bytes + bwd_bytes, 1), 0), 1)))', 'fwd_packets')},

@@ -1,14 +1,20 @@
 """Flow CSV dialects to the canonical schema.
 
-Cells are read as text and cast leniently, so one malformed cell never fails a file. Only the
-header line is looked at on the driver; Catalyst then prunes the unmapped columns.
+Cells are read as text and cast leniently, so one malformed cell never fails a file. The first
+lines of all files come to the driver from one job; files of one header are one scan, and Catalyst
+then prunes the unmapped columns.
 """
 
 from __future__ import annotations
 
+import csv
 import re
+import sys
 from collections.abc import Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +22,9 @@ from netloom import vocab
 from netloom.functions import scalars as sc
 from netloom.operators.labels import label_dimension, resolve_exact, resolve_tokens
 
+# Workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NUMERIC = (*vocab.FLOW_COLUMNS, "win_mean", "tot_packets", "tot_bytes")
 CAPTURE_PREFIX = {"cicids2017": "cic17", "cicids2018": "cic18", "ctu13": "ctu", "dapt2020": "dapt"}
 
@@ -32,11 +41,41 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> li
     reader = spark.read.format("text").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return sorted(reader.load(root).inputFiles())
-
-
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", "true").option("inferSchema", "false").csv(path).columns
+    return sorted(unquote(p) for p in reader.load(root).inputFiles())
+
+
+def _first_rows(batches):
+    """First line of every file that starts in this partition; a partition holds a part of one file, so reading stops."""
+    for batch in batches:
+        if batch.num_rows:
+            if batch.column("at")[0].as_py() == 0:
+                yield pa.RecordBatch.from_arrays([batch.column("path").slice(0, 1), batch.column("value").slice(0, 1)],
+                                                 names=["path", "value"])
+            return
+
+
+def headers_of(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """Cells of the first line of every file, compressed ones too, from one job; folders are read through."""
+    opening = "spark.sql.files.openCostInBytes"
+    before, limit = spark.conf.get(opening), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(opening, limit)  # no two files in one partition
+    try:
+        text = spark.read.option("recursiveFileLookup", "true").text(list(paths))
+        lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+        rows = lines.mapInArrow(_first_rows, "path string, value string").collect()
+    finally:
+        spark.conf.set(opening, before)
+    return {unquote(r.path): next(csv.reader([(r.value or "").lstrip("\ufeff")]), [""]) for r in sorted(rows)}
+
+
+def kind_of(path: str, names: Sequence[str]) -> str | None:
+    """Dialect of a file from its suffix and header; None if the first line is no header of a known dialect."""
+    folded = {fold(n) for n in names}
+    if ".binetflow" in path.lower() or {"srcaddr", "dstaddr"} <= folded:
+        return "argus"
+    if not any(vocab.FLOWMETER_HEADERS.get(n) == "time_text" for n in folded):
+        return None
+    return "stage_labelled" if "stage" in folded else "flowmeter"
 
 
 def _scan(spark: SparkSession, paths: Sequence[str], headers: dict[str, str], names: Sequence[str],
@@ -57,20 +96,22 @@ def _scan(spark: SparkSession, paths: Sequence[str], headers: dict[str, str], na
 
 
 def scan_projected(spark: SparkSession, paths: Sequence[str], headers: dict[str, str],
-                   sibling_header: bool = False) -> DataFrame:
+                   sibling_header: bool = False, found: dict[str, list[str]] | None = None) -> DataFrame:
     """Read files that may differ in header; with ``sibling_header`` a headerless file takes the
-    header of another file of equal width."""
+    header of another file of equal width. ``found``: headers by file, if they are known already."""
     by_header: dict[tuple[tuple[str, ...], bool], list[str]] = {}
-    found = {p: header_of(spark, p) for p in paths}
-    proper = [h for h in found.values() if fold(h[0]) == "flowid"]
+    found = headers_of(spark, paths) if found is None else found
+    known = {p: any(fold(n) in headers for n in names) for p, names in found.items()}
     for path, names in found.items():
-        if sibling_header and fold(names[0]) != "flowid":
-            match = next((h for h in proper if len(h) == len(names)), None)
-            if match is None:
-                raise FlowSchemaError(f"{path}: headerless and no sibling header found")
-            by_header.setdefault((tuple(match), False), []).append(path)
-        else:
+        if known[path]:
             by_header.setdefault((tuple(names), True), []).append(path)
+            continue
+        match = next((h for p, h in found.items() if known[p] and len(h) == len(names)), None)
+        if match is None or not sibling_header:
+            raise FlowSchemaError(f"{path}: its first line is no known header" + (" and no sibling's fits" if sibling_header else ""))
+        by_header.setdefault((tuple(match), False), []).append(path)
+    if not by_header:
+        raise FlowSchemaError(f"no files with rows in {list(paths)}")
     parts = [_scan(spark, files, headers, names, has) for (names, has), files in by_header.items()]
     out = parts[0]
     for part in parts[1:]:
@@ -130,9 +171,9 @@ def _finish(df: DataFrame, dataset: str, capture: Column, on_unmapped: str) -> D
 
 def read_flowmeter(spark: SparkSession, paths: Sequence[str], dataset: str = "cicids2017",
                    label_column: str = "label", sibling_header: bool = False,
-                   on_unmapped: str = "error") -> DataFrame:
+                   on_unmapped: str = "error", found: dict[str, list[str]] | None = None) -> DataFrame:
     """Bidirectional flow-meter exports; durations and inter-arrival times are microseconds."""
-    df = scan_projected(spark, paths, vocab.FLOWMETER_HEADERS, sibling_header)
+    df = scan_projected(spark, paths, vocab.FLOWMETER_HEADERS, sibling_header, found)
     if "time_text" not in df.columns:
         raise FlowSchemaError("no timestamp column")
     if label_column != "label":
@@ -156,18 +197,22 @@ def read_flowmeter(spark: SparkSession, paths: Sequence[str], dataset: str = "ci
     return _finish(df, dataset, capture_name(dataset, file_stem(F.col("file_name"))), on_unmapped)
 
 
-def read_stage_labelled(spark: SparkSession, paths: Sequence[str], on_unmapped: str = "error") -> DataFrame:
-    """Flow-meter files labelled by their Stage column; one file may lack its header."""
-    return read_flowmeter(spark, paths, "dapt2020", "stage_label", True, on_unmapped)
+def read_stage_labelled(spark: SparkSession, paths: Sequence[str], on_unmapped: str = "error",
+                        found: dict[str, list[str]] | None = None) -> DataFrame:
+    """Flow-meter files labelled by their Stage column; files may lack their header."""
+    return read_flowmeter(spark, paths, "dapt2020", "stage_label", True, on_unmapped, found)
 
 
 def read_argus(spark: SparkSession, paths: Sequence[str], scenario: int | None = None,
-               on_unmapped: str = "error") -> DataFrame:
-    """Bidirectional netflow with totals only: the backward side is the rest, flags come from State."""
+               on_unmapped: str = "error", found: dict[str, list[str]] | None = None) -> DataFrame:
+    """Bidirectional netflow with totals only: the backward side is the rest, flags come from State.
+
+    Without a given scenario a file's is that of its folder (``4/x``) or name (``s04``), or else 0.
+    """
     c = F.col
-    df = scan_projected(spark, paths, vocab.ARGUS_HEADERS)
-    number = F.lit(scenario) if scenario is not None else F.regexp_extract(
-        "source_file", r"/(\d+)/[^/]*$", 1).try_cast("int")
+    df = scan_projected(spark, paths, vocab.ARGUS_HEADERS, found=found)
+    named = [F.regexp_extract("source_file", p, 1).try_cast("int") for p in (r"/(\d+)/[^/]*$", r"s(\d{2})[^/]*$")]
+    number = F.lit(scenario) if scenario is not None else F.coalesce(*named, F.lit(0))
     zero = F.lit(0.0)
     df = df.withColumns({
         "scenario": number, "ts": sc.parse_time(c("time_text")),
@@ -201,27 +246,41 @@ def argus_split(packets: Column, octets: Column, forward: Column, duration: Colu
 
 
 def detect_format(spark: SparkSession, path: str) -> str:
-    """argus, stage_labelled or flowmeter, from the suffix and then the header."""
-    lower = path.lower()
-    if ".binetflow" in lower:
-        return "argus"
-    names = {fold(h) for h in header_of(spark, path)}
-    if {"srcaddr", "dstaddr"} <= names:
-        return "argus"
-    return "stage_labelled" if "stage" in names else "flowmeter"
+    """argus, stage_labelled or flowmeter, from the suffix and then the header, of a file."""
+    (name, header), *_ = headers_of(spark, [path]).items()
+    return kind_of(name, header) or "flowmeter"
 
 
 def read_flows(spark: SparkSession, path: str, fmt: str = "auto", dataset: str = "cicids2017",
                scenario: int | None = None, on_unmapped: str = "error") -> DataFrame:
-    """One entry point for every dialect."""
-    kind = detect_format(spark, path) if fmt == "auto" else fmt
-    if kind == "argus":
-        hint = re.search(r"s(\d{2})", path.rsplit("/", 1)[-1])
-        number = scenario if scenario is not None else int(hint.group(1)) if hint else None
-        return read_argus(spark, [path], number, on_unmapped)
-    if kind == "stage_labelled":
-        return read_stage_labelled(spark, [path], on_unmapped)
-    return read_flowmeter(spark, [path], dataset, on_unmapped=on_unmapped)
+    """One entry point for every dialect, for a file or a folder of files that may differ in dialect and header.
+
+    A file whose first line is no known header is read with the header of a stage-labelled file of
+    equal width; without one it fails the job.
+    """
+    found = headers_of(spark, [path])
+    if not found:
+        raise FlowSchemaError(f"{path}: no files with rows")
+    kinds = {p: kind_of(p, names) if fmt == "auto" else fmt for p, names in found.items()}
+    spare = "stage_labelled" if "stage_labelled" in kinds.values() else None
+    groups: dict[str, dict[str, list[str]]] = {}
+    for file, names in found.items():
+        kind = kinds[file] or spare
+        if kind is None:
+            raise FlowSchemaError(f"{file}: its first line is no known header")
+        groups.setdefault(kind, {})[file] = names
+    parts = []
+    for kind, files in groups.items():
+        if kind == "argus":
+            parts.append(read_argus(spark, list(files), scenario, on_unmapped, files))
+        elif kind == "stage_labelled":
+            parts.append(read_stage_labelled(spark, list(files), on_unmapped, files))
+        else:
+            parts.append(read_flowmeter(spark, list(files), dataset, on_unmapped=on_unmapped, found=files))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def slice_csv(spark: SparkSession, path: str, start: float, end: float, out: str, ts_column: str,

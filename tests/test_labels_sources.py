@@ -118,6 +118,36 @@ def test_argus_reader(spark, tmp_path):
     assert (b["family"], b["capture"]) == ("DDoS", "ctu-s04")
 
 
+def test_folder_of_different_headers(spark, tmp_path):
+    head = ["Flow ID,Src IP,Src Port,Dst IP,Dst Port,Protocol,Timestamp,Flow Duration,Label",
+            "Dst Port,Protocol,Timestamp,Flow Duration,Label,Src IP,Src Port,Dst IP"]
+    (tmp_path / "a.csv").write_text(head[0] + "\nx,10.0.0.1,1,10.0.0.2,2,6,01/02/2019 10:00:01,10,BENIGN\n" * 1
+                                    + "x,10.0.0.1,1,10.0.0.2,2,6,01/02/2019 10:00:01,10,BENIGN\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.csv").write_text(head[1] + "\n2,6,01/02/2019 10:00:02,10,BENIGN,10.0.0.1,1,10.0.0.2\n")
+    rows = cf.read_flows(spark, str(tmp_path)).orderBy("ts").collect()
+    assert [(r["src_ip"], r["src_port"], r["dst_ip"], r["dst_port"]) for r in rows] == [("10.0.0.1", 1, "10.0.0.2", 2)] * 3
+
+
+def test_unknown_header_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("one,two\n1,2\n")
+    with pytest.raises(cf.FlowSchemaError, match="no known header"):
+        cf.read_flows(spark, str(tmp_path))
+    with pytest.raises(cf.FlowSchemaError):
+        cf.read_flows(spark, str(tmp_path), "stage_labelled")
+
+
+def test_argus_without_scenario(spark, tmp_path):
+    folder = tmp_path / "some"
+    folder.mkdir()
+    for name in ("x.binetflow", "capture-s09.binetflow"):
+        (folder / name).write_text(
+            "StartTime,Dur,Proto,SrcAddr,Sport,Dir,DstAddr,Dport,State,sTos,dTos,TotPkts,TotBytes,SrcBytes,Label\n"
+            "2011/08/15 13:45:00.5,2.0,tcp,147.32.1.1,1,->,8.8.8.8,80,SRPA_SPA,0,0,4,400,100,flow=From-Botnet-V50-TCP-Attempt\n")
+    rows = cf.read_flows(spark, str(folder)).orderBy("capture").collect()
+    assert [(r["capture"], r["family"]) for r in rows] == [("ctu-s00", "Botnet"), ("ctu-s09", "PortScan")]
+
+
 def test_missing_required_column(spark):
     with pytest.raises(cf.FlowSchemaError):
         cf.conform(spark.createDataFrame([(1.0,)], "ts double"))
