@@ -310,7 +310,7 @@ _hist = ", ".join(r6(f"count(*) filter (payload >= {_edges[i]} and payload < {_e
 
 @query("packet_statistics", with_parts(f"""
 select {big('flow_key', 'flow_key')}, {r6('avg(ttl)', 'ttl_mean')}, {r6('case when count(ttl) > 1 then var_pop(ttl) else 0 end', 'ttl_var')},
-  {r6('least(count(distinct ttl), 16)', 'ttl_unique')}, {r6('coalesce(avg(tcp_window), 0)', 'win_mean')},
+  {r6('count(distinct ttl)', 'ttl_unique')}, {r6('coalesce(avg(tcp_window), 0)', 'win_mean')},
   {r6('case when count(tcp_window) > 1 then stddev_pop(tcp_window) else 0 end', 'win_std')},
   {r6('count(*) filter (tcp_window = 0)', 'win_zero_count')}, {r6('avg(fragmented)', 'frag_rate')},
   {r6('count(tcp_seq) filter (payload > 0) - count(distinct tcp_seq) filter (payload > 0)', 'retrans_count')}, {_hist}

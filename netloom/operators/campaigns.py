@@ -120,19 +120,9 @@ def inject(flows: DataFrame, members: DataFrame, plan: DataFrame, cidrs: Sequenc
     return base.unionByName(moved.select(F.col("campaign").alias("capture"), *columns))
 
 
-def campaign_summary(plan: DataFrame) -> DataFrame:
-    per = plan.groupBy("campaign_split", "campaign").agg(F.count("stage").alias("stages"))
-    return per.groupBy("campaign_split").agg(
-        F.count(F.lit(1)).alias("campaigns"), F.avg("stages").alias("mean_stages"),
-        F.count_if(F.col("stages") == 0).alias("benign_only"))
-
 
 def campaign_windows(campaign_flows: DataFrame, cfg: EngineConfig, splits: DataFrame, build) -> DataFrame:
     """Windows of injected campaigns through the ordinary build job, tagged as synthetic."""
     win = build(campaign_flows, cfg)
     return win.join(splits.select(F.col("campaign").alias("capture"), "campaign_split").distinct(), "capture", "left") \
         .withColumn("synthetic", F.lit(True))
-
-
-def plan_stages(plan: DataFrame) -> DataFrame:
-    return plan.withColumn("stage_index", stage_index(F.col("stage")))

@@ -44,9 +44,6 @@ def group_contributions(contrib: DataFrame, anchor: Sequence[str] = ANCHOR) -> D
         F.sum("contribution").alias("contribution"))
 
 
-def logits(contrib: DataFrame, intercept: float, anchor: Sequence[str] = ANCHOR) -> DataFrame:
-    return contrib.groupBy(*anchor).agg((F.sum("contribution") + F.lit(intercept)).alias("logit"))
-
 
 def group_counterfactual(contrib: DataFrame, intercept: float, threshold: float, max_groups: int = 4,
                          anchor: Sequence[str] = ANCHOR) -> DataFrame:

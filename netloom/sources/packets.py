@@ -48,9 +48,11 @@ def decode_ip(packets: DataFrame, buf: str = "ip_packet") -> DataFrame:
     }).drop("_header")
 
 
-def packet_statistics(decoded: DataFrame, keys: Sequence[str] = ("flow_key",), max_ttls: int = 16) -> DataFrame:
+def packet_statistics(decoded: DataFrame, keys: Sequence[str] = ("flow_key",)) -> DataFrame:
     """Per-flow packet features from decoded packets.
 
+    Different TTLs are counted exactly: a TTL is one byte, so four longs have a bit for each.
+
     Repeated payload-carrying sequence numbers are counted on (flow, sequence) first, so a flow
     with a third of all packets is spread over its sequence numbers before the flow-level sum.
     """
@@ -67,15 +69,15 @@ def packet_statistics(decoded: DataFrame, keys: Sequence[str] = ("flow_key",), m
         F.sum("tcp_window").alias("_w"), F.sum(F.pow(F.col("tcp_window").cast("double"), F.lit(2.0))).alias("_w2"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in counters.items()])
     by_seq = cells.groupBy(*keys, "_seq").agg(
-        F.collect_set("ttl").alias("_ttls"),
+        *[F.coalesce(F.bit_or(F.when(F.shiftright("ttl", 6) == i, F.expr("shiftleft(1L, ttl & 63)"))), F.lit(0)).alias(f"_ttls{i}")
+          for i in range(4)],
         F.sum(F.when(F.col("ttl").isNotNull(), F.col("_n"))).alias("_tn"),
         F.sum(F.col("ttl") * F.col("_n")).alias("_t"),
         F.sum(F.col("ttl").cast("double") * F.col("ttl") * F.col("_n")).alias("_t2"),
         *[F.sum(n).alias(n) for n in ("_n", "_wn", "_w", "_w2", *counters)])
     repeats = F.when(F.col("_seq").isNotNull(), F.col("_n") - 1).otherwise(0)
     total = by_seq.groupBy(*keys).agg(
-        # An IP header has at most 256 different TTLs, which bounds the set.
-        F.size(F.array_distinct(F.flatten(F.collect_set("_ttls")))).alias("_kinds"),
+        sum((F.bit_count(F.bit_or(f"_ttls{i}")) for i in range(1, 4)), F.bit_count(F.bit_or("_ttls0"))).alias("_kinds"),
         F.sum(repeats).alias("retrans_count"),
         *[F.sum(n).alias(n) for n in ("_tn", "_t", "_t2", "_wn", "_w", "_w2", *counters)])
 
@@ -86,7 +88,7 @@ def packet_statistics(decoded: DataFrame, keys: Sequence[str] = ("flow_key",), m
     return total.select(
         *keys, F.coalesce(F.col("_t") / F.col("_tn"), F.lit(0.0)).alias("ttl_mean"),
         variance("_tn", "_t", "_t2").alias("ttl_var"),
-        F.least(F.col("_kinds"), F.lit(max_ttls)).cast("double").alias("ttl_unique"),
+        F.col("_kinds").cast("double").alias("ttl_unique"),
         F.coalesce(F.col("_w") / F.col("_wn"), F.lit(0.0)).alias("win_mean"),
         F.sqrt(variance("_wn", "_w", "_w2")).alias("win_std"),
         F.col("win_zero_count").cast("double").alias("win_zero_count"),
