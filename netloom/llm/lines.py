@@ -94,8 +94,8 @@ def line_hashes(data: bytes) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(k) for k in set(keys_of(data)) if k], np.uint64)
 
 
-def twice_seen(docs: DataFrame, bits: int, hashes=line_hashes) -> np.ndarray:
-    """The merged twice-seen filter of ``hashes`` of each text, as bytes; its size is ``bits`` / 8 for any table."""
+def twice_seen(docs: DataFrame, bits: int, hashes=line_hashes, kind: str = "twice") -> np.ndarray:
+    """The merged twice-seen (or ``once``-seen) filter of ``hashes`` of each text, as bytes: ``bits`` / 8 for any table."""
     def fill(batches):
         held, n = [], 0
         for whole in batches:
@@ -115,13 +115,13 @@ def twice_seen(docs: DataFrame, bits: int, hashes=line_hashes) -> np.ndarray:
             yield pa.RecordBatch.from_pandas(rows.iloc[start:start + 64], schema=schema, preserve_index=False)
 
     schema = pa.schema([("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary()), ("turn", pa.int32())])
-    kind = "part int, once binary, twice binary"
-    slices = (docs.select("text").mapInArrow(fill, kind + ", turn int")
-              .groupBy("part", "turn").applyInPandas(merged, kind).groupBy("part").applyInPandas(merged, kind))
+    row = "part int, once binary, twice binary"
+    slices = (docs.select("text").mapInArrow(fill, row + ", turn int")
+              .groupBy("part", "turn").applyInPandas(merged, row).groupBy("part").applyInPandas(merged, row))
     out = np.zeros(bits // 8, np.uint8)
-    for row in slices.select("part", "twice").toLocalIterator():
-        at = row.part * SLICE_BITS // 8
-        out[at:at + SLICE_BITS // 8] = unpack(bytes(row.twice))
+    for part, held in slices.select("part", kind).toLocalIterator():
+        at = part * SLICE_BITS // 8
+        out[at:at + SLICE_BITS // 8] = unpack(bytes(held))
     return out
 
 

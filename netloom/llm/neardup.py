@@ -7,12 +7,13 @@
 3. First round: every band key with several members links each member with the key's pivot (its smallest id). Pairs
    whose signatures cannot belong to similar sets are dropped, the others are confirmed on their full sets, and
    alternating large-star and small-star turns the links into components.
-4. Second round: only keys whose members are still in different components matter. Their members meet in blocks of at
-   most ``BLOCK``; a task compares two blocks by one matrix product and returns the links that join components, so no
+4. Second round: only keys whose members, the pivot left out, are still in different components matter, and of keys with
+   the same members one. The members of the largest component meet the others, and the others each other, in blocks of
+   about ``BLOCK``; a task compares two blocks by one matrix product and returns the links that join components, so no
    pairs are emitted. Nothing is capped: after this round every pair that shares a band key has been compared or lies in
    one component already.
 
-Sets of candidates alone are shuffled; pairs, bands and links are narrow. Joins whose keys can be hot (a pivot, a band
+Texts are not shuffled, and only sets of candidates are; pairs, bands and links are narrow. Joins whose keys can be hot (a pivot, a band
 key, the centre of a star) are plain sort-merge joins of stored tables, which adaptive execution splits.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; texts with fewer words than a
@@ -35,11 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.llm.common import kept, materialise, pieces, ship
+from netloom.llm.lines import filter_bits, suspected, twice_seen
 
 ship(__name__)
 
 BANDS, ROWS = 40, 5
-BLOCK = 128
+BLOCK = 256
 SPLIT = 32  # hash parts of a pivot's members
 #: Signatures of 200 minima: a pair at 0.8 agrees on fewer than 60 % of them with probability below 1e-10.
 LEAST_AGREEMENT = 0.6
@@ -124,21 +126,31 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def id_hashes(data: bytes) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(data)], np.uint64)
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, items): the shingle set of each class in ``ids`` (doc_id, digest, id), from the whole texts."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("items", T.BinaryType())])
+    """(id, items): the shingle sets of the documents in stored ``ids`` (doc_id), from the whole texts.
+
+    Documents are chosen by a Bloom filter of bounded size, so no text is shuffled; the few others that pass do no harm.
+    """
+    bits = filter_bits(ids.count())
+    table = docs.sparkSession.sparkContext.broadcast(
+        twice_seen(ids.select(F.col("doc_id").cast("string").alias("text")), bits, id_hashes, "once"))
+    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("items", T.BinaryType())])
 
     def run(batches):
         for whole in batches:
             for batch in pieces([whole], "text"):
-                items = [np.unique(shingles(word_hashes(data), size)) for data in texts_of(batch)]
-                match = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() == d
-                         for x, d in zip(items, batch.column("digest").to_pylist())]
+                keys = [b"" if x is None else str(x).encode() for x in batch.column("doc_id").to_pylist()]
+                chosen = suspected(table.value, np.concatenate([id_hashes(k) for k in keys]))
+                items = [np.unique(shingles(word_hashes(data), size)) for data in texts_of(batch.filter(pa.array(chosen)))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").filter(pa.array(match)),
-                     pa.array([x.tobytes() for x, m in zip(items, match) if m], pa.binary())], names=["id", "items"])
+                    [pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in items], pa.binary()),
+                     pa.array([x.tobytes() for x in items], pa.binary())], names=["digest", "items"])
 
-    return docs.select("doc_id", "text").join(ids, "doc_id").select("id", "digest", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema).select(F.xxhash64("digest").alias("id"), "items")
 
 
 def star(edges: DataFrame, small: bool) -> DataFrame:
@@ -227,19 +239,40 @@ def joining(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def open_keys(members: DataFrame) -> DataFrame:
+    """Keys whose members (key, id, component) lie in several components: key, big (the component with most members),
+    n_big, n_other. Of keys with the same members one is enough."""
+    counts = members.groupBy("key", "component").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
+    keys = counts.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("big"), F.max("n").alias("n_big"),
+        F.sum("n").alias("n"), F.sum("h").alias("h"), F.count("*").alias("parts")).filter("parts > 1")
+    one = keys.groupBy("n", "h").agg(F.min(F.struct("key", "big", "n_big")).alias("k"))
+    return one.select("k.*", (F.col("n") - F.col("k.n_big")).alias("n_other"))
+
+
 def rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that the first round could not see, from (key, id, component) of keys with several components."""
-    sized = materialise(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "near-blocks")
-    placed = members.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = (placed.withColumn("with", other)
-             .select("key", "id", "component", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"),
-                     (F.col("block") > F.col("with")).cast("int").alias("side")))
+    """Links that the first round could not see, among the members (key, id, component) of open keys.
+
+    Members of the largest component meet only the others, in cells of two blocks; the others also meet each other.
+    """
+    keys = materialise(open_keys(members), "near-open")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    is_big = F.col("component") == F.col("big")
+    own = F.pmod(F.xxhash64("id", F.lit(3)), F.when(is_big, blocks("n_big")).otherwise(blocks("n_other"))).cast("int")
+    cell = lambda kind, a, b, side: F.struct(
+        F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), side.cast("int").alias("side"))
+    at = F.col("block")
+    with_others = F.transform(numbers("n_other"), lambda i: cell(0, F.least(at, i), F.greatest(at, i), at > i))
+    cells = F.when(is_big, F.transform(numbers("n_other"), lambda i: cell(1, i, at, F.lit(1)))).otherwise(
+        F.concat(with_others, F.transform(numbers("n_big"), lambda i: cell(1, at, i, F.lit(0)))))
+    placed = members.join(keys, "key").withColumn("block", own).select("key", "id", "component", F.inline(cells))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(joining(group, percent), columns=["u", "v"]).astype("int64")
 
-    return cells.join(sets, "id").groupBy("key", "a", "b").applyInPandas(run, "u bigint, v bigint")
+    return placed.join(sets, "id").groupBy("key", "kind", "a", "b").applyInPandas(run, "u bigint, v bigint")
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -261,8 +294,8 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     agree = _agreement(pairs.join(signature.select(F.col("id").alias("member"), F.col("signature").alias("a")), "member")
                        .join(signature.select(F.col("id").alias("pivot"), F.col("signature").alias("b")), "pivot"))
     likely = materialise(agree, "near-likely")
-    wanted = own.join(met.select("id").distinct(), "id", "left_semi").select("doc_id", "digest", "id")
-    sets = materialise(sets_of(docs, materialise(wanted, "near-wanted"), size).dropDuplicates(["id"]), "near-sets")
+    wanted = materialise(own.join(met.select("id").distinct(), "id", "left_semi").select("doc_id").distinct(), "near-wanted")
+    sets = materialise(sets_of(docs, wanted, size), "near-sets")
     # Classes that share a doc_id are one document.
     shared = (known.select("doc_id", F.xxhash64("digest").alias("id")).distinct())
     twin = (shared.groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("top")).filter("v < top")
@@ -273,11 +306,9 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     def labelled(ids: DataFrame, roots: DataFrame) -> DataFrame:
         return ids.join(roots, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    members = materialise(labelled(met.select("key", "id"), roots), "near-members")
-    mixed = (members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-             .filter("low < high").select("key"))
-    open_keys = materialise(mixed, "near-open")
-    more = materialise(rest(materialise(members.join(open_keys, "key"), "near-rest"), sets, percent), "near-more")
+    # A pivot has been compared with all members of its keys.
+    members = materialise(labelled(met.filter("id <> pivot").select("key", "id"), roots), "near-members")
+    more = materialise(rest(members, sets, percent), "near-more")
     if more.limit(1).count():
         roots = connect(roots.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
     named = materialise(labelled(own.select("digest", "id", "doc_id"), roots), "near-named")
