@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and offsets of every document, and whether they decode to its text."""
-    done = bpe.decode(bpe.encode(docs, ids="ids", offsets="offsets"))
+    done = bpe.round_trip(docs)
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return done.withColumns({"n_tokens": F.size("ids").cast("bigint"), "decodes": whole}).drop("decoded", "text")
 

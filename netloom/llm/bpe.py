@@ -35,7 +35,7 @@ ship(__name__)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 WIDTH = 64  # characters that one row of the scan takes in turn
-CACHED = 1 << 19  # slices that a worker's cache holds before it starts anew
+CACHED = 1 << 18  # slices that a worker's cache holds before it starts anew
 LONG = 64  # bytes from which a slice is merged with a heap
 
 # Classes of characters.
@@ -296,25 +296,47 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-def encode(docs: DataFrame, path: str | None = None, ids: str = "ids", offsets: str = "offsets") -> DataFrame:
-    """Add ``ids`` and ``offsets`` (byte at which each id's token starts) to documents (text)."""
-    path = path or sources_path(VOCABULARY)
-    source = docs.schema
-    schema = T.StructType([*source.fields, T.StructField(ids, T.ArrayType(T.IntegerType())),
-                           T.StructField(offsets, T.ArrayType(T.IntegerType()))])
-
+def _encoder(path: str):
     def run(batches):
+        """Append ids and offsets to batches with a text."""
         known = vocabulary(path)
         for whole in batches:
-            for batch in pieces([whole], "text", 2_000_000):
+            for batch in pieces([whole], "text", 1_000_000):
                 found, counts = known.encode([x or "" for x in batch.column("text").to_pylist()])
                 found = found.astype(np.int32)
                 upto = np.cumsum(known.lengths[found]) - known.lengths[found]
                 first = np.cumsum(counts) - counts
                 base = np.append(upto, 0)[np.minimum(first, len(upto))]
                 places = (upto - np.repeat(base, counts)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, lists(found, counts), lists(places, counts)], names=schema.names)
+                yield batch, lists(found, counts), lists(places, counts)
+    return run
+
+
+def _decoded(known: Vocabulary, ids: pa.Array, offsets: pa.Array) -> pa.Array:
+    out = []
+    for a, b in zip(ids, offsets):
+        if not a.is_valid or len(a) == 0:
+            out.append(b"")
+            continue
+        a, b = np.asarray(a.values), np.asarray(b.values).astype(np.int64)
+        out.append(known.decode(a, b - b[0], int(b[-1] - b[0] + known.lengths[a[-1]])))
+    return pa.array(out, pa.binary())
+
+
+def _with(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, *[T.StructField(k, v) for k, v in kinds.items()]])
+
+
+IDS = T.ArrayType(T.IntegerType())
+
+
+def encode(docs: DataFrame, path: str | None = None, ids: str = "ids", offsets: str = "offsets") -> DataFrame:
+    """Add ``ids`` and ``offsets`` (byte at which each id's token starts) to documents (text)."""
+    schema, encoder = _with(docs.schema, **{ids: IDS, offsets: IDS}), _encoder(path or sources_path(VOCABULARY))
+
+    def run(batches):
+        for batch, found, places in encoder(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, found, places], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -322,25 +344,32 @@ def encode(docs: DataFrame, path: str | None = None, ids: str = "ids", offsets:
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", offsets: str = "offsets",
            decoded: str = "decoded") -> DataFrame:
     """Add ``decoded``, the bytes that (ids, offsets) stand for; null ids give no bytes."""
-    path = path or sources_path(VOCABULARY)
-    schema = T.StructType([*encoded.schema.fields, T.StructField(decoded, T.BinaryType())])
+    path, schema = path or sources_path(VOCABULARY), _with(encoded.schema, **{decoded: T.BinaryType()})
 
     def run(batches):
         known = vocabulary(path)
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                out = []
-                for a, b in zip(batch.column(ids), batch.column(offsets)):
-                    if not a.is_valid or len(a) == 0:
-                        out.append(b"")
-                        continue
-                    a, b = np.asarray(a.values), np.asarray(b.values).astype(np.int64)
-                    out.append(known.decode(a, b - b[0], int(b[-1] - b[0] + known.lengths[a[-1]])))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
+            for start in range(0, whole.num_rows, 64):
+                batch = whole.slice(start, 64)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, _decoded(known, batch.column(ids), batch.column(offsets))], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str | None = None, ids: str = "ids", offsets: str = "offsets",
+               decoded: str = "decoded") -> DataFrame:
+    """encode, then decode, in one pass of one worker."""
+    path = path or sources_path(VOCABULARY)
+    schema, encoder = _with(docs.schema, **{ids: IDS, offsets: IDS, decoded: T.BinaryType()}), _encoder(path)
+
+    def run(batches):
+        for batch, found, places in encoder(batches):
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, found, places, _decoded(vocabulary(path), found, places)], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def ids_digest(ids: Column) -> Column:
     return F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256)

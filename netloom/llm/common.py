@@ -23,6 +23,7 @@ SPACE = r"[\x20\x09-\x0D]"
 #: A lookup table of at most this many rows is broadcast (a row is a key and a few numbers).
 BROADCAST_ROWS = 100_000
 SALTS = 64
+ARROW_ROWS = 1000
 
 
 def ship(name: str) -> None:
@@ -34,15 +35,25 @@ ship(__name__)
 
 
 def kept(key: str, make: Callable[[], object]) -> object:
-    """Build once per worker process. Functions arrive by value with each task, so module globals would not last."""
+    """Build once per worker process. Functions arrive by value with each task, so module globals would not last.
+
+    The first word of ``key`` is the operator; a worker that goes on to another one forgets what this one kept.
+    """
     store = sys.modules.setdefault("netloom_worker_store", types.ModuleType("netloom_worker_store")).__dict__
+    group = key.split()[0]
+    if store.get("netloom group") != group:
+        for old in [k for k in store if " " in k]:
+            del store[old]
+        store["netloom group"] = group
     if key not in store:
         store[key] = make()
     return store[key]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    # Texts are long: small batches bound the memory that a task and its worker hold at once.
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sources_path(name: str) -> str:

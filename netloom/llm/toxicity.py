@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ WINDOW_BYTES = 32
 LEVEL = 6
 LEAST, MOST = -2, 11  # distances that are counted apart
 MIN_DOCS, MIN_SIGMA, MIN_LIFT = 4, 5.0, 8.0
-CACHED = 1 << 20
+CACHED = 1 << 18
 FLUSH = 300_000
 PAD = b"\n" * 24
 
@@ -176,12 +176,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def calibrate(model: Model, rows: DataFrame, weight: dict) -> Model:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(astuple(model))
 
     def measure(batches):
+        known = Model(*shared.value)
         for whole in batches:
             for batch in pieces([whole], "text"):
-                x = shared.value.features(texts_of(batch))
+                x = known.features(texts_of(batch))
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
     got = sorted((tuple(r.x), r.toxic) for r in rows.mapInArrow(measure, "x array<double>, toxic int").collect())
@@ -210,13 +211,14 @@ def calibrate(model: Model, rows: DataFrame, weight: dict) -> Model:
 
 def add_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """Add the score of every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches):
+        known = Model(*shared.value)
         for whole in batches:
             for batch in pieces([whole], "text"):
-                score = shared.value.score(texts_of(batch))
+                score = known.score(texts_of(batch))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -58,7 +58,13 @@ def test_bpe_round_trip_and_offsets(awkward, reference):
         assert list(r.places) == ends[:-1]
 
 
+def test_bpe_round_trip_in_one_pass(awkward):
+    parts = bpe.decode(bpe.encode(awkward, ids="tokens"), ids="tokens")
+    assert sorted(map(str, bpe.round_trip(awkward, ids="tokens").collect())) == sorted(map(str, parts.collect()))
+
+
 def test_bpe_empty_table(no_docs):
+    assert bpe.round_trip(no_docs).count() == 0
     assert bpe.decode(bpe.encode(no_docs)).count() == 0
 
 
