@@ -279,11 +279,10 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     signed = materialise(sign(docs, size), "near-signed")
     known = signed.filter("doc_id is not null and digest is not null")
-    classes = materialise(known.groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.min_by(F.struct("signature", "bands"), "doc_id").alias("s")), "near-classes")
     # One doc_id can carry several sets; classes are told apart by a number of their own.
-    own = classes.select("digest", F.col("id").alias("doc_id"), F.xxhash64("digest").alias("id"), "s.signature", "s.bands")
-    own = materialise(own, "near-own")
+    own = materialise(known.groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), F.min_by(F.struct("signature", "bands"), "doc_id").alias("s"))
+        .select("digest", "doc_id", F.xxhash64("digest").alias("id"), "s.signature", "s.bands"), "near-classes")
     bands = own.select("id", F.explode("bands").alias("key"))
     pivots = materialise(bands.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
                          .select("key", "pivot"), "near-pivots")
