@@ -109,6 +109,33 @@ def test_chains_score_like_all_pairs():
             assert abs(got - max(best)) < 1e-9
 
 
+def test_chains_within_reach_like_all_pairs():
+    draw = np.random.default_rng(4)
+    for _ in range(200):
+        n = draw.integers(2, 40)
+        found = np.column_stack([draw.integers(0, 250, n), draw.integers(0, 250, n), draw.integers(5, 60, n)])
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        best = []
+        for x, y, size in found:
+            gains = [s - passages.GAP_COST * (x - a - m + y - b - m) for s, (a, b, m) in zip(best, found)
+                     if 0 <= x - a - m <= passages.MAX_GAP and 0 <= y - b - m <= passages.MAX_GAP]
+            best.append(size + max([0.0, *gains]))
+        chain = passages.chains(found)[0]
+        skipped = sum(q[0] - p[0] - p[2] + q[1] - p[1] - p[2] for p, q in itertools.pairwise(chain))
+        assert abs(sum(p[2] for p in chain) - passages.GAP_COST * skipped - max(best)) < 1e-9
+
+
+def test_fuzzy_passage_after_a_long_exact_one():
+    draw = np.random.default_rng(5)
+    a, b = draw.integers(0, 1 << 62, (2, 520)).astype(np.uint64)
+    b[:300] = a[:300]
+    for start in range(400, 500, 10):
+        b[start:start + 8] = a[start:start + 8]
+    found = sorted(passages.shared(a, b))
+    assert [p[:4] for p in found] == [(0, 300, 0, 300), (400, 498, 400, 498)]
+    assert found[0][4] == 1 and found[1][4] >= 0.8
+
+
 def test_passages_cut_and_awkward(awkward, no_docs, make_docs, prose):
     found = passages.passages(awkward)
     assert {(r.doc_id, r.partner_id) for r in found.collect()} == {(3, 4), (4, 3), (8, 9), (9, 8)}
