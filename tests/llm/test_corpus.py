@@ -136,6 +136,20 @@ def test_fuzzy_passage_after_a_long_exact_one():
     assert found[0][4] == 1 and found[1][4] >= 0.8
 
 
+def test_every_pair_of_two_documents_with_a_passage_is_proposed(make_docs):
+    draw = np.random.default_rng(6)
+    rows, has = [], set()
+    for i in range(150):
+        a = [f"p{i}w{j}" for j in range(60)]
+        b = [f"q{i}w{j}" if draw.random() < 0.2 else w for j, w in enumerate(a)]
+        texts = [" ".join(a), " ".join(f"r{i}w{j}" for j in range(70)) + " " + " ".join(b)]
+        if passages.shared(*(neardup.word_hashes(x.encode()) for x in texts)):
+            has |= {2 * i, 2 * i + 1}
+        rows += texts
+    assert len(has) > 100
+    assert {r.doc_id for r in passages.passages(make_docs(rows)).collect()} == has
+
+
 def test_passages_cut_and_awkward(awkward, no_docs, make_docs, prose):
     found = passages.passages(awkward)
     assert {(r.doc_id, r.partner_id) for r in found.collect()} == {(3, 4), (4, 3), (8, 9), (9, 8)}
