@@ -1,10 +1,11 @@
 """Secret scan: fixed forms, and random strings found by their token efficiency.
 
-Three fixed forms (assignments, access keys, hexadecimal runs) are the base. Beside them, every run of key characters of
-at least ``MIN_RUN`` characters is measured in tokens of a public vocabulary: words, paths and names need few tokens, random
-strings need one for every one or two characters. Runs with fewer than ``MAX_RATIO`` characters a token are reported,
-unless they overlap a base span, are known digests (hexadecimal of a digest's length), UUIDs or plain numbers, or are
-letters of one case only (long words).
+Three fixed forms (assignments, access keys, hexadecimal runs) are the base. Beside them, what they leave of every run of
+key characters is measured in tokens of a public vocabulary, from ``MIN_RUN`` characters on: words, paths and names need
+few tokens, random strings need one for every one or two characters. Runs with fewer than ``MAX_RATIO`` characters a token
+are reported. Of other runs, cut at / _ - =, those stretches of parts are reported that need the most tokens beyond that
+ratio (all maximal scoring segments, in linear time), so words beside a secret do not hide it. Known digests (hexadecimal
+of a digest's length), UUIDs, plain numbers and letters of one case only (long words) are not reported.
 
 Each text is scanned on its own, so the work spreads with the rows and nothing is shuffled.
 
@@ -29,7 +30,7 @@ from netloom.llm.common import kept, pieces, ship, sources_path
 ship(__name__)
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MIN_RUN = 20
+MIN_RUN = 16
 MAX_RATIO = 2.0
 KINDS = ("assign", "access", "hex", "random")
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
@@ -40,6 +41,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 #: Digest lengths in hexadecimal digits (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+FIXED = re.compile(rf"(?<![A-Za-z0-9+])(?:{UUID.pattern}|[0-9A-Fa-f]+)(?![A-Za-z0-9+])")
+PART = re.compile(r"[A-Za-z0-9+]+|[/_=-]+")
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
                                  T.StructField("end", T.IntegerType())]))
 
@@ -72,18 +75,62 @@ def encoding(path: str) -> tiktoken.Encoding:
     return kept(f"tiktoken {path}", make)
 
 
+def segments(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal scoring segments (Ruzzo and Tompa), in order."""
+    out, total = [], 0.0  # (first, after last, sum before, sum with, place of the last one with a smaller sum before)
+    for i, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        first, j = i, len(out) - 1
+        while True:
+            while j >= 0 and out[j][2] >= before:
+                j = out[j][4]
+            if j < 0 or out[j][3] >= total:
+                break
+            first, before = out[j][0], out[j][2]
+            last, j = j, out[j][4]
+            del out[last:]
+        out.append((first, i + 1, before, total, j))
+    return [x[:2] for x in out]
+
+
+def random_parts(run: str, tokens) -> list[tuple[int, int]]:
+    """Places of the random strings in a run of key characters: the whole, or stretches of its parts."""
+    if len(run) < MIN_RUN or known(run):
+        return []
+    if len(run) < MAX_RATIO * tokens(run):
+        return [(0, len(run))]
+    out, at = [], 0
+    fixed = [m.span() for m in FIXED.finditer(run) if "-" in m[0] or len(m[0]) in DIGESTS]
+    for a, b in [*fixed, (len(run), len(run))]:
+        parts = list(PART.finditer(run, at, a))
+        for i, j in segments([MAX_RATIO * tokens(m[0]) - len(m[0]) for m in parts]):
+            start, end = parts[i].start(), parts[j - 1].end()
+            core = run[start:end].lstrip("/_=-")
+            start, end = end - len(core), end - len(core) + len(core.rstrip("/_-"))
+            if end - start >= MIN_RUN and not known(run[start:end]):
+                out.append((start, end))
+        at = b
+    return out
+
+
 def spans(text: str, path: str) -> list[tuple[int, str, int]]:
     found = base_spans(text)
-    starts, reach = [], []  # base spans by start, and how far they and those before them reach
+    taken = []  # what base spans cover, joined
     for a, b in sorted((a, b) for a, _, b in found):
-        starts.append(a)
-        reach.append(max(b, reach[-1] if reach else 0))
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    ends = [b for _, b in taken]
     for m in RUN.finditer(text):
-        i = bisect.bisect_left(starts, m.end())
-        if known(m[0]) or i and reach[i - 1] > m.start():
-            continue
-        if len(m[0]) < MAX_RATIO * len(encoding(path).encode_ordinary(m[0])):
-            found.append((m.start(), "random", m.end()))
+        at, i = m.start(), bisect.bisect_right(ends, m.start())
+        while at < m.end():
+            a, b = taken[i] if i < len(taken) and taken[i][0] < m.end() else (m.end(), m.end())
+            found += [(at + x, "random", at + y) for x, y in random_parts(
+                text[at:a], lambda part: len(encoding(path).encode_ordinary(part)))]
+            at, i = b, i + 1
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1])))
 
 

@@ -365,6 +365,29 @@ def test_secret_spans(make_docs, awkward, no_docs):
     assert clean[5] == "key <random> end" and clean[9] is None and clean[0] == "<assign>\" x"
 
 
+def test_secrets_beside_words_and_base_spans():
+    path, key = public_tokenizers.path(secrets.VOCABULARY), "kJ8dQ2xZp0Lw9VbT4rYh7N3s"
+    heads = ["/account/verification/confirmation/", "client_credential_value=", "/d/0123456789abcdef/"]
+    for head in heads:
+        got = [x for x in secrets.spans(f"see {head}{key}/settings/overview end", path) if x[1] == "random"]
+        assert len(got) == 1 and got[0][0] <= 4 + len(head) and got[0][2] >= 4 + len(head) + len(key)
+    assert secrets.spans(f"see {key[:16]} end", path) == [(4, "random", 20)]
+    assert secrets.spans("/account/verification/confirmation/123E4567-E89B-12D3-A456-426614174000/settings/overview", path) == []
+    assert secrets.spans("/usr/share/documentation/internationalisation/readme_first", path) == []
+
+
+def test_segments_hold_the_best_sum():
+    draw = np.random.default_rng(7)
+    for _ in range(200):
+        scores = draw.integers(-6, 7, draw.integers(1, 25)).tolist()
+        got = secrets.segments(scores)
+        assert all(a[1] <= b[0] for a, b in itertools.pairwise(got))
+        best = max(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))
+        assert max([0, *(sum(scores[i:j]) for i, j in got)]) == max(0, best)
+        held = {i for a, b in got for i in range(a, b)}
+        assert held >= {i for i, x in enumerate(scores) if x > 0}
+
+
 # Near-duplicates
 
 def brute_components(rows, size, percent):
