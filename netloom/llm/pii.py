@@ -4,15 +4,16 @@ Base. Emails, addresses, card and phone numbers are found by regular expressions
 Places come from the text between the matches: pieces and matches alternate, and a running sum of their lengths (in two
 levels, so that it is linear) gives every match's code points.
 
-Disclosure. A protected entity c is one base value. A term t is a word within ``REACH`` code points of it. With n
-documents, p(c) and p(t) their document frequencies and p(c, t) that of meeting within reach, t reveals the share
+Disclosure. A protected entity c is one base value. A term t is a word that touches no base value. With n documents, p(c)
+and p(t) their document frequencies and p(c, t) that of documents that hold both, t reveals the share
 
     PMI(c; t) / IC(c) = log(p(c, t) / (p(c) p(t))) / -log p(c)
 
 of c's information; 1 means that whoever reads t knows c. Terms met with c in at least ``MIN_MEETINGS`` documents whose
-share reaches ``GENERALISE`` are protected where they stand near c: from ``REMOVE`` on they are removed, below they are
-generalised to <term>. All frequencies are exact counts over all documents; only counts per (entity, term) and per term
-are shuffled, after partial aggregation, and only terms that can qualify are counted at all.
+share reaches ``GENERALISE`` are protected wherever they stand, in all documents: from ``REMOVE`` on they are removed, below
+they are generalised to <term>; a term that reveals several entities goes by its largest share. All frequencies are exact
+counts over all documents. As p(c, t) is at most p(c), the share bounds the count of t by c^G n^(1 - G), G being
+``GENERALISE``: only such pairs are formed, so frequent words meet frequent entities alone, and this loses none.
 
 Everything is DataFrame code.
 
@@ -39,7 +40,8 @@ PATTERNS = {
 }
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD = r"[\p{L}\p{N}_'-]++"
-REACH = 80
+MASK = "\uE000"  # stands for the characters of base values: words that hold it touch one
+MASKED_WORD = rf"[\p{{L}}\p{{N}}_'{MASK}-]++"
 MIN_MEETINGS = 3
 GENERALISE, REMOVE = 0.8, 0.95
 CHUNK = 256
@@ -117,59 +119,70 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), plain)
 
 
-def near_terms(text: Column, spans: Column) -> Column:
-    """array<struct<entity, term, start, end>>: words within reach of a base span that touch none and are whole."""
-    def around(span: Column) -> Column:
-        left = F.greatest(span["start"] - REACH, F.lit(0))
-        before = F.substring(text, left + 1, span["start"] - left)
-        after = F.substring(text, span["end"] + 1, F.lit(REACH))
-        # A word that the edge of the reach cuts is left out.
-        first = F.filter(found(before, WORD), lambda w: (w["start"] > 0) | (left == 0))
-        last = F.filter(found(after, WORD), lambda w: (w["end"] < REACH) & (w["start"] > 0))
-        shift = lambda words, by: F.transform(words, lambda w: F.struct(
-            entity(span).alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + by).alias("start"), (w["end"] + by).alias("end")))
-        return F.concat(shift(first, left), shift(last, span["end"]))
+def masked(text: Column, spans: Column) -> Column:
+    """The text with ``MASK`` for every character of a base span, and nowhere else."""
+    plain = F.translate(text, MASK, " ")
 
-    words = F.flatten(F.transform(spans, around))
-    return F.filter(F.array_distinct(words), lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    def cover(plain: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        step = lambda s, x: let(F.greatest(s["at"], x["start"]), lambda a: let(F.greatest(s["at"], x["end"]), lambda b: F.struct(
+            b.alias("at"), F.concat(s["out"], F.substring(plain, s["at"] + 1, a - s["at"]), F.repeat(F.lit(MASK), b - a)).alias("out"))))
+        return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(plain, s["at"] + 1, F.length(plain))))
+
+    return F.when(F.size(spans) == 0, plain).otherwise(let(plain, cover))
+
+
+def terms_of(text: Column) -> Column:
+    """Distinct terms of a masked text."""
+    words = F.filter(F.regexp_extract_all(text, F.lit(MASKED_WORD), 0), lambda w: ~F.contains(w, F.lit(MASK)))
+    return F.array_distinct(F.transform(words, F.lower))
+
+
+def on_terms(left: DataFrame, terms: DataFrame) -> DataFrame:
+    """Join with stored ``terms`` on the term."""
+    return left.join(F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms, "term")
+
+
+def reveal(stored: DataFrame, spoken: DataFrame) -> DataFrame:
+    """Stored (term, share): terms that reveal an entity, with their largest share."""
+    n = stored.count()
+    named = stored.select("row", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
+    entities = named.groupBy("entity").agg(F.count("*").alias("c")).filter(F.col("c").between(MIN_MEETINGS, n - 1))
+    most = F.pow("c", F.lit(GENERALISE)) * F.lit(float(n) ** (1 - GENERALISE)) * (1 + 1e-9)
+    held = materialise(named.distinct().join(entities, "entity").withColumn("most", most), "pii-entities")
+    top = held.agg(F.max("most")).first()[0] or 0.0
+    terms = materialise(spoken.groupBy("term").agg(F.count("*").alias("t")).filter(F.col("t").between(MIN_MEETINGS, top)), "pii-terms")
+    # Equal rows share ``row``; here each of them brings its own terms, and so counts.
+    words = on_terms(stored.filter(F.size("spans") > 0).select("row", F.explode("words").alias("term")), terms)
+    share = F.log(F.col("ct") * F.lit(float(n)) / (F.col("c") * F.col("t"))) / F.log(F.lit(float(n)) / F.col("c"))
+    return materialise(words.join(held, "row").filter("t <= most").groupBy("entity", "term", "c", "t").agg(F.count("*").alias("ct"))
+                       .filter(F.col("ct") >= MIN_MEETINGS).withColumn("share", share).filter(F.col("share") >= GENERALISE)
+                       .groupBy("term").agg(F.max("share").alias("share")), "pii-revealing")
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, spans, terms) per document: its base spans, and the revealing terms near them with their share.
+    """(row, doc_id, spans, terms) per document: its base spans, and all places of revealing terms with their share.
 
     ``row`` names a row by its content; equal rows share it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rowed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row"))
+    none = F.array().cast("array<string>")
+    rowed = docs.select("doc_id", text.alias("text"), row_key(F.col("doc_id"), F.col("text")).alias("row"))
     based = rowed.select("row", "doc_id", "text", F.explode(F.array(base_spans(F.col("text")))).alias("spans"))
-    words = F.when(F.size("spans") > 0, near_terms(text, F.col("spans"))).otherwise(
-        F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>"))
+    words = F.when(F.size("spans") > 0, terms_of(masked(F.col("text"), F.col("spans")))).otherwise(none)
     stored = materialise(based.select("row", "doc_id", "spans", words.alias("words")), "pii-base")
 
-    n = stored.count()
-    holding = stored.filter(F.size("spans") > 0)
-    entities = (holding.select(F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
-                .groupBy("entity").agg(F.count("*").alias("c")))
-    pairs = F.array_distinct(F.transform("words", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))))
-    meetings = (holding.select(F.inline(pairs)).groupBy("entity", "term").agg(F.count("*").alias("ct"))
-                .filter(F.col("ct") >= MIN_MEETINGS))
-    likely = materialise(meetings.join(entities, "entity"), "pii-meetings")
-    terms = materialise(likely.select("term").distinct(), "pii-terms")
-    spoken = docs.select(F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower(text), F.lit(WORD), 0))).alias("term"))
-    few = terms.count() <= BROADCAST_ROWS
-    counted = (spoken.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("t")) if few else
-               spoken.groupBy("term").agg(F.count("*").alias("t")).join(terms, "term", "left_semi"))
-    share = F.log(F.col("ct") * F.lit(float(n)) / (F.col("c") * F.col("t"))) / F.log(F.lit(float(n)) / F.col("c"))
-    revealing = materialise(likely.join(counted, "term").filter(F.col("c") < n).withColumn("share", share)
-                            .filter(F.col("share") >= GENERALISE).select("entity", "term", "share"), "pii-revealing")
-    here = (holding.select("row", F.inline("words")).distinct().join(revealing, ["entity", "term"])
-            .groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "share"))).alias("near")))
-    joined = stored.select("row", "doc_id", "spans").join(here, "row", "left")
-    best = F.transform(F.array_distinct(F.transform("near", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end")))),
-                       lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.array_max(F.transform(
-                           F.filter("near", lambda x: x["start"] == w["start"]), lambda x: x["share"])).alias("share")))
-    return joined.select("row", "doc_id", "spans", F.coalesce(best, F.array().cast(
+    spoken = rowed.select("row", F.explode(F.array_distinct(F.transform(
+        F.regexp_extract_all("text", F.lit(WORD), 0), F.lower))).alias("term"))
+    revealing = reveal(stored, spoken)
+    hits = on_terms(spoken, revealing).groupBy("row").agg(F.collect_set(F.struct("term", "share")).alias("hits"))
+    there = (rowed.join(hits, "row").select("row", "hits", "text", F.explode(F.array(base_spans(F.col("text")))).alias("spans"))
+             .select("row", "hits", F.explode(F.array(masked(F.col("text"), F.col("spans")))).alias("text")))
+    placed = F.transform(found(F.col("text"), MASKED_WORD), lambda w: F.struct(
+        w["start"].alias("start"), w["end"].alias("end"), let(F.lower(w["value"]), lambda v: F.get(F.filter(
+            "hits", lambda h: h["term"] == v), F.lit(0))["share"]).alias("share")))
+    marks = there.select("row", F.filter(placed, lambda w: w["share"].isNotNull()).alias("terms")).dropDuplicates(["row"])
+    return stored.join(marks, "row", "left").select("row", "doc_id", "spans", F.coalesce("terms", F.array().cast(
         "array<struct<start:int,end:int,share:double>>")).alias("terms"))
 
 
@@ -195,7 +208,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Overlapping base spans go as one, under the first kind.
     """
     row, cuts = fresh(docs, "pii_row"), fresh(docs, "pii_cuts")
-    seen = find(docs).filter(F.size("spans") > 0).dropDuplicates(["row"])
+    seen = find(docs).filter((F.size("spans") > 0) | (F.size("terms") > 0)).dropDuplicates(["row"])
     marked = F.sort_array(F.concat(
         F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), F.concat(F.lit("<"), s["kind"], F.lit(">")).alias("put"))),
         F.transform("terms", lambda w: F.struct(w["start"].alias("a"), w["end"].alias("b"), F.when(w["share"] >= REMOVE, "").otherwise("<term>").alias("put")))))

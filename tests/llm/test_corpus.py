@@ -306,6 +306,32 @@ def test_pii_terms_that_reveal(make_docs, prose, no_docs, awkward):
 
 # Line dedup
 
+def brute_terms(texts, spans):
+    """Places of revealing terms per text, from all pairs of values and words of whole documents."""
+    lists = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[\w'-]+", t) if not any(
+        s["start"] < m.end() and m.start() < s["end"] for s in x)] for t, x in zip(texts, spans)]
+    c = collections.Counter(v for x in spans for v in {s["value"].lower() for s in x})
+    t = collections.Counter(w for x in texts for w in {m.lower() for m in re.findall(r"[\w'-]+", x)})
+    both = collections.Counter((v, w) for x, y in zip(spans, lists) for v in {s["value"].lower() for s in x} for w in {w[2] for w in y})
+    n = len(texts)
+    told = {w for (v, w), k in both.items() if k >= pii.MIN_MEETINGS and c[v] < n
+            and np.log(k * n / (c[v] * t[w])) / np.log(n / c[v]) >= pii.GENERALISE}
+    return [[(a, b) for a, b, w in x if w in told] for x in lists]
+
+
+def test_pii_terms_of_whole_documents(make_docs, prose):
+    def letter(i):
+        return f"Zebulon {prose(40, i, 150)} zebulon said {prose(40, i + 50, 150)} qz.quux@mail.example.org"
+    rows = [letter(i) for i in range(8)] + [letter(0)] + [prose(60, i + 900, 150) for i in range(80)]
+    rows += [f"{prose(30, 7, 150)} Zebulon left", f"é v10.0.0.1 {prose(20, 8, 150)}", "10.0.0.1 10.0.0.1a@b.co zeta", "10.0.0.1 zeta", "10.0.0.1 zeta \uE000x"]
+    found = {r.doc_id: r for r in pii.find(make_docs(rows)).collect()}
+    expected = brute_terms(rows, [found[i].spans for i in range(len(rows))])
+    assert [[(w["start"], w["end"]) for w in found[i].terms] for i in range(len(rows))] == expected
+    assert len(expected[0]) >= 2 and expected[89]
+    clean = {r.doc_id: r.text for r in pii.sanitise(make_docs(rows)).collect()}
+    assert not any("zebulon" in x.lower() for x in clean.values())
+
+
 def brute_lines(texts, least):
     keys = [[lower(x).strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")] for t in texts]
     often = collections.Counter(k for doc in keys for k in set(doc) if k)
