@@ -12,11 +12,12 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.session import configure, materialise
 
-__all__ = ["SPACE", "configure", "digest", "fresh", "join_small", "kept", "let", "materialise", "pieces", "read", "same",
-           "ship", "sources_path", "words"]
+__all__ = ["SPACE", "configure", "digest", "fresh", "join_small", "kept", "let", "materialise", "pieces", "read",
+           "release", "replaced", "same", "ship", "sources_path", "words"]
 
 #: Blank characters of the contracts; words are what lies between them. ``bytes.split()`` uses the same set.
 SPACE = r"[\x20\x09-\x0D]"
@@ -116,3 +117,17 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4_000_00
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+
+
+def release(stored: DataFrame) -> None:
+    """Delete the table behind what ``materialise`` returned, once a later table has taken its place."""
+    spark = stored.sparkSession
+    for folder in {path.rsplit("/", 1)[0] for path in stored.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def replaced(df: DataFrame, **kinds: T.DataType) -> tuple[DataFrame, T.StructType]:
+    """(df without columns of these names in any case, schema with them added), as ``withColumn`` would replace them."""
+    rest = df.drop(*kinds)
+    return rest, T.StructType([*rest.schema.fields, *[T.StructField(k, v) for k, v in kinds.items()]])
