@@ -6,6 +6,7 @@ import os
 import sys
 
 import pytest
+from builders import flow
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -37,12 +38,6 @@ def make_windows(spark):
     return build
 
 
-def flow(i, ts, src, dst, dport=443, dur=0.2, fwd=500.0, bwd=800.0, syn=1.0, ack=1.0, proto=6, sport=40000):
-    return {"flow_id": i, "ts": float(ts), "te": float(ts) + dur, "src_ip": src, "dst_ip": dst, "src_port": sport,
-            "dst_port": dport, "protocol": proto, "duration": dur, "fwd_bytes": fwd, "bwd_bytes": bwd,
-            "fwd_packets": 3.0, "bwd_packets": 2.0, "syn_count": syn, "ack_count": ack, "capture": "cap"}
-
-
 @pytest.fixture(scope="session")
 def make_flows(spark):
     """Canonical flows from partial dicts; unnamed measures are 0 and packet columns NULL."""

@@ -3,7 +3,7 @@
 from dataclasses import replace
 
 import pytest
-from conftest import flow
+from builders import flow
 
 from netloom import vocab
 from netloom.config import EngineConfig
