@@ -341,7 +341,7 @@ _FAMILY = """(select family from members m where m.capture = s.capture and m.sta
 
 
 def _snippets(spark, sf_dir):
-    return cp.snippets(flows(spark, sf_dir), _GAP, _MAX, 2, block_seconds=_GAP)
+    return cp.snippets(flows(spark, sf_dir), _GAP, _MAX, 2, block_rows=100)
 
 
 @query("snippets", with_parts(f"""

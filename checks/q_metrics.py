@@ -203,20 +203,44 @@ def coverage(spark, sf_dir):
                               seconds=CFG.window_seconds)
 
 
-@query("adaptive_threshold", with_parts(f"""
-select session_key, {big('pos', 'pos_in_session')}, {r6('coalesce(case when len(h) >= 20 then h[cast(least(greatest(ceil((len(h) + 1) * (1.0::double - 0.05::double)), 1), len(h)) as bigint)] end, f)', 'threshold')}
-from (select t.session_key, t.pos, t.f, list_sort(list(n.score) filter (n.score is not null)) as h
+_ADAPTIVE = ("adaptive", """
+select session_key, pos, y, score,
+  coalesce(case when len(h) >= 20 then h[cast(least(greatest(ceil((len(h) + 1) * (1.0::double - 0.05::double)), 1), len(h)) as bigint)] end, f) as threshold
+from (select t.session_key, t.pos, t.f, t.y, t.score, list_sort(list(n.score) filter (n.score is not null)) as h
   from (select *, quantile_cont(score, 0.95) over (partition by session_key) as f,
           coalesce(sum((not y)::int) over (partition by session_key order by pos rows between unbounded preceding and 1 preceding), 0) as seen
         from scored where valid_6) t
   left join (select session_key, score, row_number() over (partition by session_key order by pos) as i
              from scored where valid_6 and not y) n
     on n.session_key = t.session_key and n.i <= t.seen and n.i > t.seen - 50
-  group by t.session_key, t.pos, t.f)"""))
+  group by t.session_key, t.pos, t.f, t.y, t.score)""")
+
+
+def _adaptive(spark, sf_dir):
+    return ca.adaptive_thresholds(scored(spark, sf_dir).filter("valid"), 0.05, history=50, block=128)
+
+
+@query("adaptive_threshold", with_parts(
+    f"select session_key, {big('pos', 'pos_in_session')}, {r6('threshold', 'threshold')} from adaptive", _ADAPTIVE))
 def adaptive(spark, sf_dir):
-    rows = scored(spark, sf_dir).filter("valid")
-    return ca.adaptive_thresholds(rows, 0.05, history=50, block=128).select(
-        "session_key", "pos_in_session", "threshold")
+    return _adaptive(spark, sf_dir).select("session_key", "pos_in_session", "threshold")
+
+
+def _adaptive_summary(by: str) -> str:
+    return f"""select {by} {big('count(*) filter (not y)', 'n_calibration')}, {r6('quantile_cont(threshold, 0.5)', 'threshold')},
+  {r6('coalesce(avg((score >= threshold)::int) filter (not y), 0)', 'fpr')},
+  {r6('coalesce(avg((score >= threshold)::int) filter (y), 0)', 'recall')},
+  {r6('coalesce(avg((score >= threshold)::int) filter (not y), 0)', 'alerts_per_hour')} from adaptive"""
+
+
+@query("adaptive_summary", with_parts(_adaptive_summary("session_key,") + " group by session_key", _ADAPTIVE))
+def adaptive_summary(spark, sf_dir):
+    return ca.adaptive_summary(_adaptive(spark, sf_dir), ["session_key"], seconds=CFG.window_seconds)
+
+
+@query("adaptive_summary_overall", with_parts(_adaptive_summary(""), _ADAPTIVE))
+def adaptive_summary_overall(spark, sf_dir):
+    return ca.adaptive_summary(_adaptive(spark, sf_dir), seconds=CFG.window_seconds)
 
 
 @query("warmup_threshold", with_parts(f"""

@@ -50,6 +50,16 @@ def _run(spark, sf_dir, transform, stateful=False, closing=True):
     return run_available(spark, path, schema, transform, stateful)
 
 
+def _run_scored(spark, df, transform):
+    """Scored windows as a stream, ended by one row of a session that never closes."""
+    path, schema = _time_files(spark, df, "window")
+    end = df.orderBy(F.desc("window")).limit(1).withColumns({
+        "session_key": F.lit("end"), "window": F.col("window") + 40})
+    end.coalesce(1).write.mode("append").parquet(path)
+    time = F.timestamp_seconds(F.col("window") * int(CFG.window_seconds))
+    return run_available(spark, path, schema, lambda s: transform(s.withColumn("event_time", time).withWatermark("event_time", "1 day")), True)
+
+
 @query("stream_states", with_parts(f"""
 select capture, {WIN}, {big('count(*)', 'n_flows')}, {r6('sum(fwd_bytes + bwd_bytes)', 'bytes_total')}, {r6('avg(duration)', 'duration_mean')},
   {r6('avg((syn_count > 0 and ack_count <= 0)::int)', 'unanswered_syn_frac')}, {big('count(*) filter (is_attack)', 'n_attack_flows')},
@@ -91,13 +101,13 @@ def stream_duplicates(spark, sf_dir):
 
 @query("stream_new_pairs", with_parts(f"select capture, {WIN}, {r6('new_pair_frac', 'new_pair_frac')} from pairs"))
 def stream_new_pairs(spark, sf_dir):
-    out = _run(spark, sf_dir, lambda s: ss.new_pairs(s, CFG), stateful=True, closing=False)
+    out = _run(spark, sf_dir, lambda s: ss.new_pairs(sw.with_event_time(s, "1 day"), CFG), stateful=True)
     return out.groupBy(*KEYS).agg(F.avg(F.col("is_new").cast("double")).alias("new_pair_frac"))
 
 
 @query("stream_beacons", with_parts(f"select capture, {WIN}, {big('flow_id', 'flow_id')}, {r6('score', 'score')} from beaconflows where score > 0"))
 def stream_beacons(spark, sf_dir):
-    out = _run(spark, sf_dir, lambda s: ss.beacon_scores(s, CFG), stateful=True, closing=False)
+    out = _run(spark, sf_dir, lambda s: ss.beacon_scores(sw.with_event_time(s, "1 day"), CFG), stateful=True)
     return out.filter("score > 0")
 
 
@@ -105,8 +115,7 @@ def stream_beacons(spark, sf_dir):
 def stream_two_level(spark, sf_dir):
     df = scored(spark, sf_dir).select("session_key", "pos_in_session", "window", F.col("score").alias("risk"),
                                       F.col("score_b").alias("early"))
-    path, schema = _time_files(spark, df, "window")
-    return run_available(spark, path, schema, lambda s: ss.two_level(s.drop("window"), 0.7, 0.5, CFG.hysteresis), True)
+    return _run_scored(spark, df, lambda s: ss.two_level(s, CFG, 0.7, 0.5))
 
 
 @query("stream_adaptive_threshold", with_parts(f"""
@@ -120,8 +129,4 @@ from (select t.session_key, t.pos, list_sort(list(n.score) filter (n.score is no
   group by t.session_key, t.pos) t"""))
 def stream_adaptive(spark, sf_dir):
     df = scored(spark, sf_dir).filter("valid").select("session_key", "pos_in_session", "window", "score", "y")
-    path, schema = _time_files(spark, df, "window")
-    return run_available(spark, path, schema, lambda s: ss.adaptive_threshold(s.drop("window"), 0.05, 0.9, 50), True)
-
-
-
+    return _run_scored(spark, df, lambda s: ss.adaptive_threshold(s, CFG, 0.05, 0.9, 50))

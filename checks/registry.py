@@ -20,7 +20,7 @@ CFG = EngineConfig(
     window_seconds=3600.0, session_gap_seconds=7200.0, warmup_windows=12, context=8, horizons=(3, 6),
     primary_horizon=6, episode_merge_gap=3, onset_quiet=3, internal_cidrs=("192.168.1.0/24",),
     new_pair_lookback=8, beacon_gap_seconds=(2.0, 1e6), seq_min_flows=3,
-    channel_block_windows=96, session_block=128,
+    block_rows=500, session_block=128,
 )
 
 FLOW_TEXT = """

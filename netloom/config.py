@@ -34,10 +34,8 @@ class EngineConfig:
     beacon_min_idle: float = 1.0
     seq_min_flows: int = 8
 
-    # Time slice of one channel that a single task may hold (operators/blocked.py).
-    channel_block_windows: int = 360
-    # Pieces one window is cut into when flows are ordered inside it.
-    window_slices: int = 10
+    # Rows of one channel or source that a single task should hold (operators/blocked.py).
+    block_rows: int = 1_000_000
     # Position slice of one session that a single task may hold.
     session_block: int = 4096
 

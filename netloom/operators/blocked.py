@@ -3,8 +3,8 @@
 A single host, channel or session may hold a large share of all rows, so a plain window over it
 would sort that share in one task. Two exact forms cut a key into blocks:
 
-* ``look_back``: any ordering; rows deep inside a block are finished there, the few rows near a
-  block edge are finished in a second, small window over the whole key.
+* ``look_back``: any ordering; keys with many rows are cut at row ranks (``row_blocks``). Rows deep
+  inside a block are finished there, the few rows near a border in a small second window.
 * ``with_halo``: contiguous integer positions; rows near an edge are copied into the next block.
 """
 
@@ -17,41 +17,85 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+BLOCK_ROWS = 1_000_000
+#: All keys together are cut at no more borders than this, so the border table may be broadcast.
+MAX_BORDERS = 16_384
+#: Sampled rows per block. The share of a block of m sampled rows varies by about 1 / sqrt(m).
+POINTS = 64
+
+
+def _at_most(borders: Column, x: Column) -> Column:
+    """Number of sorted ``borders`` that do not exceed ``x``, by halving."""
+    state = F.struct(F.lit(0).alias("lo"), F.size(borders).alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.element_at(borders, F.least(middle + 1, F.size(borders))) <= x
+        return F.when(s["lo"] >= s["hi"], s).when(right, F.struct((middle + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
+            F.struct(s["lo"].alias("lo"), middle.alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(MAX_BORDERS.bit_length())), state, step, lambda s: s["lo"])
+
+
+def row_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = BLOCK_ROWS, out: str = "_block") -> DataFrame:
+    """Add a block number that does not decrease along ``order`` and holds about ``rows`` rows of a key.
+
+    Only keys with more rows than that are cut. Their borders are every ``POINTS``-th of the rows that a
+    hash of ``order`` picks, so they follow row ranks however many rows share a time, and are the same on
+    every layout and retry. ``order`` must end with a column that tells the rows of a key apart. Blocks grow
+    beyond ``rows`` where all keys together would need more than ``MAX_BORDERS`` of them: the border table,
+    of that many short rows at most, is all that is broadcast. ``_cut`` tells whether the key has borders.
+    """
+    held = F.xxhash64(*[F.col(k) for k in keys]).alias("_held")  # keys that share a hash share borders: still exact
+    spot = F.struct(*[F.col(c) for c in order])
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    size = F.greatest(F.lit(rows), F.ceil(total / MAX_BORDERS))
+    many = df.select(held).groupBy("_held").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size).select(
+        "_held", F.greatest(F.floor(size / POINTS), F.lit(1)).alias("_rate"))
+    picked = df.select(held, spot.alias("_spot")).join(F.broadcast(many), "_held").filter(
+        F.pmod(F.xxhash64("_spot", F.lit(1)), F.col("_rate")) == 0)
+    points = picked.groupBy("_held").agg(F.sort_array(F.collect_list("_spot")).alias("_points"))
+    borders = points.select("_held", F.filter("_points", lambda x, i: (i + 1) % POINTS == 0).alias("_borders"))
+    found = df.withColumn("_held", held).join(F.broadcast(borders), "_held", "left")
+    block = F.when(F.col("_borders").isNull(), F.lit(0)).otherwise(_at_most(F.col("_borders"), spot))
+    return found.withColumns({out: block, "_cut": F.col("_borders").isNotNull()}).drop("_held", "_borders")
+
 
 def look_back(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
     depth: int,
     values: Callable[[WindowSpec], dict[str, Column]],
+    rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``values(window)`` where each value looks at most ``depth`` rows back within ``keys``.
 
-    ``block`` must not decrease along ``order``. A row with at least ``depth`` rows before it in
-    its own block needs nothing else. The others, and the last ``depth`` rows of every block,
-    form a small table in which each edge row still finds exactly its predecessors.
+    A row with at least ``depth`` rows before it in its own block needs nothing else. The others, and the
+    last ``depth`` rows of every block, form a small table (2 * depth rows per border) in which each of
+    them still finds exactly its predecessors. Keys of one block, nearly all, do not take part in it.
     """
     inner = W.partitionBy(*keys, "_block").orderBy(*order)
     whole_block = W.partitionBy(*keys, "_block")
-    ranked = df.withColumn("_block", block).select(
+    ranked = row_blocks(df, keys, order, rows).select(
         "*",
         F.row_number().over(inner).alias("_rn"),
         F.count(F.lit(1)).over(whole_block).alias("_size"),
         *[c.alias(n) for n, c in values(inner).items()],
     )
     helper = ("_block", "_rn", "_size")
-    deep = ranked.filter(F.col("_rn") > depth).drop(*helper)
-    edge = ranked.filter((F.col("_rn") <= depth) | (F.col("_rn") > F.col("_size") - depth))
+    done = (F.col("_rn") > depth) | (F.col("_block") == 0)
+    deep = ranked.filter(done).drop(*helper)
+    edge = ranked.filter((~done | (F.col("_rn") > F.col("_size") - depth)) & F.col("_cut")).drop("_cut")
     outer = W.partitionBy(*keys).orderBy(*order)
     names = list(values(outer))
     finished = (
         edge.drop(*names)
         .select("*", *[c.alias(n) for n, c in values(outer).items()])
-        .filter(F.col("_rn") <= depth)
+        .filter((F.col("_rn") <= depth) & (F.col("_block") > 0))
         .drop(*helper)
     )
-    return deep.unionByName(finished)
+    return deep.drop("_cut").unionByName(finished)
 
 
 def with_halo(df: DataFrame, position: Column, block: int, before: int = 0, after: int = 0) -> DataFrame:

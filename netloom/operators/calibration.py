@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from netloom.functions.order_window import rolling_thresholds
 from netloom.functions.scalars import bin_index, logit, sigmoid
 from netloom.operators.alerts import KEY, POS, sustained_score
 from netloom.operators.blocked import with_halo
@@ -73,28 +77,49 @@ def coverage_report(cal: DataFrame, test: DataFrame, budgets: Sequence[float] =
 
 def adaptive_thresholds(df: DataFrame, budget: float, history: int = 500, min_history: int = 20,
                         stream: str = KEY, order: str = POS, score: str = "score", label: str = "y",
-                        block: int = 8192) -> DataFrame:
+                        block: int = 65_536) -> DataFrame:
     """Rolling threshold from the last ``history`` negatives seen before each row of a stream.
 
-    Negatives are numbered per stream; the history of a number is a frame over contiguous
-    numbers, so a long stream is cut into overlapping blocks. Rows then look their threshold up.
+    Negatives are numbered per stream. A long stream is cut into blocks of numbers that overlap by the history; inside
+    a block a counting tree over score ranks answers every window (``functions.order_window``), so no window is
+    ever collected or sorted. Rows then look their threshold up.
     """
     c = F.col
     before = W.partitionBy(stream).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     seen = F.coalesce(F.sum((~c(label)).cast("bigint")).over(before), F.lit(0))
     counted = df.withColumn("_seen", seen)
-    negatives = counted.filter(~c(label)).select(stream, c("_seen").alias("_i"), c(score).alias("_s"))
-    recent = F.sort_array(F.collect_list("_s").over(
-        W.partitionBy(stream, "_slice").orderBy("_i").rowsBetween(-(history - 1), 0)))
-    sized = with_halo(negatives, c("_i"), block, before=history - 1).withColumn("_recent", recent).filter("_own")
-    rank = conformal_rank(F.size("_recent").cast("bigint"), budget)
-    table = sized.filter(F.size("_recent") >= min_history).select(
-        stream, (c("_i") + 1).alias("_seen"), F.element_at("_recent", rank.cast("int")).alias("_t"))
+    negatives = counted.filter(~c(label)).select(c(stream).alias("_k"), c("_seen").alias("_i"), c(score).cast("double").alias("_s"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i", kind="stable")
+        first, own = int(pdf["_i"].iloc[0]), pdf["_own"].to_numpy()
+        # A block's first rows are its halo: all of the history, or all that the stream has.
+        upto = np.arange(1, len(pdf) + 1)
+        found = rolling_thresholds(pdf["_s"].to_numpy(), upto, budget, history, min_history)
+        keep = own & ~np.isnan(found)
+        return pd.DataFrame({"_k": pdf["_k"].to_numpy()[keep], "_seen": (first + upto)[keep], "_t": found[keep]})
+
+    cut = with_halo(negatives, c("_i"), block, before=history - 1)
+    schema = T.StructType([negatives.schema["_k"], T.StructField("_seen", T.LongType()), T.StructField("_t", T.DoubleType())])
+    table = cut.groupBy("_k", "_slice").applyInPandas(run, schema).withColumnRenamed("_k", stream)
     fallback = quantiles(df, [stream], score, [1 - budget]).select(stream, c("q")[0].alias("_f"))
     return (counted.join(table, [stream, "_seen"], "left").join(fallback, stream, "left")
             .withColumn("threshold", F.coalesce("_t", "_f")).drop("_seen", "_t", "_f"))
 
 
+def adaptive_summary(rows: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "y",
+                     seconds: float = 10.0) -> DataFrame:
+    """What rolling thresholds achieved: their median, false-positive rate, recall, false alerts per hour, negatives used."""
+    alert, y = (F.col(score) >= F.col("threshold")).cast("double"), F.col(label)
+    rates = rows.groupBy(*by).agg(
+        F.count_if(~y).alias("n_calibration"),
+        F.coalesce(F.avg(F.when(~y, alert)), F.lit(0.0)).alias("fpr"),
+        F.coalesce(F.avg(F.when(y, alert)), F.lit(0.0)).alias("recall"))
+    middle = quantiles(rows, by, "threshold", [0.5]).select(*by, F.col("q")[0].alias("threshold"))
+    joined = rates.join(middle, list(by)) if by else rates.withColumn("threshold", middle.scalar())
+    return joined.withColumn("alerts_per_hour", F.col("fpr") * F.lit(3600.0 / seconds))
+
+
 def warmup_thresholds(test: DataFrame, budgets: Sequence[float], baseline: int = 90, score: str = "score") -> DataFrame:
     """Label-free threshold per session from its first ``baseline`` scored rows.
 

@@ -10,22 +10,21 @@ from pyspark.sql import functions as F
 
 from netloom.config import EngineConfig
 from netloom.functions.scalars import in_networks, stage_index, window_index
-from netloom.operators.blocked import look_back
+from netloom.operators.blocked import BLOCK_ROWS, look_back
 
 
 def snippets(flows: DataFrame, gap: float = 300.0, max_len: float = 900.0, min_flows: int = 3,
-             block_seconds: float = 3600.0) -> tuple[DataFrame, DataFrame]:
+             block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Attack bursts of one stage, cut at pauses and at ``max_len``.
 
     Returns (table, members): one row per snippet, and the flows inside it. The pause before a
-    flow is found in time blocks; numbering runs over (second-level) burst starts only, so a
+    flow is found in blocks of rows; numbering runs over (second-level) burst starts only, so a
     capture full of attack flows never becomes one sort.
     """
     keys = ["capture", "stage"]
     attack = flows.filter("is_attack")
     order = ["ts", "flow_id"]
-    marked = look_back(attack, keys, order, F.floor(F.col("ts") / F.lit(block_seconds)), 1,
-                       lambda w: {"_prev": F.lag("ts").over(w)})
+    marked = look_back(attack, keys, order, 1, lambda w: {"_prev": F.lag("ts").over(w)}, block_rows)
     starts = marked.filter(F.col("_prev").isNull() | (F.col("ts") - F.col("_prev") > gap)).select(
         *keys, F.col("ts").alias("t0"), "_prev")
     last = attack.groupBy(*keys).agg(F.max("ts").alias("_last"))

@@ -225,12 +225,10 @@ def source_ports(flows: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
 
 def sequential_ports(flows: DataFrame, cfg: EngineConfig, series: Sequence[str] = SERIES) -> DataFrame:
     """Share of one source's consecutive destination ports that differ by exactly one."""
-    step = float(cfg.window_seconds) / cfg.window_slices
     ordered = look_back(
         flows.filter(F.col("dst_port") >= 0).select(*series, "window", "src_ip", "ts", "flow_id", "dst_port"),
         keys=[*series, "window", "src_ip"], order=["ts", "flow_id"],
-        block=F.floor(F.col("ts") / F.lit(step)), depth=1,
-        values=lambda w: {"prev_port": F.lag("dst_port").over(w)},
+        depth=1, values=lambda w: {"prev_port": F.lag("dst_port").over(w)}, rows=cfg.block_rows,
     )
     unit = F.abs(F.col("dst_port") - F.col("prev_port")) == 1
     return (
@@ -271,11 +269,10 @@ def beacon_scores(flows: DataFrame, cfg: EngineConfig, series: Sequence[str] = S
     """Periodicity score of every flow on its (source, destination, port) channel."""
     n = cfg.beacon_window
     c = F.col
-    span = float(cfg.window_seconds) * cfg.channel_block_windows
     ordered = look_back(
         flows.select(*series, "window", "src_ip", "dst_ip", "dst_port", "ts", "te", "flow_id"),
         keys=[*series, "src_ip", "dst_ip", "dst_port"], order=["ts", "flow_id"],
-        block=F.floor(c("ts") / F.lit(span)), depth=n,
+        depth=n, rows=cfg.block_rows,
         values=lambda w: {f"ts_{i}": F.lag("ts", i).over(w) for i in range(1, n + 1)}
         | {f"te_{i}": F.lag("te", i).over(w) for i in range(1, n + 1)},
     )

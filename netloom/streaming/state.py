@@ -1,8 +1,14 @@
 """Keyed state over a stream: new pairs, beacons, hysteresis and the adaptive threshold.
 
-Each processor keeps a bounded amount per key (one window number, six flow times, one counter,
-500 scores). Keys are host pairs, channels or sessions, which Spark spreads over the cluster.
-Rows of one key must arrive in time order across batches; inside a batch they are sorted here.
+Every processor works in event time. Rows wait in map state, one entry per window, until an event-time timer says that the
+watermark has passed the window's end; then the key's closed windows are processed in time order. So results do not
+depend on the order of arrival within the watermark's delay, and equal the batch operators. Rows behind the watermark
+never reach a processor: Spark drops and counts them (``run.StreamRun.late_rows``).
+
+State ends: after each processed window a second timer is set for the time from which the key's memory can no longer
+matter (or, for beacons, from which a channel counts as new); it clears the key. What a key holds is
+bounded by the rows of its windows inside the delay, and a fixed memory (a window number, the last flow times, two
+counters, the last scores).
 """
 
 from __future__ import annotations
@@ -17,59 +23,116 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from netloom.config import EngineConfig
+from netloom.functions.order_window import rolling_thresholds
 
 # Send the processors themselves to the workers, which need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _sorted(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """All rows of one key in this batch. A key's batch is one time slice of one pair or channel."""
-    parts = list(batches)
-    return (pd.concat(parts) if len(parts) > 1 else parts[0]).sort_values(by, kind="stable")
+class ClosedWindows(StatefulProcessor):
+    """Hands a key's rows to ``advance`` window by window, once each window is closed.
 
+    ``columns``: what is kept of a waiting row, with types. ``memory``: columns of the key's memory.
+    """
 
-class NewPairs(StatefulProcessor):
-    """First flow of a host pair in a window: was the pair unseen for the look-back?"""
+    columns: dict[str, str] = {}
+    memory: dict[str, str] = {}
 
-    def __init__(self, lookback: int, ttl_ms: int | None):
-        self.lookback, self.ttl_ms = lookback, ttl_ms
+    def __init__(self, window_seconds: float, forget_windows: int):
+        self.slot_ms = int(window_seconds * 1000)
+        self.forget_ms = int(forget_windows) * self.slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "window bigint", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
-        windows = np.unique(_sorted(rows, ["window"])["window"].to_numpy())
-        last = self.last.get()[0] if self.last.exists() else None
-        if last is not None:
-            windows = windows[windows > last]
-        if len(windows) == 0:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "window bigint", ", ".join(f"{c} array<{t}>" for c, t in self.columns.items()))
+        self.known = handle.getValueState("known", ", ".join(f"{c} {t}" for c, t in {"window": "bigint", **self.memory}.items()))
+
+    def _end(self, window: int) -> int:
+        return (window + 1) * self.slot_ms
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for window, part in pdf.groupby("window", sort=False):
+                at, new = (int(window),), [part[c].tolist() for c in self.columns]
+                if self.waiting.containsKey(at):
+                    new = [[*old, *more] for old, more in zip(self.waiting.getValue(at), new)]
+                else:
+                    self.handle.registerTimer(self._end(int(window)))
+                self.waiting.updateValue(at, tuple(new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        open_, closed = 0, []
+        for (window,) in list(self.waiting.keys()):
+            if self._end(window) <= now:
+                closed.append(window)
+            else:
+                open_ += 1
+        memory = self.known.get() if self.known.exists() else None
+        if not closed:
+            if memory is not None and not open_ and self._end(memory[0]) + self.forget_ms <= now:
+                self.known.clear()
             return
-        before = np.concatenate([[np.nan if last is None else last], windows[:-1].astype(float)])
-        self.last.update((int(windows[-1]),))
-        is_new = np.isnan(before) | (windows - before > self.lookback)
-        yield pd.DataFrame({"capture": key[0], "src_ip": key[1], "dst_ip": key[2], "window": windows, "is_new": is_new})
+        closed.sort()
+        parts = []
+        for window in closed:
+            parts.append(pd.DataFrame(dict(zip(self.columns, self.waiting.getValue((window,))))).assign(window=window))
+            self.waiting.removeKey((window,))
+        if memory is not None and self._end(memory[0]) + self.forget_ms <= self._end(closed[0] - 1):
+            memory = None  # the timer that would have cleared it and these windows came in one batch
+        out, memory = self.advance(key, pd.concat(parts, ignore_index=True), memory[1:] if memory else None)
+        self.known.update((closed[-1], *memory))
+        self.handle.registerTimer(self._end(closed[-1]) + self.forget_ms)
+        yield out
+
+    def advance(self, key: tuple, rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        """(output, new memory) from the rows of closed windows, in order of windows."""
+        raise TypeError("a processor defines how it advances")
 
     def close(self) -> None:
         pass
 
 
-class Beacons(StatefulProcessor):
-    """Periodicity score of every flow from the last ``n`` starts and ends on its channel."""
+class NewPairs(ClosedWindows):
+    """Per window of a host pair: was the pair unseen for the look-back?"""
+
+    columns = {"flow_id": "bigint"}
+    memory = {"last": "bigint"}
+
+    def __init__(self, cfg: EngineConfig):
+        super().__init__(cfg.window_seconds, cfg.new_pair_lookback + 1)  # from then on the pair is new anyway
+        self.lookback = cfg.new_pair_lookback
+
+    def advance(self, key, rows, memory):
+        windows = np.unique(rows["window"].to_numpy())
+        before = np.concatenate([[memory[0] if memory else np.nan], windows[:-1].astype(float)])
+        is_new = np.isnan(before) | (windows - before > self.lookback)
+        out = pd.DataFrame({"capture": key[0], "src_ip": key[1], "dst_ip": key[2], "window": windows, "is_new": is_new})
+        return out, (int(windows[-1]),)
+
+
+class Beacons(ClosedWindows):
+    """Periodicity score of every flow from the last ``n`` starts and ends on its channel.
+
+    A channel that was silent for ``n`` times the largest gap a beacon may have starts anew.
+    """
+
+    columns = {"ts": "double", "te": "double", "flow_id": "bigint"}
+    memory = {"ts": "array<double>", "te": "array<double>"}
 
     def __init__(self, cfg: EngineConfig):
         self.n, self.least = cfg.beacon_window, cfg.beacon_min_gaps
         self.low, self.high = cfg.beacon_gap_seconds
         self.idle = cfg.beacon_min_idle
+        super().__init__(cfg.window_seconds, int(self.n * self.high / cfg.window_seconds) + 1)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", "ts array<double>, te array<double>")
-
-    def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["ts", "flow_id"])
-        held = self.recent.get() if self.recent.exists() else ([], [])
+    def advance(self, key, rows, memory):
+        rows = rows.sort_values(["ts", "flow_id"], kind="stable")
+        held = memory or ([], [])
         old = len(held[0])
-        ts = np.concatenate([np.asarray(held[0], float), pdf["ts"].to_numpy()])
-        te = np.concatenate([np.asarray(held[1], float), pdf["te"].to_numpy()])
+        ts = np.concatenate([np.asarray(held[0], float), rows["ts"].to_numpy()])
+        te = np.concatenate([np.asarray(held[1], float), rows["te"].to_numpy()])
         gaps = pd.Series(np.diff(ts, prepend=np.nan))
         idles = pd.Series(ts - np.concatenate([[np.nan], te[:-1]]))
         mean = gaps.rolling(self.n, min_periods=self.least).mean()
@@ -78,21 +141,19 @@ class Beacons(StatefulProcessor):
         ok = mean.between(self.low, self.high) & (idle >= self.idle)
         score = np.where(ok, 1.0 / (1.0 + std / mean), 0.0)[old:]
         keep = self.n + 1
-        self.recent.update(([float(v) for v in ts[-keep:]], [float(v) for v in te[-keep:]]))
-        yield pd.DataFrame({"capture": key[0], "window": pdf["window"], "flow_id": pdf["flow_id"], "score": score})
-
-    def close(self) -> None:
-        pass
+        out = pd.DataFrame({"capture": key[0], "window": rows["window"], "flow_id": rows["flow_id"], "score": score})
+        return out, ([float(v) for v in ts[-keep:]], [float(v) for v in te[-keep:]])
 
 
-class Hysteresis(StatefulProcessor):
+class Hysteresis(ClosedWindows):
     """Two-level alerts from counters of consecutive windows above each threshold."""
 
-    def __init__(self, threshold: float, early: float, k: int):
-        self.threshold, self.early, self.k = threshold, early, k
+    columns = {"pos_in_session": "bigint", "risk": "double", "early": "double"}
+    memory = {"hot": "bigint", "warm": "bigint"}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.runs = handle.getValueState("runs", "hot int, warm int")
+    def __init__(self, cfg: EngineConfig, threshold: float, early: float):
+        super().__init__(cfg.window_seconds, cfg.gap_windows + 1)  # the session is over
+        self.threshold, self.early, self.k = threshold, early, cfg.hysteresis
 
     @staticmethod
     def _run(flags: np.ndarray, start: int) -> np.ndarray:
@@ -100,66 +161,62 @@ class Hysteresis(StatefulProcessor):
         last_off = np.maximum.accumulate(np.where(flags, -1, index))
         return np.where(last_off < 0, index + 1 + start, index - last_off)
 
-    def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["pos_in_session"])
-        hot0, warm0 = self.runs.get() if self.runs.exists() else (0, 0)
-        hot = self._run((pdf["risk"] >= self.threshold).to_numpy(), hot0)
-        warm = self._run((pdf["early"] >= self.early).to_numpy(), warm0)
-        self.runs.update((int(hot[-1]), int(warm[-1])))
+    def advance(self, key, rows, memory):
+        rows = rows.sort_values("pos_in_session", kind="stable")
+        hot0, warm0 = memory or (0, 0)
+        hot = self._run((rows["risk"] >= self.threshold).to_numpy(), hot0)
+        warm = self._run((rows["early"] >= self.early).to_numpy(), warm0)
         level = np.where(hot >= self.k, 2, np.where(warm >= self.k, 1, 0))
-        yield pd.DataFrame({"session_key": key[0], "pos_in_session": pdf["pos_in_session"], "level": level})
+        out = pd.DataFrame({"session_key": key[0], "pos_in_session": rows["pos_in_session"], "level": level})
+        return out, (int(hot[-1]), int(warm[-1]))
 
-    def close(self) -> None:
-        pass
 
+class AdaptiveThreshold(ClosedWindows):
+    """Threshold before each window from the last ``history`` negatives of the session (``functions.order_window``)."""
 
-class AdaptiveThreshold(StatefulProcessor):
-    """Threshold before each window from the last ``history`` negatives of the session."""
+    columns = {"pos_in_session": "bigint", "score": "double", "y": "boolean"}
+    memory = {"scores": "array<double>"}
 
-    def __init__(self, budget: float, history: int, least: int, fallback: float):
+    def __init__(self, cfg: EngineConfig, budget: float, history: int, least: int, fallback: float):
+        super().__init__(cfg.window_seconds, cfg.gap_windows + 1)
         self.budget, self.history, self.least, self.fallback = budget, history, least, fallback
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", "scores array<double>")
-
-    def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["pos_in_session"])
-        held = list(self.recent.get()[0]) if self.recent.exists() else []
-        out = []
-        for score, label in zip(pdf["score"], pdf["y"]):
-            n = len(held)
-            rank = min(max(int(np.ceil((n + 1) * (1 - self.budget))), 1), max(n, 1))
-            out.append(float(np.partition(held, rank - 1)[rank - 1]) if n >= self.least else self.fallback)
-            if not label:
-                held = [*held, float(score)][-self.history:]
-        self.recent.update((held,))
-        yield pd.DataFrame({"session_key": key[0], "pos_in_session": pdf["pos_in_session"], "threshold": out})
+    def advance(self, key, rows, memory):
+        rows = rows.sort_values("pos_in_session", kind="stable")
+        held = np.asarray(memory[0] if memory else [], float)
+        negative = ~rows["y"].to_numpy(bool)
+        scores = np.concatenate([held, rows["score"].to_numpy()[negative]])
+        seen = len(held) + np.cumsum(negative) - negative
+        found = rolling_thresholds(scores, seen, self.budget, self.history, self.least)
+        out = pd.DataFrame({"session_key": key[0], "pos_in_session": rows["pos_in_session"],
+                            "threshold": np.where(np.isnan(found), self.fallback, found)})
+        return out, ([float(v) for v in scores[-self.history:]],)
 
-    def close(self) -> None:
-        pass
+
+def _keyed(rows: DataFrame, keys: list[str], processor: ClosedWindows, schema: str) -> DataFrame:
+    """``rows`` need ``window``, the processor's columns, and an ``event_time`` with a watermark."""
+    used = dict.fromkeys([*keys, "window", "event_time", *processor.columns])
+    return rows.select(*used).groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "EventTime")
 
 
 def new_pairs(flows: DataFrame, cfg: EngineConfig) -> DataFrame:
-    return flows.select("capture", "src_ip", "dst_ip", "window").groupBy("capture", "src_ip", "dst_ip").transformWithStateInPandas(
-        NewPairs(cfg.new_pair_lookback, None), "capture string, src_ip string, dst_ip string, window bigint, is_new boolean",
-        "append", "none")
+    return _keyed(flows, ["capture", "src_ip", "dst_ip"], NewPairs(cfg),
+                  "capture string, src_ip string, dst_ip string, window bigint, is_new boolean")
 
 
 def beacon_scores(flows: DataFrame, cfg: EngineConfig) -> DataFrame:
-    columns = ("capture", "src_ip", "dst_ip", "dst_port", "window", "ts", "te", "flow_id")
-    return flows.select(*columns).groupBy("capture", "src_ip", "dst_ip", "dst_port").transformWithStateInPandas(
-        Beacons(cfg), "capture string, window bigint, flow_id bigint, score double", "append", "none")
+    return _keyed(flows, ["capture", "src_ip", "dst_ip", "dst_port"], Beacons(cfg),
+                  "capture string, window bigint, flow_id bigint, score double")
 
 
-def two_level(scored: DataFrame, threshold: float, early: float, k: int) -> DataFrame:
-    """``scored(session_key, pos_in_session, risk, early)``."""
-    return scored.groupBy("session_key").transformWithStateInPandas(
-        Hysteresis(threshold, early, k), "session_key string, pos_in_session bigint, level int", "append", "none")
+def two_level(scored: DataFrame, cfg: EngineConfig, threshold: float, early: float) -> DataFrame:
+    """``scored(session_key, pos_in_session, window, event_time, risk, early)``."""
+    return _keyed(scored, ["session_key"], Hysteresis(cfg, threshold, early),
+                  "session_key string, pos_in_session bigint, level int")
 
 
-def adaptive_threshold(scored: DataFrame, budget: float, fallback: float, history: int = 500,
+def adaptive_threshold(scored: DataFrame, cfg: EngineConfig, budget: float, fallback: float, history: int = 500,
                        least: int = 20) -> DataFrame:
-    """``scored(session_key, pos_in_session, score, y)``; ``fallback`` until enough negatives came."""
-    return scored.groupBy("session_key").transformWithStateInPandas(
-        AdaptiveThreshold(budget, history, least, fallback),
-        "session_key string, pos_in_session bigint, threshold double", "append", "none")
+    """``scored(session_key, pos_in_session, window, event_time, score, y)``; ``fallback`` until enough negatives came."""
+    return _keyed(scored, ["session_key"], AdaptiveThreshold(cfg, budget, history, least, fallback),
+                  "session_key string, pos_in_session bigint, threshold double")

@@ -11,7 +11,7 @@ from netloom.operators.features import assign_windows, window_features
 from netloom.plans.build import build_windows
 
 CFG = EngineConfig(warmup_windows=3, context=4, horizons=(3,), primary_horizon=3, internal_cidrs=("192.168.10.0/24",),
-                   channel_block_windows=3)
+                   block_rows=150)
 START = 1_000_000
 
 
@@ -77,8 +77,8 @@ def test_features_do_not_see_the_future(make_flows, background):
 
 def test_one_hot_channel_gives_the_same_scores_in_any_block_size(make_flows):
     rows = [flow(i, START + 5 * i + (i % 3) * 0.3, "192.168.10.2", "203.0.113.5", 99) for i in range(120)]
-    small = features(make_flows, rows, replace(CFG, channel_block_windows=1))
-    large = features(make_flows, rows, replace(CFG, channel_block_windows=10_000))
+    small = features(make_flows, rows, replace(CFG, block_rows=40))
+    large = features(make_flows, rows, replace(CFG, block_rows=10_000_000))
     for w in large:
         assert small[w]["beacon_max"] == pytest.approx(large[w]["beacon_max"], abs=1e-12)
         assert small[w]["beacon_pairs"] == large[w]["beacon_pairs"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netloom.operators import calibration as ca
 from netloom.operators import metrics as mt
 from netloom.operators import ranking as rk
-from netloom.operators.blocked import look_back, with_halo
+from netloom.operators.blocked import look_back, row_blocks, with_halo
 
 
 @pytest.fixture(scope="module")
@@ -94,10 +94,28 @@ def test_look_back_equals_a_plain_window(spark):
     df = spark.createDataFrame(rows, "k string, ts double, id int")
     plain = W.partitionBy("k").orderBy("ts", "id")
     want = {r["id"]: r["x"] for r in df.withColumn("x", F.lag("id", 3).over(plain)).collect()}
-    for width in (0.5, 7.0, 1000.0):
-        out = look_back(df, ["k"], ["ts", "id"], F.floor(F.col("ts") / width), 3, lambda w: {"x": F.lag("id", 3).over(w)})
+    for block in (1, 130, 10_000):
+        out = look_back(df, ["k"], ["ts", "id"], 3, lambda w: {"x": F.lag("id", 3).over(w)}, block)
         got = {r["id"]: r["x"] for r in out.collect()}
         assert got == want
+    assert out.columns == [*df.columns, "x"]
+
+
+def test_blocks_follow_rows_not_times(spark):
+    """Almost a third of all rows are one key at one time: no block and no task holds much more than its share."""
+    n = 120_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 10 < 3, F.lit("hot")).when(F.col("id") % 1000 == 7, F.lit(None)).otherwise(
+            F.concat(F.lit("k"), F.col("id") % 997)).alias("k"),
+        F.when(F.col("id") % 10 < 3, 5.0).otherwise(F.rand(3) * 50).alias("ts"), "id")
+    cut = row_blocks(df, ["k"], ["ts", "id"], 2000)
+    blocks = cut.groupBy("k", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).collect()
+    hot = sorted((r for r in blocks if r["k"] == "hot"), key=lambda r: r["_block"])
+    assert 14 <= len(hot) <= 24 and max(r["n"] for r in hot) < 4000
+    assert all(a["hi"] < b["lo"] for a, b in zip(hot, hot[1:]))
+    assert all(r["_block"] == 0 for r in blocks if r["k"] != "hot")
+    tasks = cut.repartition(8, "k", "_block").groupBy(F.spark_partition_id().alias("t")).count().collect()
+    assert max(r["count"] for r in tasks) < 2 * n / 8
 
 
 def test_halo_equals_a_plain_frame(spark):
