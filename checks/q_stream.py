@@ -35,10 +35,10 @@ def _feed(spark, sf_dir):
 
 
 def _closing(df):
-    """One late-dated flow per capture, so that the watermark closes every real window."""
-    last = df.groupBy("capture").agg(F.max("ts").alias("_m"))
-    tail = df.join(last, (df["capture"] == last["capture"]) & (df["ts"] == last["_m"])).drop(last["capture"]).drop("_m")
-    return tail.withColumns({"ts": F.col("ts") + 40 * CFG.window_seconds, "flow_id": F.lit(-1).cast("bigint")})
+    """One late-dated flow of a capture of its own: the watermark closes every real window, and never this one."""
+    last = df.orderBy(F.desc("ts")).limit(1)
+    later = last.withColumns({"ts": F.col("ts") + 40 * CFG.window_seconds, "flow_id": F.lit(-1).cast("bigint"), "capture": F.lit("end")})
+    return assign_windows(later, CFG).select(*df.columns)
 
 
 def _run(spark, sf_dir, transform, stateful=False, closing=True):
