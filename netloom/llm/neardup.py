@@ -32,10 +32,11 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netloom.llm.common import kept, materialise, pieces, ship
+from netloom.llm.common import fresh, kept, materialise, pieces, release, ship
 from netloom.llm.lines import filter_bits, suspected, twice_seen
 
 ship(__name__)
@@ -154,14 +155,17 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def star(edges: DataFrame, small: bool) -> DataFrame:
-    """One large-star or small-star step on distinct edges (u, v), u > v."""
+    """Stored result of one large-star or small-star step on stored distinct edges (u, v), u > v, which it deletes."""
     turned = edges if small else edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = materialise(turned.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least")
     met = turned.join(least, "u")
+    moved = met.filter("v <> m" if small else "v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if small:
-        moved = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.union(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-    return met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        moved = moved.union(least.select("u", F.col("m").alias("v")))
+    done = materialise(moved.filter("u > v").distinct(), "star-small" if small else "star-large")
+    release(least)
+    release(edges)
+    return done
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -170,7 +174,7 @@ def connect(links: DataFrame) -> DataFrame:
                         .filter("u > v").distinct(), "star-edges")
     before = None
     while True:
-        edges = materialise(star(materialise(star(edges, small=False), "star-large"), small=True), "star-small")
+        edges = star(star(edges, small=False), small=True)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -276,43 +280,65 @@ def rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
-    signed = materialise(sign(docs, size), "near-signed")
-    known = signed.filter("doc_id is not null and digest is not null")
+    """(doc_id, n_shingles, component_id, kept) of every document.
+
+    A stored table is deleted as soon as the tables made from it are stored.
+    """
+    wide = materialise(sign(docs, size), "near-signed")
+    present = wide.filter("doc_id is not null and digest is not null")
     # One doc_id can carry several sets; classes are told apart by a number of their own.
-    own = materialise(known.groupBy("digest").agg(
+    classes = materialise(present.groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.min_by(F.struct("signature", "bands"), "doc_id").alias("s"))
         .select("digest", "doc_id", F.xxhash64("digest").alias("id"), "s.signature", "s.bands"), "near-classes")
-    bands = own.select("id", F.explode("bands").alias("key"))
+    signed = materialise(wide.select("doc_id", "n_shingles", "digest"), "near-digests")
+    release(wide)
+    known = signed.filter("doc_id is not null and digest is not null")
+    bands = classes.select("id", F.explode("bands").alias("key"))
     pivots = materialise(bands.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
                          .select("key", "pivot"), "near-pivots")
     met = materialise(bands.join(pivots, "key"), "near-met")  # every member of a key with several
+    release(pivots)
     pairs = (met.filter("id <> pivot").select("pivot", F.col("id").alias("member")).distinct()
              .withColumn("part", F.pmod(F.xxhash64("member", F.lit(5)), F.lit(SPLIT)).cast("int")))
-    signature = own.select("id", "signature")
+    signature = classes.select("id", "signature")
     agree = _agreement(pairs.join(signature.select(F.col("id").alias("member"), F.col("signature").alias("a")), "member")
                        .join(signature.select(F.col("id").alias("pivot"), F.col("signature").alias("b")), "pivot"))
     likely = materialise(agree, "near-likely")
+    own = materialise(classes.select("digest", "doc_id", "id"), "near-own")
+    release(classes)
     wanted = materialise(own.join(met.select("id").distinct(), "id", "left_semi").select("doc_id").distinct(), "near-wanted")
     sets = materialise(sets_of(docs, wanted, size), "near-sets")
+    release(wanted)
     # Classes that share a doc_id are one document.
     shared = (known.select("doc_id", F.xxhash64("digest").alias("id")).distinct())
     twin = (shared.groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("top")).filter("v < top")
             .join(shared, "doc_id").select(F.col("id").alias("u"), "v"))
     first = materialise(confirm(likely, sets, percent).union(twin), "near-links")
+    release(likely)
     roots = connect(first)
+    release(first)
 
     def labelled(ids: DataFrame, roots: DataFrame) -> DataFrame:
         return ids.join(roots, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     # A pivot has been compared with all members of its keys.
     members = materialise(labelled(met.filter("id <> pivot").select("key", "id"), roots), "near-members")
+    release(met)
     more = materialise(rest(members, sets, percent), "near-more")
+    release(members)
+    release(sets)
     if more.limit(1).count():
-        roots = connect(roots.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
-    named = materialise(labelled(own.select("digest", "id", "doc_id"), roots), "near-named")
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = materialise(named.join(materialise(smallest, "near-smallest"), "component").select("digest", "component_id"), "near-names")
+        earlier = roots
+        roots = connect(earlier.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
+        release(earlier)
+    release(more)
+    named = materialise(labelled(own, roots), "near-named")
+    release(roots)
+    release(own)
+    smallest = materialise(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-smallest")
+    names = materialise(named.join(smallest, "component").select("digest", "component_id"), "near-names")
+    release(named)
+    release(smallest)
     out = (signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
            .join(names, "digest", "left"))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
@@ -337,5 +363,10 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component; rows that repeat a kept doc_id become one row."""
     kept_ids = materialise(components(docs, size, percent).filter("kept and doc_id is not null")
                            .select(F.col("doc_id").alias("kept_id")).distinct(), "near-kept")
-    stays = docs.join(kept_ids, docs["doc_id"] == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    stays = docs.join(kept_ids, docs["doc_id"] == F.col("kept_id"), "left_semi")
+    # Of rows that share a doc_id the one with the least text stays (then the least hash of the row), so reruns agree.
+    whole = F.struct(F.col("text"), F.xxhash64(*[F.col(c) for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType)]))
+    order = W.partitionBy("doc_id").orderBy(whole)
+    at = fresh(docs, "row")
+    stays = stays.withColumn(at, F.row_number().over(order)).filter(F.col(at) == 1).drop(at)
     return stays.unionByName(docs.filter(F.col("doc_id").isNull()))
