@@ -285,13 +285,24 @@ def platt(spark, sf_dir):
     return scored(spark, sf_dir).select(*KEYS, ca.apply_platt(F.col("score"), a, b).alias("probability"))
 
 
-@query("isotonic_calibration")
+_ISOTONIC = (
+    ("iso_d", """select score, count(*) as w, sum(y::int) as s, row_number() over (order by score) as i,
+  sum(count(*)) over (order by score) as cw, sum(sum(y::int)) over (order by score) as cs from cal group by score"""),
+    # The min-max formula: the greatest, over starts, of the least mean, over ends, of all runs around a score.
+    ("iso", """select score, max(least_) as v from (
+    select d.score, a.i, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)::double) as least_
+    from iso_d d join iso_d a on a.i <= d.i join iso_d b on b.i >= d.i group by d.score, a.i) group by score"""))
+
+
+@query("isotonic_calibration", with_parts(f"""
+select capture, {big('win', '"window"')}, {r6("""case when x0 is null then v1 when x1 is null or v1 = v0 then v0
+    else v0 + (v1 - v0) * (score - x0) / (x1 - x0) end""", 'probability')}
+from (select s.*, lo.score as x0, lo.v as v0, hi.score as x1, hi.v as v1 from scored s
+  left join iso lo on lo.score = (select max(score) from iso where iso.score <= s.score)
+  left join iso hi on hi.score = (select min(score) from iso where iso.score > s.score))""", *_ISOTONIC))
 def isotonic(spark, sf_dir):
-    from netloom.functions.scalars import interpolate
-    knots = ca.isotonic(part(spark, sf_dir, "calibration"))
-    arrays = knots.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k")).scalar()
-    df = scored(spark, sf_dir).withColumn("k", arrays)
-    return df.select(*KEYS, interpolate(F.col("score"), F.col("k.x"), F.col("k.y")).alias("probability"))
+    blocks = ca.isotonic(part(spark, sf_dir, "calibration"))
+    return ca.apply_isotonic(scored(spark, sf_dir), blocks).select(*KEYS, "probability")
 
 
 @query("nowcast_model")

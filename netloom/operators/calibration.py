@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +17,8 @@ from netloom.functions.order_window import rolling_thresholds
 from netloom.functions.scalars import bin_index, logit, sigmoid
 from netloom.operators.alerts import KEY, POS, sustained_score
 from netloom.operators.blocked import with_halo
-from netloom.operators.ranking import order_statistic, quantiles
+from netloom.operators.ranking import bucketed, order_statistic, quantiles
+from netloom.session import materialise, release
 
 
 def conformal_rank(n: Column, budget: float) -> Column:
@@ -172,13 +172,81 @@ def early_warning_threshold(scored: DataFrame, budget: float, score: str, quiet:
     return quantiles(rows, [], score, [1 - budget]).select("n", F.col("q")[0].alias("threshold"))
 
 
-def isotonic(cal: DataFrame, score: str = "score", label: str = "y") -> DataFrame:
-    """Isotonic knots (x, y) fitted on calibration rows; apply with ``functions.scalars.interpolate``."""
-    data = cal.select(F.col(score).alias("features"), F.col(label).cast("double").alias("label"))
-    ready = VectorAssembler(inputCols=["features"], outputCol="f").transform(data)
-    model = IsotonicRegression(featuresCol="f", labelCol="label").fit(ready)
-    knots = zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist())
-    return cal.sparkSession.createDataFrame(list(knots), "x double, y double")
+def pool_violators(x_low: np.ndarray, x_high: np.ndarray, weight: np.ndarray, total: np.ndarray):
+    """Adjacent blocks (ordered) pooled until their means rise: (x_low, x_high, weight, total) of what is left."""
+    kept: list[list[float]] = []
+    for block in zip(x_low.tolist(), x_high.tolist(), weight.tolist(), total.tolist()):
+        block = list(block)
+        while kept and kept[-1][3] * block[2] >= block[3] * kept[-1][2]:
+            low, _, w, t = kept.pop()
+            block = [low, block[1], w + block[2], t + block[3]]
+        kept.append(block)
+    return [np.array(c) for c in zip(*kept)]
+
+
+_BLOCKS = "part int, x_low double, x_high double, weight double, total double"
+
+
+def _pool(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("x_low", kind="stable")
+    found = pool_violators(*[pdf[c].to_numpy(float) for c in ("x_low", "x_high", "weight", "total")])
+    return pd.DataFrame(dict(zip(("x_low", "x_high", "weight", "total"), found))).assign(part=int(pdf["part"].iloc[0]))[
+        ["part", "x_low", "x_high", "weight", "total"]]
+
+
+def isotonic(cal: DataFrame, score: str = "score", label: str = "y", buckets: int = 64) -> DataFrame:
+    """Isotonic regression of the label on the score: stored blocks (part, x_low, x_high, y), y rising strictly.
+
+    Equal scores are one row first. Each range of scores pools its own violators; what may still violate is the border between two
+    ranges, so chains of ranges whose borders do are pooled again together, as lists of blocks, until no border
+    violates. Blocks are few (at most about n^(2/3) of n labels) and stay spread over their ranges; only the
+    ranges' first and last blocks, ``buckets`` rows at most, are looked at together.
+    """
+    c = F.col
+    counts = cal.filter(c(score).isNotNull()).groupBy(c(score).cast("double").alias("x_low")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight"), F.sum(c(label).cast("double")).alias("total"))
+    cut = bucketed(counts, [], "x_low", ["weight"], buckets).select(
+        c("_bucket").alias("part"), "x_low", c("x_low").alias("x_high"), "weight", "total")
+    blocks = materialise(cut.groupBy("part").applyInPandas(_pool, _BLOCKS), "isotonic")
+    mean = F.struct("x_low", (c("total") / c("weight")).alias("y"))
+    inside = W.orderBy("part")  # one row per range
+    while True:
+        ends = blocks.groupBy("part").agg(F.min(mean)["y"].alias("first"), F.max(mean)["y"].alias("last"))
+        apart = ends.withColumn("new", (F.lag("last").over(inside).isNull() | (F.lag("last").over(inside) < c("first"))).cast("int"))
+        joined = materialise(apart.select("part", F.sum("new").over(inside).cast("int").alias("chain")), "isotonic-chains")
+        done = joined.agg(F.count(F.lit(1)) == F.max("chain")).first()[0]
+        if done or done is None:
+            release(joined)
+            return blocks.select("part", "x_low", "x_high", (c("total") / c("weight")).alias("y"))
+        merged = blocks.join(F.broadcast(joined), "part").select(c("chain").alias("part"), "x_low", "x_high", "weight", "total")
+        following = materialise(merged.groupBy("part").applyInPandas(_pool, _BLOCKS), "isotonic")
+        release(blocks)
+        release(joined)
+        blocks = following
+
+
+def apply_isotonic(df: DataFrame, blocks: DataFrame, score: str = "score", out: str = "probability") -> DataFrame:
+    """Add the calibrated score: flat inside blocks and outside all of them, linear between two.
+
+    A score first finds its range of blocks among the ranges' starts (few), then its block by a join on the range.
+    """
+    c = F.col
+    start = blocks.groupBy("part").agg(F.min(F.struct("x_low", "y")).alias("s"))
+    after = start.select("part", F.lead("s").over(W.orderBy("part")).alias("_after"))
+    inside = W.partitionBy("part").orderBy("x_low")
+    pieces = blocks.join(F.broadcast(after), "part").withColumn(
+        "_next", F.coalesce(F.lead(F.struct("x_low", "y")).over(inside), c("_after"))).select(
+        c("part").alias("_part"), c("x_low").alias("_low"), c("x_high").alias("_high"), c("y").alias("_y"), "_next")
+    starts = start.agg(F.array_sort(F.collect_list(F.struct(c("s.x_low").alias("x"), "part"))).alias("a")).scalar()
+    at = F.greatest(F.size(F.filter("_starts", lambda s: s["x"] <= c(score))), F.lit(1))
+    placed = df.withColumn("_starts", starts).withColumns({
+        "_part": F.when(c(score).isNotNull(), F.try_element_at("_starts", at)["part"]),
+        "_least": F.try_element_at("_starts", F.lit(1))["x"]}).drop("_starts")
+    first = c("_low") == c("_least")
+    meets = (placed["_part"] == pieces["_part"]) & (first | (c(score) >= c("_low"))) & (c("_next").isNull() | (c(score) < c("_next.x_low")))
+    slope = (c("_next.y") - c("_y")) / (c("_next.x_low") - c("_high"))
+    value = F.when((c(score) > c("_high")) & c("_next").isNotNull(), c("_y") + slope * (c(score) - c("_high"))).otherwise(c("_y"))
+    return placed.join(pieces, meets, "left").withColumn(out, value).select(*[placed[k] for k in df.columns], out)
 
 
 def fit_platt(cal: DataFrame, score: str = "score", label: str = "y", c: float = 1e3) -> tuple[float, float]:

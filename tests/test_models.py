@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from netloom import vocab
 from netloom.config import EngineConfig
+from netloom.operators import calibration as ca
 from netloom.operators import models as md
 from netloom.operators import normalise as nm
 from netloom.operators import splits as sp
@@ -117,3 +118,38 @@ def test_normal_cdf(spark):
 def test_vocabulary_contract():
     assert len(vocab.FEATURES) == 92 and len(set(vocab.FEATURE_NAMES)) == 92
     assert len(vocab.STAGES) == 7
+
+
+@pytest.mark.parametrize("kind, buckets", [("noisy", 64), ("noisy", 5), ("rising", 16), ("falling", 16), ("tied", 8)])
+def test_isotonic_equals_the_min_max_formula(spark, kind, buckets):
+    rng = np.random.default_rng(len(kind))
+    x = np.round(rng.random(900), 3 if kind != "tied" else 1)
+    y = {"noisy": rng.random(900) < x ** 2, "rising": x > 0.4, "falling": x < 0.4, "tied": rng.random(900) < x}[kind]
+    x[:300] = 0.5  # a third of all rows are one score
+    cal = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(x, y)] + [(None, True)], "score double, y boolean")
+    scores = np.unique(x)
+    weight = np.array([(x == s).sum() for s in scores], float)
+    total = np.array([y[x == s].sum() for s in scores], float)
+    mean = lambda a, b: total[a:b + 1].sum() / weight[a:b + 1].sum()
+    n = len(scores)
+    least = [[np.inf] * n for _ in range(n)]  # least[a][i]: over ends b >= i
+    for a in range(n):
+        best, cw, ct = np.inf, weight[a:].sum(), total[a:].sum()
+        for b in range(n - 1, a - 1, -1):
+            best = min(best, ct / cw)
+            least[a][b] = best
+            cw, ct = cw - weight[b], ct - total[b]
+    want = [max(least[a][i] for a in range(i + 1)) for i in range(n)]
+    assert mean(0, n - 1) == pytest.approx(total.sum() / weight.sum())
+    asked = [-1.0, 2.0, *np.linspace(0, 1, 211), *scores]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(asked)] + [(-1, None)], "i int, score double")
+    out = ca.apply_isotonic(df, ca.isotonic(cal, buckets=buckets)).collect()
+    got = {r["i"]: r["probability"] for r in out}
+    assert got.pop(-1) is None and len(out) == len(asked) + 1
+    np.testing.assert_allclose([got[i] for i in range(len(asked))], np.interp(asked, scores, want), atol=1e-9)
+
+
+def test_isotonic_without_rows(spark):
+    empty = spark.createDataFrame([], "score double, y boolean")
+    df = spark.createDataFrame([(0.5,)], "score double")
+    assert ca.apply_isotonic(df, ca.isotonic(empty)).first()["probability"] is None
