@@ -1,9 +1,9 @@
 """Exact order statistics and prefix sums without one global sort task.
 
 Values are first grouped, so a score shared by a third of all rows is one row. Bounded
-``percentile_approx`` sketches then give bucket borders; sums run inside a bucket and bucket
+``percentile_approx`` sketches then give bucket borders, for the groups with many values; sums run inside a bucket and bucket
 totals (at most ``buckets`` rows per group) carry the offsets. Only the borders are approximate,
-so they affect balance and never results.
+so they affect balance and never results. No step gathers a group: rows meet on (group, bucket).
 """
 
 from __future__ import annotations
@@ -17,58 +17,62 @@ from pyspark.sql import functions as F
 from netloom.functions.scalars import stable_uniform
 
 BUCKETS = 64
-_ONE = "_one"
+#: Groups of up to so many values are one bucket.
+BUCKET_ROWS = 100_000
+#: At most so many groups are cut into buckets, so their borders may be broadcast.
+MAX_CUT = 8_192
 
 
-def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    return (df, list(by)) if by else (df.withColumn(_ONE, F.lit(0)), [_ONE])
-
-
-def _attach(df: DataFrame, small: DataFrame, keys: list[str], grouped: bool) -> DataFrame:
-    # Ungrouped parameter tables have one bucket set, so their size is fixed; grouped ones grow
-    # with the groups and are broadcast only if the optimiser's size estimate allows it.
-    return df.join(small if grouped else F.broadcast(small), keys)
-
-
-def bucketed(df: DataFrame, by: Sequence[str], value: str, weights: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+def bucketed(df: DataFrame, by: Sequence[str], value: str, weights: Sequence[str], buckets: int = BUCKETS,
+             rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``_bucket``: a non-decreasing function of ``value`` with even buckets per group.
 
-    The sketch looks at the weights too, so that it reads the same columns as the later passes and
-    Spark reuses one shuffle of the grouped values for all of them.
+    Without groups there is one set of borders. With groups only those of more than ``rows`` rows are cut (more than a
+    ``MAX_CUT``-th of all rows, if that is more): a group's borders are looked up by a hash of its key in a small
+    broadcast table, so groups are not shuffled together. Sketches and counts look at the weights too, so that
+    they read the same columns as the later passes and Spark reuses one shuffle of the grouped values for all of them.
     """
-    grouped = bool(by)
-    df, keys = _keyed(df, by)
     points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    weighted = F.when(F.greatest(*[F.col(w) for w in weights], F.lit(0)) > 0, F.col(value))
-    borders = df.groupBy(*keys).agg(F.percentile_approx(weighted, points, F.lit(20 * buckets)).alias("_borders"))
-    borders = borders.withColumn("_borders", F.coalesce("_borders", F.array().cast("array<double>")))
-    joined = _attach(df, borders, keys, grouped)
-    return joined.withColumn("_bucket", F.size(F.filter("_borders", lambda b: b < F.col(value)))).drop("_borders")
+    weight = F.greatest(*[F.col(w) for w in weights], F.lit(0))
+    sketch = F.percentile_approx(F.when(weight > 0, F.col(value)), points, F.lit(20 * buckets)).alias("_borders")
+    if by:
+        held = F.xxhash64(*[F.col(k) for k in by]).alias("_held")  # groups that share a hash share borders: still exact
+        keyed = df.select("*", held)
+        sizes = keyed.groupBy("_held").agg(F.count(weight).alias("_n"))
+        least = F.greatest(F.lit(rows), F.ceil(sizes.agg(F.sum("_n")).scalar() / MAX_CUT))
+        many = sizes.filter(F.col("_n") > least).select("_held")
+        borders = keyed.join(F.broadcast(many), "_held", "left_semi").groupBy("_held").agg(sketch)
+        joined = keyed.join(F.broadcast(borders), "_held", "left")
+    else:
+        joined = df.withColumn("_borders", df.agg(sketch).scalar())
+    below = F.size(F.filter("_borders", lambda b: b < F.col(value)))
+    return joined.withColumn("_bucket", F.when(F.col("_borders").isNull(), F.lit(0)).otherwise(below)).drop("_borders", "_held")
 
 
 def cumulate(df: DataFrame, by: Sequence[str], value: str, weights: Sequence[str], *,
-             descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
+             descending: bool = False, buckets: int = BUCKETS, rows: int = BUCKET_ROWS) -> DataFrame:
     """Per (group, value) row: ``cum_w`` (running, inclusive) and ``total_w`` of every weight.
 
-    ``df`` must hold one row per (group, value).
+    ``df`` must hold one row per (group, value). Groups may be NULL.
     """
-    grouped = bool(by)
-    cut = bucketed(df, by, value, weights, buckets)
-    keys = list(by) if by else [_ONE]
+    cut = bucketed(df, by, value, weights, buckets, rows)
     way = F.desc if descending else F.asc
-    before = W.partitionBy(*keys).orderBy(way("_bucket")).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
-    totals = cut.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(w) for w in weights])
+    before = W.partitionBy(*by).orderBy(way("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*by)
+    totals = cut.groupBy(*by, "_bucket").agg(*[F.sum(w).alias(w) for w in weights])
     offsets = totals.select(
-        *keys, "_bucket",
+        *[F.col(k).alias(f"_of_{k}") for k in by], F.col("_bucket").alias("_of"),
         *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_off_{w}") for w in weights],
         *[F.sum(w).over(whole).alias(f"total_{w}") for w in weights],
     )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(way(value)).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*by, "_bucket").orderBy(way(value)).rowsBetween(W.unboundedPreceding, 0)
     out = cut.withColumns({f"_run_{w}": F.sum(w).over(inside) for w in weights})
-    out = _attach(out, offsets, [*keys, "_bucket"], grouped)
+    meets = F.col("_bucket") == F.col("_of")
+    for k in by:
+        meets = meets & out[k].eqNullSafe(F.col(f"_of_{k}"))
+    out = out.join(offsets if by else F.broadcast(offsets), meets)  # without groups: one row per bucket
     out = out.withColumns({f"cum_{w}": F.col(f"_run_{w}") + F.col(f"_off_{w}") for w in weights})
-    return out.drop("_bucket", _ONE, *[f"_run_{w}" for w in weights], *[f"_off_{w}" for w in weights])
+    return out.drop("_bucket", "_of", *[f"_of_{k}" for k in by], *[f"_run_{w}" for w in weights], *[f"_off_{w}" for w in weights])
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -76,13 +80,13 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float],
-              buckets: int = BUCKETS) -> DataFrame:
+              buckets: int = BUCKETS, rows: int = BUCKET_ROWS) -> DataFrame:
     """Exact linear-interpolation quantiles, one ``q`` array per group (NULLs ignored).
 
     Every distinct value knows the ranks it covers, so it emits only the requested quantiles it
     takes part in: at most two short rows per quantile and group reach the last aggregate.
     """
-    ranked = cumulate(value_counts(df, by, value), by, value, ["n"], buckets=buckets)
+    ranked = cumulate(value_counts(df, by, value), by, value, ["n"], buckets=buckets, rows=rows)
     points = F.array(*[F.lit(float(q)) for q in qs])
     start, end = F.col("cum_n") - F.col("n"), F.col("cum_n")
 

@@ -53,6 +53,31 @@ def test_quantiles_per_group(scores):
     assert got["g1"] == pytest.approx(list(np.quantile(s[~index], [0.1, 0.9])))
 
 
+def test_groups_are_not_gathered(spark):
+    """Groups from one to many values, one with a third of all rows, a NULL group; nothing is broadcast by size."""
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, F.lit(None)).when(F.col("id") == 2, "one").otherwise(
+            F.concat(F.lit("g"), F.col("id") % 40)).alias("grp"), F.round(F.rand(5) * 5000, 1).alias("v"))
+    df = df.cache()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["grp"]: r["q"] for r in rk.quantiles(df, ["grp"], "v", [0.0, 0.3, 0.5, 1.0], rows=1500).collect()}
+        cut = rk.bucketed(rk.value_counts(df, ["grp"], "v"), ["grp"], "v", ["n"], rows=1500)
+        buckets = {r["grp"]: (r["b"], r["most"]) for r in cut.groupBy("grp", "_bucket").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
+                   .groupBy("grp").agg(F.count("*").alias("b"), F.max("n").alias("most")).collect()}
+        tasks = [r["count"] for r in cut.repartition(8, "grp", "_bucket").groupBy(F.spark_partition_id().alias("t")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    pdf = df.toPandas()
+    for key, part in pdf.groupby("grp", dropna=False):
+        want = np.quantile(part["v"], [0.0, 0.3, 0.5, 1.0])
+        assert got[None if key != key else key] == pytest.approx(list(want)), key
+    assert len(got) == pdf["grp"].nunique(dropna=False)
+    assert buckets["hot"][0] > 40 and buckets["hot"][1] < 2 * 20_000 / 64 * 2 and buckets["one"][0] == 1
+    assert max(tasks) < 2 * sum(tasks) / 8
+
+
 def test_conformal_rank(scores):
     s, y, df = scores
     neg = np.sort(s[~y])
