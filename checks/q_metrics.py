@@ -131,7 +131,7 @@ def blocks(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ bootstrap
-N_BOOT = 40
+N_BOOT = 300
 _BLOCKED = ("blocked", "select *, session_key || '@' || cast(floor(pos / 20) as bigint) as block from test")
 _DRAWS = ("draws", f"""select b.boot, n.block, count(*) as m from (
     select boot, i, cast(floor(('0x' || substr(md5(boot || '|' || i || '|0'), 1, 8))::bigint / 4294967296.0::double
@@ -347,6 +347,7 @@ def lead_time(spark, sf_dir):
 @query("lead_time_summary", with_parts(f"""
 select {big('count(*)', 'n_onsets')}, {big('count(*) filter (lead_windows > 0)', 'warned_before')},
   {big('count(*) filter (lead_windows > 0 or late)', 'detected_within')},
+  {r6('avg((lead_windows > 0)::int)', 'warned_before_frac')}, {r6('avg((lead_windows > 0 or late)::int)', 'detected_frac')},
   {r6('coalesce(quantile_cont(lead_windows::double, 0.5) filter (lead_windows > 0), 0)', 'median_lead_windows')},
   {r6('coalesce(avg(lead_windows) filter (lead_windows > 0), 0)', 'mean_lead_windows')} from lead""", _SUS, _LEAD))
 def lead_summary(spark, sf_dir):

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.functions.scalars import clip, stable_uniform
 from netloom.operators.alerts import KEY, POS, run_length, sustained
-from netloom.operators.ranking import cumulate
+from netloom.operators.ranking import bucketed, cumulate
+from netloom.session import materialise, release
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -89,11 +93,13 @@ def lead_times(scored: DataFrame, alert: Column, onset: str, max_lookback: int,
 
 
 def lead_summary(leads: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Warned and detected onsets; median and mean over positive leads (at most the look-back)."""
+    """Warned and detected onsets, also as fractions (NULL without onsets); median and mean over positive leads (at most the look-back)."""
     lead = F.when(F.col("lead_windows") > 0, F.col("lead_windows"))
     return leads.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_onsets"), F.count(lead).alias("warned_before"),
         F.count_if("detected").alias("detected_within"),
+        F.avg((F.col("lead_windows") > 0).cast("double")).alias("warned_before_frac"),
+        F.avg(F.col("detected").cast("double")).alias("detected_frac"),
         F.coalesce(F.percentile(lead, F.lit(0.5)), F.lit(0.0)).alias("median_lead_windows"),
         F.coalesce(F.avg(lead), F.lit(0.0)).alias("mean_lead_windows"),
     )
@@ -137,16 +143,115 @@ def bootstrap_mean(df: DataFrame, value: str, n_boot: int, seed: int = 0) -> Dat
     return drawn.groupBy("boot").agg((F.sum(F.col("s") * F.col("m")) / F.sum(F.col("c") * F.col("m"))).alias("mean"))
 
 
-def bootstrap_auprc(df: DataFrame, n_boot: int, seed: int = 0, score: str = "score", label: str = "y") -> DataFrame:
-    """Average precision of every block resample that holds both classes.
-
-    Blocks are first reduced to (block, score) counts; resamples only reweight those counts.
+def block_draws(blocks: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
+    """``block_multiplicities`` as one row per drawn block: ``(block, m)``, ``m`` an array over resamples."""
+    drawn = block_multiplicities(blocks, n_boot, seed)
+    found = drawn.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("boot", "m"))).alias("_m"))
+    times = F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)),
+                        lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)).cast("int"))
+    return found.select("block", times.alias("m"))
+
+
+_CELLS = "model string, _bucket bigint, score double, p array<bigint>, q array<bigint>"
+
+
+def _weighted(n_boot: int):
+    """Positives and negatives of every resample per (model, bucket, score) of one task's rows."""
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            keys, values = list(held), list(held.values())
+            held.clear()
+            side = lambda i: pa.array([v[i] for v in values], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([*[pa.array(c) for c in zip(*keys)], side(0), side(1)],
+                                              names=["model", "_bucket", "score", "p", "q"])
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            m = np.array(batch.column("m").flatten()).reshape(-1, n_boot)
+            columns = [batch.column(c).to_pylist() for c in ("model", "_bucket", "score", "pos", "neg")]
+            for *key, pos, neg, times in zip(*columns, m):
+                at = held.setdefault(tuple(key), np.zeros((2, n_boot), np.int64))
+                at[0] += pos * times
+                at[1] += neg * times
+            if len(held) * n_boot > 1 << 20:
+                yield flush()
+        if held:
+            yield flush()
+    return run
+
+
+def bootstrap_metrics(df: DataFrame, n_boot: int, scores: Sequence[str], seed: int = 0, label: str = "y") -> DataFrame:
+    """Average precision and ROC-AUC of every block resample for several scores, on the same draws:
+    ``(model, boot, n, positives, auprc, roc_auc)``; the metrics are NULL with one class.
+
+    A block carries its multiplicities as one array over resamples, so a row meets all resamples at once and
+    none is shuffled on its own. Rows are added up per (model, score) in their task, stored, and reduced twice
+    per range of scores: to the ranges' totals, then, on top of the totals of higher ranges, to the metrics' sums.
+    Only models x ranges x resamples numbers reach the driver.
     """
-    per_block = score_counts(df, ["block"], score, label)
-    draws = block_multiplicities(df, n_boot, seed)
-    weighted = per_block.join(draws, "block").groupBy("boot", "score").agg(
-        F.sum(F.col("pos") * F.col("m")).alias("pos"), F.sum(F.col("neg") * F.col("m")).alias("neg"))
-    return ranking_metrics(weighted, ["boot"]).filter(F.col("auprc").isNotNull())
+    c = F.col
+    rows = df.select("block", c(label).cast("boolean").alias("_y"), F.inline(F.array(*[
+        F.struct(F.lit(s).alias("model"), c(s).cast("double").alias("score")) for s in scores]))).filter(c("score").isNotNull())
+    counts = score_counts(rows, ["model", "block"], "score", "_y")
+    cut = bucketed(counts, ["model"], "score", ["pos", "neg"])
+    met = cut.join(block_draws(df, n_boot, seed), "block")
+    cells = materialise(met.select("model", "_bucket", "score", "pos", "neg", "m").mapInArrow(_weighted(n_boot), _CELLS), "boot")
+
+    def summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(resamples in columns) positives and negatives per distinct score, scores falling."""
+        pdf = pdf.sort_values("score", ascending=False, kind="stable")
+        score = pdf["score"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+        return tuple(np.add.reduceat(np.stack(pdf[k]), first, axis=0) for k in ("p", "q"))
+
+    def totals(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            p, q = (np.array(batch.column(k).flatten()).reshape(-1, n_boot) for k in "pq")
+            for i, key in enumerate(zip(batch.column("model").to_pylist(), batch.column("_bucket").to_pylist())):
+                held.setdefault(key, np.zeros((2, n_boot), np.int64))
+                held[key] += (p[i], q[i])
+        if held:
+            yield pa.RecordBatch.from_arrays([
+                *[pa.array(k) for k in zip(*held)], *[pa.array([v[i] for v in held.values()], pa.list_(pa.int64())) for i in (0, 1)]],
+                names=["model", "_bucket", "p", "q"])
+
+    ranges = cells.mapInArrow(totals, "model string, _bucket bigint, p array<bigint>, q array<bigint>").repartition("model", "_bucket")
+    merged = {}
+    for model, bucket, p, q in ranges.groupBy("model", "_bucket").applyInPandas(
+            lambda pdf: pd.DataFrame({"model": pdf["model"].iloc[:1].tolist(), "_bucket": pdf["_bucket"].iloc[:1].tolist(),
+                                      "p": [np.stack(pdf["p"]).sum(0)], "q": [np.stack(pdf["q"]).sum(0)]}),
+            "model string, _bucket bigint, p array<bigint>, q array<bigint>").collect():
+        merged[model, bucket] = np.array([p, q], np.int64)
+    none = np.zeros((2, n_boot), np.int64)
+    above = {(m, k): sum((v for (n, j), v in merged.items() if n == m and j > k), none) for m, k in merged}
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = summed(pdf)
+        before = above[pdf["model"].iloc[0], int(pdf["_bucket"].iloc[0])]
+        tp, fp = before[0] + p.cumsum(0), before[1] + q.cumsum(0)
+        precise = (p * (tp / np.maximum(tp + fp, 1))).sum(0)
+        return pd.DataFrame({"model": pdf["model"].iloc[:1].tolist(), "a": [precise], "u": [(q * (tp - p / 2)).sum(0)]})
+
+    parts = cells.groupBy("model", "_bucket").applyInPandas(sums, "model string, a array<double>, u array<double>").collect()
+    release(cells)
+    out = []
+    for model in scores:
+        whole = sum((v for (m, _), v in merged.items() if m == model), none)
+        a, u = (sum((np.array(r[k]) for r in parts if r["model"] == model), np.zeros(n_boot)) for k in ("a", "u"))
+        for boot, (pos, neg) in enumerate(whole.T.tolist()):
+            both = pos > 0 and neg > 0
+            out.append((model, boot, pos + neg, pos, float(a[boot] / pos) if both else None,
+                        float(u[boot] / (pos * neg)) if both else None))
+    return df.sparkSession.createDataFrame(out, "model string, boot int, n bigint, positives bigint, auprc double, roc_auc double")
+
+
+def bootstrap_auprc(df: DataFrame, n_boot: int, seed: int = 0, score: str = "score", label: str = "y") -> DataFrame:
+    """Average precision of every block resample that holds both classes."""
+    return bootstrap_metrics(df, n_boot, [score], seed, label).filter(F.col("auprc").isNotNull()).drop("model")
 
 
 def interval(values: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -158,10 +263,10 @@ def interval(values: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 
 def paired_bootstrap(df: DataFrame, n_boot: int, score_a: str, score_b: str, label: str = "y",
                      seed: int = 0) -> DataFrame:
-    """Difference in average precision on identical resamples."""
-    a = bootstrap_auprc(df, n_boot, seed, score_a, label).select("boot", F.col("auprc").alias("a"))
-    b = bootstrap_auprc(df, n_boot, seed, score_b, label).select("boot", F.col("auprc").alias("b"))
-    diffs = a.join(b, "boot").withColumn("diff", F.col("a") - F.col("b"))
+    """Difference in average precision on identical resamples, from one pass over both scores."""
+    runs = bootstrap_metrics(df, n_boot, [score_a, score_b], seed, label)
+    pick = lambda name: F.max(F.when(F.col("model") == name, F.col("auprc")))
+    diffs = runs.groupBy("boot").agg((pick(score_a) - pick(score_b)).alias("diff")).filter(F.col("diff").isNotNull())
     return diffs.agg(
         F.count(F.lit(1)).alias("resamples"), F.percentile("diff", F.lit(0.025)).alias("low"),
         F.percentile("diff", F.lit(0.975)).alias("high"),

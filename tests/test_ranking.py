@@ -101,12 +101,33 @@ def test_bootstrap_reweights_whole_blocks(scores):
     for r in draws:
         per.setdefault(r["boot"], {})[r["block"]] = r["m"]
     assert all(sum(m.values()) == 30 for m in per.values())
+    arrays = {r["block"]: r["m"] for r in mt.block_draws(blocked, 5).collect()}
+    assert arrays == {b: [per[i].get(b, 0) for i in range(5)] for b in {b for m in per.values() for b in m}}
     got = {r["boot"]: r["auprc"] for r in mt.bootstrap_auprc(blocked, 5).collect()}
     for boot, m in per.items():
         rows = np.concatenate([np.tile(np.arange(int(b) * 100, int(b) * 100 + 100), k) for b, k in m.items()])
         assert got[boot] == pytest.approx(average_precision(y[rows], s[rows]), abs=1e-12)
 
 
+def test_bootstrap_pairs_share_draws_and_one_class_is_null(scores, spark):
+    s, y, df = scores
+    both = df.withColumns({"block": F.floor(F.col("id") / 100).cast("string"), "other": F.when(F.col("id") % 7 > 0, 1 - F.col("score"))})
+    runs = mt.bootstrap_metrics(both, 4, ["score", "other"]).collect()
+    alone = {name: {r["boot"]: r["auprc"] for r in mt.bootstrap_auprc(both, 4, score=name).collect()} for name in ("score", "other")}
+    assert {(r["model"], r["boot"]): r["auprc"] for r in runs} == {(m, b): v for m, d in alone.items() for b, v in d.items()}
+    plain = mt.ranking_metrics(mt.score_counts(both.join(mt.block_multiplicities(both, 4), "block"), ["boot"], "other", "y", "m")
+                               .filter("score is not null"), ["boot"])
+    for r in plain.collect():
+        mine = next(x for x in runs if x["model"] == "other" and x["boot"] == r["boot"])
+        assert (mine["n"], mine["positives"]) == (r["n"], r["positives"])
+        assert mine["auprc"] == pytest.approx(r["auprc"]) and mine["roc_auc"] == pytest.approx(r["roc_auc"])
+    one = mt.bootstrap_metrics(both.filter("y"), 2, ["score"]).collect()
+    assert [r["auprc"] for r in one] == [None, None]
+    row = mt.paired_bootstrap(both, 4, "score", "other").first()
+    gaps = [alone["score"][b] - alone["other"][b] for b in range(4)]
+    assert row["resamples"] == 4 and row["p_a_better"] == np.mean([g > 0 for g in gaps])
+
+
 def test_dense_index_is_a_permutation(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("k"))
     assert sorted(r["i"] for r in mt.dense_index(df, "k").collect()) == list(range(500))
