@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.q_metrics import part, scored
-from checks.q_splits import FEW, NAMES, SURPRISE_PARTS, binned, scaled_state
+from checks.q_splits import HORIZONS, MASK, NAMES, STATE_PARTS, binned_states, bins_table, scaled_state
 from checks.q_states import KEYS
 from checks.registry import CFG, big, query, r6, stored
 from checks.sqltext import with_parts
 from netloom import vocab
 from netloom.operators import calibration as ca
+from netloom.operators import dynamics as dy
 from netloom.operators import metrics as mt
 from netloom.operators import models as md
 from netloom.operators import normalise as nm
@@ -240,8 +241,7 @@ def context(spark, sf_dir):
 def model_rows(spark, sf_dir):
     """Scaled, masked model inputs with target and split."""
     def build():
-        z = scaled_state(spark, sf_dir, NAMES).withColumn("m_ip", F.lit(1.0))
-        return nm.model_input(z, NAMES).withColumn("y", F.col("y_6"))
+        return nm.model_input(scaled_state(spark, sf_dir)).withColumn("y", F.col("y_6"))
     return stored(spark, sf_dir, "inputs", build)
 
 
@@ -315,35 +315,24 @@ def nowcast(spark, sf_dir):
 
 @query("ridge_ar_nll")
 def ridge(spark, sf_dir):
-    """Gaussian bin likelihood of the next state under a ridge AR(6), per window."""
-    from pyspark.sql import Window as W
-    z = scaled_state(spark, sf_dir, FEW).withColumns({"m_ip": F.lit(1.0), "a": F.array(*FEW)})
-    stacked = md.stack_history(z, "a", 6, CFG.session_block)
-    rows = stacked.withColumn("target", F.lead("a", 1).over(W.partitionBy("session_key").orderBy("pos_in_session")))
-    known = rows.filter(F.col("x").isNotNull() & F.col("target").isNotNull())
-    params = md.ridge_autoregression(known.filter("split = 'train'"), len(FEW))
-    mu = md.predict_autoregression(known, params)
-    cells = F.inline(F.arrays_zip(F.lit(list(FEW)).alias("feature"), F.col("mu"),
-                                  F.lit([float(s) for s in params["sigma"]]).alias("sigma")))
-    predicted = mu.select("session_key", (F.col("pos_in_session") + 1).alias("pos_in_session"), cells)
-    long, bins = binned(spark, sf_dir)
-    placed = long.join(F.broadcast(bins.select("feature", "edges")), "feature").join(
-        predicted, ["session_key", "pos_in_session", "feature"])
-    edged = placed.withColumns({"lower": F.try_element_at("edges", F.col("bin")),
-                                "upper": F.try_element_at("edges", F.col("bin") + 1)})
-    edged = edged.withColumn("lower", F.when(F.col("bin") > 0, F.get("edges", F.col("bin") - 1)))
-    scored_ = md.bin_mass(edged, "mu", "sigma", "lower", "upper")
-    return nm.mean_nll(scored_, "p_ar", ["session_key", "pos_in_session"])
+    """Gaussian bin likelihood of the state 1, 6 and 30 windows ahead under a ridge AR(6), per window."""
+    states = binned_states(spark, sf_dir)
+    found = {r["feature"]: r["edges"] for r in bins_table(spark, sf_dir).select("feature", "edges").collect()}
+    edges, out = [found[n] for n in NAMES], None
+    for k in HORIZONS:
+        pairs = md.history_pairs(states, k, block=CFG.session_block)
+        params = md.ridge_autoregression(pairs.filter("split = 'train'"), len(NAMES))
+        rows = dy.autoregression_nll(pairs, params, edges, k)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("surprise", with_parts(f"""
 select t.session_key, {big('t.pos', 'pos_in_session')}, {r6('-sum(ln(greatest(ph, 1e-4)) * mask) / greatest(sum(mask), 1)', 'surprise')}
-from (select b.session_key, b.pos, b.feature, case when b.feature like 'ttl%' then b.m_packet else 1.0 end as mask,
-    (count(a.pos) + 0.5::double) / (8.0::double + 0.5::double * b.n_bins) as ph
-  from binned b left join binned a on a.session_key = b.session_key and a.feature = b.feature and a.bin = b.bin
+from (select b.session_key, b.pos, b.feature, b.mask, (count(a.pos) + 0.5::double) / (8.0::double + 0.5::double * b.n_bins) as ph
+  from b left join b a on a.session_key = b.session_key and a.feature = b.feature and a.bin = b.bin
     and a.pos between b.pos - 8 and b.pos - 1
-  where b.pos >= 8 group by b.session_key, b.pos, b.feature, b.m_packet, b.n_bins) t
-group by t.session_key, t.pos""", *SURPRISE_PARTS))
+  where b.pos >= 8 group by b.session_key, b.pos, b.feature, b.mask, b.n_bins) t
+group by t.session_key, t.pos""", *STATE_PARTS, ("b", f"select session_key, pos, feature, bin, n_bins, {MASK} as mask from binned")))
 def surprise(spark, sf_dir):
-    return nm.surprise(binned(spark, sf_dir)[0], CFG)
-
+    return dy.surprise(binned_states(spark, sf_dir), CFG.context, CFG.session_block)

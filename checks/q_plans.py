@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.q_metrics import scored
-from checks.q_splits import _BINNED, _EDGES, _MASKED, _ZL, FEW, _scaler, binned, masked_rows
+from checks.q_splits import HORIZONS, NAMES, STATE_PARTS, binned_states, bins_table, masked_rows
 from checks.registry import CFG, big, flows, query, r6, stored
 from checks.sqltext import with_parts
 from netloom.plans import analyse as an
@@ -32,36 +32,40 @@ def two_level_report(spark, sf_dir):
     return ev.two_level_report(scored(spark, sf_dir), CFG, (0.03, 0.05, 0.1), 0.7)
 
 
+_TEST = ("tested", "select * from nllrows where from_split = 'test'")
+
+
 @query("next_state_report", with_parts(f"""
-select {big('3', 'k')}, {big('count(*)', 'n')}, {r6('avg(h)', 'nll_history')}, {r6('avg(p)', 'nll_persistence')}, {r6('avg(p - h)', 'gain')}
-from (select session_key, pos, -sum(ln(greatest(ph, 1e-4)) * mask) / greatest(sum(mask), 1) as h,
-    -sum(ln(greatest(pp, 1e-4)) * mask) / greatest(sum(mask), 1) as p from nllrows group by session_key, pos)""",
-                                     *_scaler(FEW), _ZL, _EDGES, _BINNED, _MASKED))
+select {big('k', 'k')}, {big('count(*)', 'n')}, {r6('avg(h)', 'nll_history')}, {r6('avg(p)', 'nll_persistence')}, {r6('avg(p - h)', 'gain')}
+from tested group by k""", *STATE_PARTS, *masked_rows(HORIZONS), _TEST))
 def next_state_report(spark, sf_dir):
-    long = stored(spark, sf_dir, "binned6", lambda: binned(spark, sf_dir)[0])
-    out = ev.next_state_report(long, (3,), CFG.context, n_boot=50)
+    out = ev.next_state_report(binned_states(spark, sf_dir), HORIZONS, CFG)
     return out.select("k", "n", "nll_history", "nll_persistence", "gain")
 
 
-_GAIN = ("gain", """select session_key || '@' || cast(floor(pos / 20) as bigint) as block,
-  (-sum(ln(greatest(pp, 1e-4)) * mask) + sum(ln(greatest(ph, 1e-4)) * mask)) / greatest(sum(mask), 1) as g
-from nllrows group by session_key, pos""")
+@query("next_state_controls")
+def next_state_controls(spark, sf_dir):
+    """The same report with the ridge autoregression beside it."""
+    edges = {r["feature"]: r["edges"] for r in bins_table(spark, sf_dir).select("feature", "edges").collect()}
+    return ev.next_state_report(binned_states(spark, sf_dir), HORIZONS, CFG, [edges[n] for n in NAMES])
+
+
+_GAIN = ("gain", """select session_key || '@' || cast(floor(pos / 20) as bigint) as block, p - h as g from tested""")
 _NUM = ("numbered", """select block, s, c, row_number() over (order by substr(md5(block), 1, 2), block) - 1 as i
 from (select block, sum(g) as s, count(*) as c from gain group by block)""")
 _MEANS = ("means", """select boot, sum(n.s) / sum(n.c) as m from (
   select boot, cast(floor(('0x' || substr(md5(boot || '|' || i || '|0'), 1, 8))::bigint / 4294967296.0::double
     * (select count(*) from numbered)) as bigint) as pick
-  from (select unnest(generate_series(0, 49)) as boot) b cross join numbered) d
+  from (select unnest(generate_series(0, 299)) as boot) b cross join numbered) d
 join numbered n on n.i = d.pick group by boot""")
 
 
 @query("next_state_interval", with_parts(f"""
 select {big('1', 'k')}, {big('(select count(*) from gain)', 'n')}, {r6('(select avg(g) from gain)', 'gain')},
   {r6('quantile_cont(m, 0.025)', 'gain_low')}, {r6('quantile_cont(m, 0.975)', 'gain_high')} from means""",
-                                       *_scaler(FEW), _ZL, _EDGES, _BINNED, masked_rows(1), _GAIN, _NUM, _MEANS))
+                                       *STATE_PARTS, *masked_rows((1,)), _TEST, _GAIN, _NUM, _MEANS))
 def next_state_interval(spark, sf_dir):
-    long = stored(spark, sf_dir, "binned6", lambda: binned(spark, sf_dir)[0])
-    return ev.next_state_report(long, (1,), CFG.context, n_boot=50, block=20).select(
+    return ev.next_state_report(binned_states(spark, sf_dir), (1,), CFG, block=20).select(
         "k", "n", "gain", "gain_low", "gain_high")
 
 
@@ -77,7 +81,7 @@ def fixed_threshold(spark, sf_dir):
 @query("evaluation_report")
 def evaluation_report(spark, sf_dir):
     """All metrics of one model at its operating points, as (part, metric, value) rows."""
-    return ev.evaluation_report(scored(spark, sf_dir), CFG, n_boot=40, block=20)
+    return ev.evaluation_report(scored(spark, sf_dir), CFG, block=20)
 
 
 @query("forecast_timeline")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.q_states import KEYS, labelled, windowed
-from checks.registry import CFG, big, query, r6, stored
-from checks.sqltext import feature_value, with_parts
+from checks.q_states import KEYS, labelled
+from checks.registry import CFG, big, flows, query, r6, stored
+from checks.sqltext import with_parts
 from netloom import vocab
-from netloom.operators import features as fx
+from netloom.operators import dynamics as dy
 from netloom.operators import normalise as nm
 from netloom.operators import splits as sp
+from netloom.plans.build import build_windows
 
 WIN = big("win", '"window"')
 
@@ -97,38 +98,29 @@ def spans(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ scaling and bins
-NAMES = tuple(f.name for f in vocab.FEATURES if f.grp in ("volume", "flags"))
-FEW = ("flow_count", "bytes_rate", "duration_mean", "syn_rate", "iat_mean_mean", "ttl_mean_mean")
+NAMES = vocab.FEATURE_NAMES
 
 
-def state_table(spark, sf_dir, names=NAMES):
-    """Windows with window-level features only, zero-filled, split and masked."""
+def state_table(spark, sf_dir):
+    """The whole windows table: all features (in single precision, as tables of states are stored) and masks, split."""
     def build():
-        feats = fx.window_aggregates(windowed(spark, sf_dir), CFG)
-        joined = split_table(spark, sf_dir).join(feats, KEYS, "left")
-        keep = [c for c in joined.columns if c not in feats.columns or c in KEYS]
-        measured = [n for n in vocab.FEATURE_NAMES if n in feats.columns]
-        return fx.clean_features(joined, keep, measured)
-    table = stored(spark, sf_dir, "state", build)
-    return table.select(*[c for c in table.columns if c in names or c not in vocab.FEATURE_NAMES])
+        windows = sp.temporal_split(build_windows(flows(spark, sf_dir), CFG), CFG, CFG.primary_horizon)
+        return windows.withColumns({n: F.col(n).cast("float").cast("double") for n in NAMES})
+    return stored(spark, sf_dir, "state", build)
 
 
-def _sql_long(names) -> str:
-    cells = ", ".join(
-        "{'feature': '%s', 'value': %s}" % (n, (f"ln(1 + {feature_value(n)})" if n in vocab.LOG_FEATURES
-                                               else feature_value(n))) for n in names)
-    return (f"select s.*, m_packet, u.feature, u.value from (select s.*, coalesce(a.m_packet, 0.0::double) as m_packet,"
-            f" unnest([{cells}]) as u from split s left join agg a on a.capture = s.capture and a.win = s.win) s")
-
-
-def _scaler(names):
-    return (("long", _sql_long(names)), ("scaler", """
+_CELLS = ", ".join("{'feature': '%s', 'value': %s}" % (
+    n, f"sign({n}) * ln(1 + abs({n}))" if n in vocab.LOG_FEATURES else n) for n in NAMES)
+_KEPT = "capture, session_key, win, pos, split, fit_row, n_flows, warmup, y_6, m_packet, m_ip, m_lookback"
+_FIT = "fit_row and (n_flows > 0 or (select count(*) < 100 from split where fit_row and n_flows > 0))"
+_LONG = (("state", f"select {_KEPT}, " + ", ".join(f"cast(cast({n} as float) as double) as {n}" for n in NAMES) + " from feat"),
+         ("long", f"select {_KEPT}, u.feature, u.value from (select {_KEPT}, unnest([{_CELLS}]) as u from state)"))
+_SCALER = (*_LONG, ("scaler", f"""
 select feature, quantile_cont(value, 0.5) as center,
   case when (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349::double > 1e-9
          then (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349::double
        when stddev_pop(value) > 1e-9 then stddev_pop(value) else 1.0 end as scale
-from long where fit_row and (n_flows > 0 or (select count(*) < 100 from split where fit_row and n_flows > 0))
-group by feature"""))
+from long where {_FIT} group by feature"""))
 
 
 _ZL = ("zlong", """select l.*, least(greatest((l.value - s.center) / s.scale, -10.0), 10.0) as z
@@ -136,35 +128,31 @@ from long l join scaler s on s.feature = l.feature""")
 
 
 @query("scaler_fit", with_parts(f"""
-select feature, {r6('center', 'center')}, {r6('scale', 'scale')} from scaler""", *_scaler(NAMES)))
+select feature, {r6('center', 'center')}, {r6('scale', 'scale')} from scaler""", *_SCALER))
 def scaler_fit(spark, sf_dir):
-    return nm.fit_scaler(nm.fit_rows(state_table(spark, sf_dir)), NAMES).select("feature", "center", "scale")
+    return nm.fit_scaler(nm.fit_rows(state_table(spark, sf_dir))).select("feature", "center", "scale")
 
 
-_PIVOT = ", ".join(r6(f"max(z) filter (feature = '{n}')", n) for n in FEW)
+_PIVOT = ", ".join(r6(f"max(z) filter (feature = '{n}')", n) for n in NAMES)
 
 
-@query("scale_features", with_parts(f"select capture, {WIN}, {_PIVOT} from zlong group by capture, win",
-                                    *_scaler(FEW), _ZL))
+@query("scale_features", with_parts(f"select capture, {WIN}, {_PIVOT} from zlong group by capture, win", *_SCALER, _ZL))
 def scale(spark, sf_dir):
-    state = state_table(spark, sf_dir, FEW)
-    return nm.scale_wide(state, nm.fit_scaler(nm.fit_rows(state), FEW), FEW).select(*KEYS, *FEW)
+    return scaled_state(spark, sf_dir).select(*KEYS, *NAMES)
 
 
 _BACK = ", ".join(
-    f"round(max(case when feature in ({', '.join(repr(x) for x in FEW if x in vocab.LOG_FEATURES)}) "
+    f"round(max(case when feature in ({', '.join(repr(x) for x in NAMES if x in vocab.LOG_FEATURES)}) "
     f"then sign(z*scale+center)*(exp(abs(z*scale+center))-1) else z*scale+center end) "
-    f"filter (feature = '{n}') * 0.7310585::double, 5) + 0.0 as {n}" for n in FEW)
+    f"filter (feature = '{n}') * 0.7310585::double, 3) + 0.0 as {n}" for n in NAMES)
 
 
 @query("unscale_features", with_parts(
     f"select capture, {WIN}, {_BACK} from (select z.*, center, scale from zlong z join scaler using (feature))"
-    " group by capture, win", *_scaler(FEW), _ZL))
+    " group by capture, win", *_SCALER, _ZL))
 def unscale(spark, sf_dir):
-    state = state_table(spark, sf_dir, FEW)
-    scaler = stored_scaler(spark, sf_dir)
-    back = nm.unscale_wide(nm.scale_wide(state, scaler, FEW), scaler, FEW)
-    return back.select(*KEYS, *[F.round(F.col(n) * 0.7310585, 5).alias(n) for n in FEW])
+    back = nm.unscale_wide(scaled_state(spark, sf_dir), stored_scaler(spark, sf_dir))
+    return back.select(*KEYS, *[F.round(F.col(n) * 0.7310585, 3).alias(n) for n in NAMES])
 
 
 _WARM = ("warm", """select session_key, feature, quantile_cont(value, 0.5) as own from long where warmup
@@ -172,50 +160,47 @@ group by session_key, feature having count(*) >= 10""")
 
 
 @query("warmup_center", with_parts(
-    f"select session_key, feature, {r6('own', 'center')} from warm", ("long", _sql_long(FEW)), _WARM))
+    f"select session_key, feature, {r6('own', 'center')} from warm", *_LONG, _WARM))
 def warm(spark, sf_dir):
-    return nm.warmup_centers(state_table(spark, sf_dir, FEW), FEW)
+    return nm.warmup_centers(state_table(spark, sf_dir))
 
 
 _WPIVOT = ", ".join(r6("max(least(greatest((value - coalesce(own, center)) / scale, -10.0), 10.0))"
-                       f" filter (feature = '{n}')", n) for n in FEW)
+                       f" filter (feature = '{n}')", n) for n in NAMES)
 
 
 @query("scale_warmup", with_parts(f"""
 select capture, {WIN}, {_WPIVOT} from long join scaler using (feature) left join warm using (session_key, feature)
-group by capture, win""", *_scaler(FEW), _WARM))
+group by capture, win""", *_SCALER, _WARM))
 def scale_warm(spark, sf_dir):
-    state = state_table(spark, sf_dir, FEW)
+    state = state_table(spark, sf_dir)
     scaler = stored_scaler(spark, sf_dir)
-    return nm.scale_wide(state, scaler, FEW, nm.warmup_centers(state, FEW)).select(*KEYS, *FEW)
+    return nm.scale_wide(state, scaler, centers=nm.warmup_centers(state)).select(*KEYS, *NAMES)
 
 
-_FIT = "fit_row and (n_flows > 0 or (select count(*) < 100 from split where fit_row and n_flows > 0))"
 _EDGES = ("edges", "select feature, list_sort(list_distinct(quantile_cont(z, ["
           + ", ".join(f"{i / 16}" for i in range(1, 16)) + f"]))) as e from zlong where {_FIT} group by feature")
 _BINNED = ("binned", """select z.*, len(list_filter(e, lambda x: x <= z)) as bin, len(e) + 1 as n_bins
 from zlong z join edges using (feature)""")
 
 
-def stored_scaler(spark, sf_dir, names=FEW):
-    state = state_table(spark, sf_dir, names)
-    return stored(spark, sf_dir, f"scaler{len(names)}", lambda: nm.fit_scaler(nm.fit_rows(state), names))
+def stored_scaler(spark, sf_dir):
+    return stored(spark, sf_dir, "scaler", lambda: nm.fit_scaler(nm.fit_rows(state_table(spark, sf_dir))))
 
 
-def scaled_state(spark, sf_dir, names=FEW):
-    state = state_table(spark, sf_dir, names)
-    scaler = stored_scaler(spark, sf_dir, names)
-    return stored(spark, sf_dir, f"scaled{len(names)}", lambda: nm.scale_wide(state, scaler, names))
+def scaled_state(spark, sf_dir):
+    return stored(spark, sf_dir, "scaled", lambda: nm.scale_wide(state_table(spark, sf_dir), stored_scaler(spark, sf_dir)))
 
 
-def binned(spark, sf_dir, names=FEW):
-    z = scaled_state(spark, sf_dir, names)
-    keep = ["capture", "window", "session_key", "pos_in_session", "remaining", "fit_row", "n_flows", "m_packet",
-            "m_lookback"]
-    bins = stored(spark, sf_dir, f"bins{len(names)}",
-                  lambda: nm.fit_bins(nm.unpivot(nm.fit_rows(z), names, [], compressed=False)))
-    long = nm.unpivot(z.withColumn("m_ip", F.lit(1.0)), names, [*keep, "m_ip"], compressed=False)
-    return nm.assign_bins(long, bins).withColumn("mask", nm.feature_mask(F.col("feature"))), bins
+def bins_table(spark, sf_dir):
+    def build():
+        return nm.fit_bins(nm.unpivot(nm.fit_rows(scaled_state(spark, sf_dir)), NAMES, [], compressed=False))
+    return stored(spark, sf_dir, "bins", build)
+
+
+def binned_states(spark, sf_dir):
+    """Windows with scaled values, bins and masks as arrays over all features."""
+    return stored(spark, sf_dir, "binned", lambda: dy.binned_states(scaled_state(spark, sf_dir), bins_table(spark, sf_dir)))
 
 
 @query("binner_fit", with_parts(f"""
@@ -225,52 +210,46 @@ from (select feature, e, unnest(generate_series(0, len(e))) as bin from edges) b
 left join (select feature, bin, quantile_cont(z, 0.5) as med from binned where {_FIT} group by feature, bin) m
   using (feature, bin)
 join (select feature, min(z) - 1e-6 as lo, max(z) + 1e-6 as hi from zlong where {_FIT} group by feature)
-  using (feature)""", *_scaler(FEW), _ZL, _EDGES, _BINNED))
+  using (feature)""", *_SCALER, _ZL, _EDGES, _BINNED))
 def binner(spark, sf_dir):
-    _, bins = binned(spark, sf_dir)
-    each = bins.select("feature", "edges", F.posexplode("centers").alias("bin", "center"))
+    each = bins_table(spark, sf_dir).select("feature", "edges", F.posexplode("centers").alias("bin", "center"))
     return each.select("feature", "bin", F.get("edges", F.col("bin")).alias("upper"), "center")
 
 
 @query("bin_index", with_parts(f"""
 select capture, {WIN}, feature, {big('bin', 'bin')}, {big('n_bins', 'n_bins')} from binned""",
-                               *_scaler(FEW), _ZL, _EDGES, _BINNED))
+                               *_SCALER, _ZL, _EDGES, _BINNED))
 def bin_of(spark, sf_dir):
-    return binned(spark, sf_dir)[0].select(*KEYS, "feature", "bin", "n_bins")
+    long = nm.unpivot(scaled_state(spark, sf_dir), NAMES, KEYS, compressed=False)
+    return nm.assign_bins(long, bins_table(spark, sf_dir)).select(*KEYS, "feature", "bin", "n_bins")
+
+
+HORIZONS = (1, 6, 30)
+MASK = "case " + " ".join(
+    f"when feature in ({', '.join(repr(f.name) for f in vocab.FEATURES if vocab.GROUP_MASK.get(f.grp) == m)}) then {m}"
+    for m in vocab.MASKS) + " else 1.0 end"
 
 
-def masked_rows(k: int) -> tuple[str, str]:
-    """Bin probabilities of every window under persistence and under the eight windows up to k before."""
-    return ("nllrows", f"""
-select t.session_key, t.pos, t.feature, t.bin, t.n_bins,
-  case when t.feature like 'ttl%' then t.m_packet else 1.0 end as mask,
-  case when c.bin = t.bin then 0.9::double else 0.1::double / greatest(t.n_bins - 1, 1) end as pp,
-  (h.n + 0.5::double) / (8.0::double + 0.5::double * t.n_bins) as ph
-from binned t
-join binned c on c.session_key = t.session_key and c.feature = t.feature and c.pos = t.pos - {k}
-join (select t.session_key, t.feature, t.pos, count(a.pos) as n from binned t left join binned a
-        on a.session_key = t.session_key and a.feature = t.feature and a.bin = t.bin
-        and a.pos between t.pos - {k + 7} and t.pos - {k}
-      group by t.session_key, t.feature, t.pos) h
-  on h.session_key = t.session_key and h.feature = t.feature and h.pos = t.pos
-where t.pos - {k} >= 7""")
+def masked_rows(ks) -> tuple[tuple[str, str], ...]:
+    """Likelihoods of every window, k after a whole context of eight windows, under that context and under its last one."""
+    return (("b", f"select session_key, split, pos, feature, bin, n_bins, {MASK} as mask from binned"), ("nllrows", f"""
+select k, session_key, pos, from_split, -sum(ln(greatest(ph, 1e-4)) * mask) / greatest(sum(mask), 1) as h,
+  -sum(ln(greatest(pp, 1e-4)) * mask) / greatest(sum(mask), 1) as p
+from (select k, t.session_key, t.pos, t.mask, any_value(a.split) filter (a.pos = t.pos - k) as from_split,
+    case when bool_or(a.bin = t.bin) filter (a.pos = t.pos - k) then 0.9::double else 0.1::double / greatest(t.n_bins - 1, 1) end as pp,
+    (count(*) filter (a.bin = t.bin) + 0.5::double) / (8.0::double + 0.5::double * t.n_bins) as ph
+  from b t cross join (select unnest([{', '.join(map(str, ks))}]) as k) join b a on a.session_key = t.session_key
+    and a.feature = t.feature and a.pos between t.pos - k - 7 and t.pos - k
+  where t.pos - k >= 7 group by k, t.session_key, t.pos, t.feature, t.mask, t.n_bins)
+group by k, session_key, pos, from_split"""))
 
 
-_MASKED = masked_rows(3)
+STATE_PARTS = (*_SCALER, _ZL, _EDGES, _BINNED)
 
 
 @query("next_state_nll", with_parts(f"""
-select session_key, {big('pos', 'pos_in_session')},
-  {r6('-sum(ln(greatest(ph, 1e-4)) * mask) / greatest(sum(mask), 1)', 'nll_history')},
-  {r6('-sum(ln(greatest(pp, 1e-4)) * mask) / greatest(sum(mask), 1)', 'nll_persistence')}
-from nllrows group by session_key, pos""", *_scaler(FEW), _ZL, _EDGES, _BINNED, _MASKED))
+select {big('k', 'k')}, session_key, {big('pos', 'pos_in_session')}, {r6('h', 'nll_history')}, {r6('p', 'nll_persistence')}
+from nllrows""", *STATE_PARTS, *masked_rows(HORIZONS)))
 def next_state(spark, sf_dir):
-    """Likelihood of the state three windows ahead under recent history and under persistence."""
-    long = binned(spark, sf_dir)[0]
-    both = nm.persistence_probability(nm.history_probability(long, 3, CFG.context), 3).filter("full")
-    keys = ["session_key", "pos_in_session"]
-    h = nm.mean_nll(both, "p_history", keys).withColumnRenamed("nll", "nll_history")
-    p = nm.mean_nll(both, "p_persistence", keys).withColumnRenamed("nll", "nll_persistence")
-    return h.join(p, keys)
-
-SURPRISE_PARTS = (*_scaler(FEW), _ZL, _EDGES, _BINNED)
+    """Likelihood of the state 1, 6 and 30 windows ahead under recent history and under persistence."""
+    return dy.next_state_nll(binned_states(spark, sf_dir), HORIZONS, CFG.context, CFG.session_block)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -87,32 +87,54 @@ def nowcast(model, rows: DataFrame, out: str = "nowcast") -> DataFrame:
 
 
 # ------------------------------------------------------------------ ridge autoregression
-def ridge_autoregression(history: DataFrame, outputs: int, alpha: float = 1.0) -> dict[str, np.ndarray]:
-    """Multi-output ridge from rows with ``x`` (inputs) and ``target`` (outputs), both arrays.
+def history_pairs(states: DataFrame, k: int, depth: int = 6, block: int = 4096) -> DataFrame:
+    """Windows with the states of the last ``depth`` windows in ``x`` and the state k windows later in ``target``,
+    ``target_bins`` and ``target_mask``; others are left out. Sessions are cut into overlapping position blocks."""
+    order = W.partitionBy(KEY, "_slice").orderBy(POS)
+    cut = with_halo(states, F.col(POS), block, before=depth - 1, after=k)
+    parts = [*[F.lag("z", i).over(order) for i in range(depth - 1, 0, -1)], F.col("z")]
+    ahead = {name: F.lead(column, k).over(order) for name, column in (
+        ("target", "z"), ("target_bins", "bins"), ("target_mask", "mask"))}
+    pairs = cut.withColumns({"x": F.concat(*parts), **ahead}).filter("_own").drop("_own", "_slice")
+    return pairs.filter(F.col("x").isNotNull() & F.col("target").isNotNull())
+
 
-    Tasks reduce their rows to one Gram matrix each; Spark sums those cell by cell. Only the
-    summed matrix (inputs + outputs + 1 squared, whatever the row count) reaches the driver,
-    where the normal equations are solved.
+def gram(rows: DataFrame, lanes: int = 16) -> np.ndarray:
+    """Sum of (1, x, target) outer products over all rows, through a tree of array sums.
+
+    A task reduces its rows to one matrix, ``lanes`` tasks add those up; only ``lanes`` matrices of fixed size reach the driver.
     """
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches):
         total = None
-        for pdf in batches:
-            if len(pdf):
-                x, y = np.vstack(pdf["x"]), np.vstack(pdf["target"])
-                full = np.hstack([np.ones((len(pdf), 1)), x, y])
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.array(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in ("x", "target"))
+                full = np.hstack([np.ones((len(x), 1)), x, y])
                 total = full.T @ full if total is None else total + full.T @ full
         if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
-
-    rows = history.select("x", "target").mapInPandas(partial, "i int, row array<double>")
-    cells = rows.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    pdf = cells.toPandas()
-    size = int(pdf["i"].max()) + 1
-    gram = np.zeros((size, size))
-    gram[pdf["i"], pdf["j"]] = pdf["v"]
-    n, split = gram[0, 0], size - outputs
-    mean = gram[0] / n
-    centred = gram - n * np.outer(mean, mean)
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["cells"])
+
+    def added(batches):
+        total = None
+        for batch in batches:
+            for row in batch.column("cells"):
+                cells = np.asarray(row.values)
+                total = cells.copy() if total is None else total + cells
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["cells"])
+
+    parts = rows.select("x", "target").mapInArrow(partial, "cells array<double>").repartition(lanes).mapInArrow(
+        added, "cells array<double>").collect()
+    total = sum(np.array(r[0]) for r in parts)
+    size = int(round(np.size(total) ** 0.5))
+    return np.reshape(total, (size, size))
+
+
+def solve_ridge(matrix: np.ndarray, outputs: int, alpha: float = 1.0) -> dict[str, np.ndarray]:
+    """Multi-output ridge with a free intercept from a Gram matrix whose last ``outputs`` columns are the targets."""
+    n, split = matrix[0, 0], len(matrix) - outputs
+    mean = matrix[0] / n
+    centred = matrix - n * np.outer(mean, mean)
     xx, xy, yy = centred[1:split, 1:split], centred[1:split, split:], centred[split:, split:]
     weights = np.linalg.solve(xx + alpha * np.eye(split - 1), xy)
     residual = np.diag(yy) - 2 * np.sum(weights * xy, 0) + np.sum(weights * (xx @ weights), 0)
@@ -120,34 +142,6 @@ def ridge_autoregression(history: DataFrame, outputs: int, alpha: float = 1.0) -
             "sigma": np.maximum(np.sqrt(np.maximum(residual / n, 0)), 0.05)}
 
 
-def predict_autoregression(history: DataFrame, params: dict[str, np.ndarray], out: str = "mu") -> DataFrame:
-    """Expected target of every row: one dot product per output, with literal coefficients."""
-    w, b = params["weights"], params["intercept"]
-
-    def dot(j: int) -> Column:
-        coef = F.lit([float(v) for v in w[:, j]])
-        return F.aggregate(F.zip_with("x", coef, lambda a, c: a * c), F.lit(float(b[j])), lambda acc, v: acc + v)
-
-    return history.withColumn(out, F.array(*[dot(j) for j in range(w.shape[1])]))
-
-
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function as a column expression (Spark has no erf).
-
-    Rational approximation 7.1.26 of Abramowitz and Stegun; absolute error below 1.5e-7.
-    """
-    x = F.abs(z) / F.lit(2.0 ** 0.5)
-    t = 1.0 / (1.0 + 0.3275911 * x)
-    poly = F.lit(0.0)
-    for coefficient in (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592):
-        poly = (poly + coefficient) * t
-    erf = 1.0 - poly * F.exp(-x * x)
-    return F.when(z >= 0, 0.5 * (1.0 + erf)).otherwise(0.5 * (1.0 - erf))
-
-
-def bin_mass(rows: DataFrame, mu: str, sigma: str, lower: str, upper: str, out: str = "p_ar") -> DataFrame:
-    """Gaussian mass of a bin; NULL borders are open ends."""
-    def cdf(border: str, open_value: float) -> Column:
-        return F.when(F.col(border).isNull(), F.lit(open_value)).otherwise(
-            normal_cdf((F.col(border) - F.col(mu)) / F.col(sigma)))
-    return rows.withColumn(out, cdf(upper, 1.0) - cdf(lower, 0.0))
+def ridge_autoregression(history: DataFrame, outputs: int, alpha: float = 1.0) -> dict[str, np.ndarray]:
+    """Multi-output ridge from rows with ``x`` (inputs) and ``target`` (outputs), both arrays."""
+    return solve_ridge(gram(history), outputs, alpha)

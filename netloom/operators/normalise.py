@@ -1,4 +1,4 @@
-"""Robust scaling, quantile bins and next-state likelihoods.
+"""Robust scaling and quantile bins.
 
 Parameters are small tables (one row per feature). They reach the windows through a scalar
 subquery, so nothing is collected and the windows table is not shuffled.
@@ -9,11 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom import vocab
-from netloom.config import EngineConfig
 from netloom.functions.scalars import bin_index, clip, compress
 from netloom.operators.ranking import quantiles
 
@@ -126,54 +124,9 @@ def assign_bins(long: DataFrame, bins: DataFrame) -> DataFrame:
         (F.size("edges") + 1).alias("n_bins"))
 
 
-def feature_mask(feature: Column) -> Column:
-    """1 where the feature's group was observed in the row's window (uses the mask columns)."""
-    out = F.lit(1.0)
-    for group, mask in vocab.GROUP_MASK.items():
-        names = [f.name for f in vocab.FEATURES if f.grp == group]
-        out = F.when(feature.isin(*names), F.col(mask)).otherwise(out)
-    return out
-
-
 def model_input(win: DataFrame, names: Sequence[str] = vocab.FEATURE_NAMES, out: str = "x") -> DataFrame:
     """Masked features followed by the three masks, as one array."""
     group = {f.name: f.grp for f in vocab.FEATURES}
     gated = [F.col(n) * F.col(vocab.GROUP_MASK[group[n]]) if group[n] in vocab.GROUP_MASK else F.col(n)
              for n in names]
     return win.withColumn(out, F.array(*gated, *[F.col(m) for m in vocab.MASKS]))
-
-
-def history_probability(binned: DataFrame, k: int, context: int, alpha: float = 0.5) -> DataFrame:
-    """Probability of each row's bin under the ``context`` windows ending k windows earlier.
-
-    Rows of one (session, feature, bin) are ordered by position, so counting equal bins in the
-    context is one RANGE frame; no context array is ever built. ``full`` marks anchors that have
-    the whole context.
-    """
-    pos = F.col("pos_in_session")
-    same = W.partitionBy("session_key", "feature", "bin").orderBy("pos_in_session")
-    seen = F.count(F.lit(1)).over(same.rangeBetween(-(k + context - 1), -k))
-    return binned.withColumns({
-        "p_history": (seen + F.lit(alpha)) / (F.lit(float(context)) + F.lit(alpha) * F.col("n_bins")),
-        "full": pos - k >= context - 1,
-    })
-
-
-def persistence_probability(binned: DataFrame, k: int, sharp: float = 0.9) -> DataFrame:
-    """Probability of each row's bin if the bin k windows earlier is expected to stay."""
-    earlier = F.lag("bin", k).over(W.partitionBy("session_key", "feature").orderBy("pos_in_session"))
-    rest = F.lit(1 - sharp) / F.greatest(F.col("n_bins") - 1, F.lit(1))
-    return binned.withColumn("p_persistence", F.when(earlier == F.col("bin"), F.lit(sharp)).when(
-        earlier.isNotNull(), rest))
-
-
-def mean_nll(rows: DataFrame, probability: str, keys: Sequence[str]) -> DataFrame:
-    """Masked mean negative log-likelihood per window."""
-    ll = F.log(clip(F.col(probability), 1e-4, 1.0)) * F.col("mask")
-    return rows.groupBy(*keys).agg((-F.sum(ll) / F.greatest(F.sum("mask"), F.lit(1.0))).alias("nll"))
-
-
-def surprise(binned: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """How unlikely each window is under its own recent history."""
-    scored = history_probability(binned, 1, cfg.context).filter("full")
-    return mean_nll(scored, "p_history", ["session_key", "pos_in_session"]).withColumnRenamed("nll", "surprise")

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from netloom.config import EngineConfig
 from netloom.operators import calibration as ca
+from netloom.operators import dynamics as dy
 from netloom.operators import metrics as mt
-from netloom.operators import normalise as nm
-from netloom.operators.alerts import two_level
+from netloom.operators import models as md
+from netloom.operators.alerts import KEY, POS, two_level
 from netloom.operators.ranking import quantiles
+from netloom.session import materialise
 
 
 def _long(part: str, df: DataFrame) -> DataFrame:
@@ -88,23 +90,32 @@ def fixed_threshold_report(rows: DataFrame, threshold: float, score: str = "scor
     return mt.confusion(rows, [], threshold, score, label)
 
 
-def next_state_report(binned: DataFrame, horizons: Sequence[int], context: int, n_boot: int = 300,
-                      block: int = 180) -> DataFrame:
-    """Mean likelihood of history and persistence per horizon, and the interval of their gap."""
-    keys = ["session_key", "pos_in_session"]
+def next_state_report(states: DataFrame, horizons: Sequence[int], cfg: EngineConfig, edges: Sequence[Sequence[float]] | None = None,
+                      n_boot: int = 300, block: int = 180) -> DataFrame:
+    """Per horizon, on test windows: mean likelihood of history, persistence and (given the bins' ``edges``) a ridge
+    autoregression fitted on training windows, and the interval of history's gain over persistence.
+
+    ``states`` is ``dynamics.binned_states`` with ``split``; store it first. A window counts for k if its whole context ends k before it.
+    """
+    k_of = F.col("k").cast("string")
+    rows = dy.next_state_nll(states, horizons, cfg.context, cfg.session_block)
+    anchors = states.filter("split = 'test'").select(
+        KEY, F.explode(F.lit(list(horizons))).alias("k"), F.col(POS).alias("_at")).withColumn(POS, F.col("_at") + F.col("k")).drop("_at")
+    rows = rows.join(anchors, [KEY, POS, "k"])
+    if edges is not None:
+        controls = None
+        for k in horizons:  # one small model per horizon
+            pairs = md.history_pairs(states, k, block=cfg.session_block)
+            fitted = md.ridge_autoregression(pairs.filter("split = 'train'"), len(edges))
+            found = dy.autoregression_nll(pairs.filter("split = 'test'"), fitted, edges, k)
+            controls = found if controls is None else controls.unionByName(found)
+        rows = rows.join(controls, [KEY, POS, "k"])
+    rows = materialise(rows.withColumn("gain", F.col("nll_persistence") - F.col("nll_history")), "next-state")
+    means = [c for c in rows.columns if c.startswith("nll_")] + ["gain"]
+    report = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in means])
     out = None
     for k in horizons:
-        both = nm.persistence_probability(nm.history_probability(binned, k, context), k).filter("full")
-        h = nm.mean_nll(both, "p_history", keys).withColumnRenamed("nll", "history")
-        p = nm.mean_nll(both, "p_persistence", keys).withColumnRenamed("nll", "persistence")
-        rows = mt.time_blocks(h.join(p, keys).withColumn("gain", F.col("persistence") - F.col("history")), block)
-        ci = mt.interval(mt.bootstrap_mean(rows, "gain", n_boot), "mean").select(
-            F.struct("low", "high").alias("ci")).scalar()
-        report = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("history").alias("nll_history"),
-                          F.avg("persistence").alias("nll_persistence"), F.avg("gain").alias("gain"))
-        report = report.withColumn("_ci", ci).select(
-            F.lit(k).alias("k"), "n", "nll_history", "nll_persistence", "gain", F.col("_ci.low").alias("gain_low"),
-            F.col("_ci.high").alias("gain_high"))
-        out = report if out is None else out.unionByName(report)
-    return out
-
+        ci = mt.interval(mt.bootstrap_mean(mt.time_blocks(rows.filter(F.col("k") == k), block), "gain", n_boot), "mean")
+        named = ci.select(F.lit(k).alias("k"), F.col("low").alias("gain_low"), F.col("high").alias("gain_high"))
+        out = named if out is None else out.unionByName(named)
+    return report.join(F.broadcast(out), "k")  # one row per horizon
