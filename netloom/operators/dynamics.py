@@ -26,7 +26,6 @@ from netloom.operators.blocked import with_halo
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAST_P = 1e-4
-_ERF = np.vectorize(math.erf, otypes=[float])
 
 
 def mask_of(name: str) -> Column:
@@ -105,7 +104,7 @@ def surprise(states: DataFrame, context: int, block: int = 4096) -> DataFrame:
 
 
 def normal_cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + _ERF(x / math.sqrt(2.0)))
+    return 0.5 * (1.0 + np.vectorize(math.erf, otypes=[float])(x / math.sqrt(2.0)))
 
 
 def autoregression_nll(pairs: DataFrame, params: dict[str, np.ndarray], edges: Sequence[Sequence[float]], k: int) -> DataFrame:

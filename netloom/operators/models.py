@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,6 +19,8 @@ from netloom import vocab
 from netloom.operators.alerts import KEY, POS
 from netloom.operators.blocked import with_halo
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package installed
+
 
 def stack_history(win: DataFrame, column: str, depth: int, block: int, out: str = "x") -> DataFrame:
     """Concatenate the arrays of the last ``depth`` windows, oldest first; short histories are NULL.
@@ -99,35 +103,39 @@ def history_pairs(states: DataFrame, k: int, depth: int = 6, block: int = 4096)
     return pairs.filter(F.col("x").isNotNull() & F.col("target").isNotNull())
 
 
-def gram(rows: DataFrame, lanes: int = 16) -> np.ndarray:
-    """Sum of (1, x, target) outer products over all rows, through a tree of array sums.
+def _partial_gram(batches):
+    """One task's sum of (1, x, target) outer products."""
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.array(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in ("x", "target"))
+            full = np.hstack([np.ones((len(x), 1)), x, y])
+            total = full.T @ full if total is None else total + full.T @ full
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["cells"])
 
-    A task reduces its rows to one matrix, ``lanes`` tasks add those up; only ``lanes`` matrices of fixed size reach the driver.
-    """
-    def partial(batches):
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.array(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in ("x", "target"))
-                full = np.hstack([np.ones((len(x), 1)), x, y])
-                total = full.T @ full if total is None else total + full.T @ full
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["cells"])
 
+def _sum_cells(batches) -> np.ndarray | None:
+    total = None
+    for batch in batches:
+        for row in batch.column("cells"):
+            cells = np.asarray(row.values)
+            total = cells.copy() if total is None else total + cells
+    return total
+
+
+def gram(rows: DataFrame, lanes: int = 16) -> DataFrame:
+    """Sum of (1, x, target) outer products over all rows as one row ``cells``, through a tree of array sums.
+
+    A task reduces its rows to one matrix, ``lanes`` tasks add those up, one adds ``lanes`` matrices of fixed size.
+    """
     def added(batches):
-        total = None
-        for batch in batches:
-            for row in batch.column("cells"):
-                cells = np.asarray(row.values)
-                total = cells.copy() if total is None else total + cells
-        if total is not None:
+        if (total := _sum_cells(batches)) is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["cells"])
 
-    parts = rows.select("x", "target").mapInArrow(partial, "cells array<double>").repartition(lanes).mapInArrow(
-        added, "cells array<double>").collect()
-    total = sum(np.array(r[0]) for r in parts)
-    size = int(round(np.size(total) ** 0.5))
-    return np.reshape(total, (size, size))
+    kind = "cells array<double>"
+    lanes_ = rows.select("x", "target").mapInArrow(_partial_gram, kind).repartition(lanes).mapInArrow(added, kind)
+    return lanes_.repartition(1).mapInArrow(added, kind)
 
 
 def solve_ridge(matrix: np.ndarray, outputs: int, alpha: float = 1.0) -> dict[str, np.ndarray]:
@@ -143,5 +151,21 @@ def solve_ridge(matrix: np.ndarray, outputs: int, alpha: float = 1.0) -> dict[st
 
 
 def ridge_autoregression(history: DataFrame, outputs: int, alpha: float = 1.0) -> dict[str, np.ndarray]:
-    """Multi-output ridge from rows with ``x`` (inputs) and ``target`` (outputs), both arrays."""
-    return solve_ridge(gram(history), outputs, alpha)
+    """Multi-output ridge from rows with ``x`` (inputs) and ``target`` (outputs), both arrays.
+
+    A task solves the normal equations too (workers compute in one thread each); the driver gets the parameters.
+    """
+    names = ("weights", "intercept", "sigma")
+
+    def solved(batches):
+        total = _sum_cells(batches)
+        if total is not None:
+            size = int(round(len(total) ** 0.5))
+            found = solve_ridge(total.reshape(size, size), outputs, alpha)
+            yield pa.RecordBatch.from_arrays([pa.array([found[n].ravel()], pa.list_(pa.float64())) for n in names], names=names)
+
+    row = gram(history).mapInArrow(solved, ", ".join(f"{n} array<double>" for n in names)).first()
+    if row is None:
+        raise ValueError("no rows to fit")
+    found = {n: np.array(row[n]) for n in names}
+    return found | {"weights": found["weights"].reshape(-1, outputs)}

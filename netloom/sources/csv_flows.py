@@ -44,27 +44,35 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> li
     return sorted(unquote(p) for p in reader.load(root).inputFiles())
 
 
+#: Above any file's size: a file is never split and never shares its partition.
+WHOLE_FILE = str(1 << 50)
+
+
 def _first_rows(batches):
-    """First line of every file that starts in this partition; a partition holds a part of one file, so reading stops."""
+    """First line of the partition's file; the rest is not read."""
     for batch in batches:
         if batch.num_rows:
-            if batch.column("at")[0].as_py() == 0:
-                yield pa.RecordBatch.from_arrays([batch.column("path").slice(0, 1), batch.column("value").slice(0, 1)],
-                                                 names=["path", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("path").slice(0, 1), batch.column("value").slice(0, 1)],
+                                             names=["path", "value"])
             return
 
 
 def headers_of(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Cells of the first line of every file, compressed ones too, from one job; folders are read through."""
-    opening = "spark.sql.files.openCostInBytes"
-    before, limit = spark.conf.get(opening), spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set(opening, limit)  # no two files in one partition
+    """Cells of the first line of every file, compressed ones too; folders are read through.
+
+    One job with one task per file, however large the file: the task stops after the first batch of lines.
+    """
+    settings = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in settings}
     try:
+        for k in settings:
+            spark.conf.set(k, WHOLE_FILE)
         text = spark.read.option("recursiveFileLookup", "true").text(list(paths))
-        lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+        lines = text.select(F.col("_metadata.file_path").alias("path"), "value")
         rows = lines.mapInArrow(_first_rows, "path string, value string").collect()
     finally:
-        spark.conf.set(opening, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return {unquote(r.path): next(csv.reader([(r.value or "").lstrip("\ufeff")]), [""]) for r in sorted(rows)}
 
 

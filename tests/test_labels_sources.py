@@ -160,3 +160,22 @@ def test_packet_statistics(spark):
     assert r["retrans_count"] == 1.0 and r["ttl_unique"] == 2.0 and r["win_zero_count"] == 1.0
     assert r["frag_rate"] == 0.25 and r["ttl_mean"] == pytest.approx(194 / 3)
     assert (r["payload_hist_0"], r["payload_hist_1"], r["payload_hist_7"]) == (1.0, 2.0, 1.0)
+
+
+def test_headers_take_one_task_per_file(spark, tmp_path):
+    """However small the splits are: a large file is opened once, and a small one is not packed with others."""
+    for i, rows in enumerate((3000, 1, 40)):
+        (tmp_path / f"f{i}.csv").write_text(f"a{i},b\n" + "1,2\n" * rows)
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        found = cf.headers_of(spark, [str(tmp_path)])
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1000"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(found.values()) == [["a0", "b"], ["a1", "b"], ["a2", "b"]]
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("headers") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(tracker.getStageInfo(s).numTasks for s in stages) == 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netloom import vocab
 from netloom.config import EngineConfig
 from netloom.operators import calibration as ca
+from netloom.operators import dynamics as dy
 from netloom.operators import models as md
 from netloom.operators import normalise as nm
 from netloom.operators import splits as sp
@@ -105,14 +106,78 @@ def test_ridge_matches_closed_form(spark):
     params = md.ridge_autoregression(df, 2)
     xc, yc = x - x.mean(0), y - y.mean(0)
     assert np.allclose(params["weights"], np.linalg.solve(xc.T @ xc + np.eye(3), xc.T @ yc))
-    mu = md.predict_autoregression(df, params).first()["mu"]
-    assert mu == pytest.approx(list(x[0] @ params["weights"] + params["intercept"]))
+    full = np.hstack([np.ones((300, 1)), x, y])
+    assert np.allclose(np.array(md.gram(df.repartition(7)).first()[0]).reshape(6, 6), full.T @ full)
+    assert np.allclose(params["intercept"], y.mean(0) - x.mean(0) @ params["weights"])
+    assert np.allclose(params["sigma"], np.maximum((y - x @ params["weights"] - params["intercept"]).std(0), 0.05))
+    with pytest.raises(ValueError, match="no rows"):
+        md.ridge_autoregression(df.filter("false"), 2)
 
 
-def test_normal_cdf(spark):
-    df = spark.createDataFrame([(-1.959964,), (0.0,), (1.0,)], "z double")
-    got = [r[0] for r in df.select(md.normal_cdf(F.col("z"))).collect()]
-    assert got == pytest.approx([0.025, 0.5, 0.841345], abs=1e-6)
+def test_normal_cdf():
+    assert dy.normal_cdf(np.array([-1.959964, 0.0, 1.0, np.inf])) == pytest.approx([0.025, 0.5, 0.841345, 1.0], abs=1e-6)
+
+
+def plain_states(n=60, features=3, seed=4):
+    rng = np.random.default_rng(seed)
+    edges = [[-1.0, 0.0, 1.0], [0.5], []]
+    z = rng.normal(size=(n, features))
+    bins = np.array([[int(np.searchsorted(e, v, side="right")) for e, v in zip(edges, row)] for row in z])
+    mask = (rng.random((n, features)) < 0.8).astype(float)
+    return z, bins, mask, edges
+
+
+@pytest.fixture(scope="module")
+def states(spark):
+    z, bins, mask, edges = plain_states()
+    rows = [("s", i, "train" if i < 40 else "test", list(map(float, z[i])), bins[i].tolist(), [len(e) + 1 for e in edges], mask[i].tolist())
+            for i in range(60)] + [("t", i, "test", [0.0] * 3, [0, 0, 0], [4, 2, 1], [0.0] * 3) for i in range(5)]
+    return spark.createDataFrame(rows, "session_key string, pos_in_session bigint, split string, z array<double>, bins array<int>,"
+                                       " n_bins array<int>, mask array<double>").cache()
+
+
+@pytest.mark.parametrize("block", [5, 16, 4096])
+def test_next_state_likelihoods_equal_plain_counting(states, block):
+    _, bins, mask, edges = plain_states()
+    nb, context = np.array([len(e) + 1 for e in edges]), 6
+    got = {(r["session_key"], r["k"], r["pos_in_session"]): (r["nll_history"], r["nll_persistence"])
+           for r in dy.next_state_nll(states, (1, 4, 9), context, block).collect()}
+    want = {}
+    for k in (1, 4, 9):
+        for i in range(context + k - 1, 60):
+            past = bins[i - k - context + 1:i - k + 1]
+            h = ((past == bins[i]).sum(0) + 0.5) / (context + 0.5 * nb)
+            p = np.where(bins[i - k] == bins[i], 0.9, 0.1 / np.maximum(nb - 1, 1))
+            seen = max(mask[i].sum(), 1)
+            want["s", k, i] = tuple(-(np.log(np.maximum(q, 1e-4)) * mask[i]).sum() / seen for q in (h, p))
+    assert got.keys() == want.keys()
+    assert all(got[key] == pytest.approx(want[key]) for key in want)
+
+
+@pytest.mark.parametrize("k, block", [(1, 7), (5, 4096)])
+def test_autoregression_equals_plain_ridge(states, k, block):
+    z, bins, mask, edges = plain_states()
+    pairs = md.history_pairs(states, k, depth=3, block=block)
+    params = md.ridge_autoregression(pairs.filter("split = 'train'"), 3)
+    at = np.arange(2, 60 - k)
+    x, y = np.stack([z[at - 2], z[at - 1], z[at]], 1).reshape(len(at), -1), z[at + k]
+    train = at < 40
+    xc, yc = x[train] - x[train].mean(0), y[train] - y[train].mean(0)
+    weights = np.linalg.solve(xc.T @ xc + np.eye(9), xc.T @ yc)
+    assert np.allclose(params["weights"], weights)
+    mu = y[train].mean(0) + (x - x[train].mean(0)) @ weights
+    sigma = np.maximum((y - mu)[train].std(0), 0.05)
+    got = {r["pos_in_session"]: r["nll_ar"] for r in dy.autoregression_nll(pairs.filter("session_key = 's'"), params, edges, k).collect()}
+    for row, i in enumerate(at):
+        p = []
+        for j, e in enumerate(edges):
+            borders = [-np.inf, *e, np.inf]
+            b = bins[i + k, j]
+            low, high = ((borders[b + s] - mu[row, j]) / sigma[j] for s in (0, 1))
+            p.append(dy.normal_cdf(np.array([high]))[0] - dy.normal_cdf(np.array([low]))[0])
+        want = -(np.log(np.clip(p, 1e-4, 1)) * mask[i + k]).sum() / max(mask[i + k].sum(), 1)
+        assert got[i + k] == pytest.approx(want)
+    assert len(got) == len(at)
 
 
 def test_vocabulary_contract():
