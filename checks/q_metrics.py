@@ -344,12 +344,14 @@ def lead_time(spark, sf_dir):
     return _onset_leads(spark, sf_dir).select("capture", "pos_in_session", "lead_windows", "detected")
 
 
-@query("lead_time_summary", with_parts(f"""
-select {big('count(*)', 'n_onsets')}, {big('count(*) filter (lead_windows > 0)', 'warned_before')},
+_LEAD_SUMMARY = f"""{big('count(*)', 'n_onsets')}, {big('count(*) filter (lead_windows > 0)', 'warned_before')},
   {big('count(*) filter (lead_windows > 0 or late)', 'detected_within')},
   {r6('avg((lead_windows > 0)::int)', 'warned_before_frac')}, {r6('avg((lead_windows > 0 or late)::int)', 'detected_frac')},
   {r6('coalesce(quantile_cont(lead_windows::double, 0.5) filter (lead_windows > 0), 0)', 'median_lead_windows')},
-  {r6('coalesce(avg(lead_windows) filter (lead_windows > 0), 0)', 'mean_lead_windows')} from lead""", _SUS, _LEAD))
+  {r6('coalesce(avg(lead_windows) filter (lead_windows > 0), 0)', 'mean_lead_windows')}"""
+
+
+@query("lead_time_summary", with_parts(f"select {_LEAD_SUMMARY} from lead", _SUS, _LEAD))
 def lead_summary(spark, sf_dir):
     return mt.lead_summary(_onset_leads(spark, sf_dir))
 

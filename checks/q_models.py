@@ -285,7 +285,7 @@ def platt(spark, sf_dir):
     return scored(spark, sf_dir).select(*KEYS, ca.apply_platt(F.col("score"), a, b).alias("probability"))
 
 
-_ISOTONIC = (
+ISOTONIC_PARTS = (
     ("iso_d", """select score, count(*) as w, sum(y::int) as s, row_number() over (order by score) as i,
   sum(count(*)) over (order by score) as cw, sum(sum(y::int)) over (order by score) as cs from cal group by score"""),
     # The min-max formula: the greatest, over starts, of the least mean, over ends, of all runs around a score.
@@ -299,7 +299,7 @@ select capture, {big('win', '"window"')}, {r6("""case when x0 is null then v1 wh
     else v0 + (v1 - v0) * (score - x0) / (x1 - x0) end""", 'probability')}
 from (select s.*, lo.score as x0, lo.v as v0, hi.score as x1, hi.v as v1 from scored s
   left join iso lo on lo.score = (select max(score) from iso where iso.score <= s.score)
-  left join iso hi on hi.score = (select min(score) from iso where iso.score > s.score))""", *_ISOTONIC))
+  left join iso hi on hi.score = (select min(score) from iso where iso.score > s.score))""", *ISOTONIC_PARTS))
 def isotonic(spark, sf_dir):
     blocks = ca.isotonic(part(spark, sf_dir, "calibration"))
     return ca.apply_isotonic(scored(spark, sf_dir), blocks).select(*KEYS, "probability")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from checks import q_metrics as qm
 from checks.q_metrics import scored
+from checks.q_models import ISOTONIC_PARTS
 from checks.q_splits import HORIZONS, NAMES, STATE_PARTS, binned_states, bins_table, masked_rows
 from checks.registry import CFG, big, flows, query, r6, stored
 from checks.sqltext import with_parts
@@ -78,7 +80,44 @@ def fixed_threshold(spark, sf_dir):
     return ev.fixed_threshold_report(rows, 0.6).select("tp", "fp", "fn", "tn")
 
 
-@query("evaluation_report")
+def _metrics(part: str, names: list[str], sql: str) -> str:
+    """One row of metrics as (part, metric, value) rows."""
+    return (f"select '{part}' as part, unnest([{', '.join(repr(n) for n in names)}]) as metric, "
+            f"unnest([{', '.join(f'cast({n} as double)' for n in names)}]) as value from ({sql})")
+
+
+_RANKS = ["n", "positives", "auprc", "roc_auc"]
+_POINT = ["tp", "fp", "fn", "tn", "brier", "precision", "recall", "f1", "fpr"]
+_LEADS = ["n_onsets", "warned_before", "detected_within", "warned_before_frac", "detected_frac", "median_lead_windows", "mean_lead_windows"]
+_ECE = """select {r} from (select least(cast(floor(score * 10) as bigint), 9) as bin, avg(score) as predicted,
+  avg(y::int) as observed, count(*) as cnt from {t} group by 1)"""
+_AT = [f"(select threshold from thr where budget = {b!r}::double)" for b in CFG.fpr_budgets]
+_REPORT = (
+    ("budgets", f"select unnest([{', '.join(f'{b!r}::double' for b in CFG.fpr_budgets)}]) as budget"), ("neg", qm._NEG), qm._THR,
+    qm._QUIET, qm._BLOCKED, qm._DRAWS, ("boots", qm._boots("score")), *ISOTONIC_PARTS, qm._HELD, ("policy", qm._POLICY),
+    ("isotest", """select s.y, case when x0 is null then v1 when x1 is null or v1 = v0 then v0
+    else v0 + (v1 - v0) * (score - x0) / (x1 - x0) end as score
+  from (select s.*, lo.score as x0, lo.v as v0, hi.score as x1, hi.v as v1 from test s
+    left join iso lo on lo.score = (select max(score) from iso where iso.score <= s.score)
+    left join iso hi on hi.score = (select min(score) from iso where iso.score > s.score)) s"""),
+    *[(f"sus{i}", qm._SUS[1].replace("0.3", at)) for i, at in enumerate(_AT)],
+    *[(f"lead{i}", qm._LEAD[1].replace("from sus", f"from sus{i}")) for i in range(len(_AT))])
+_EVALUATION = " union all ".join([
+    _metrics("all", _RANKS, qm._ranking("test", "")),
+    _metrics("all", ["ece"], _ECE.format(t="test", r=r6("sum(abs(observed - predicted) * cnt) / sum(cnt)", "ece"))),
+    _metrics("auprc_ci", ["resamples", "low", "high"], f"""select {big('count(*)', 'resamples')},
+      {r6('quantile_cont(ap, 0.025)', 'low')}, {r6('quantile_cont(ap, 0.975)', 'high')} from boots"""),
+    _metrics("early_warning", _RANKS, qm._ranking("quiet", "")),
+    _metrics("macro_capture", ["auprc", "roc_auc"], f"""select {r6('avg(a)', 'auprc')}, {r6('avg(u)', 'roc_auc')} from (
+      select {qm._AP} as a, {qm._AUC} as u from ({qm._curve('test', 'capture')}) group by capture having sum(p) >= 5 and sum(q) >= 5)"""),
+    _metrics("isotonic", ["brier"], f"select {r6('avg(pow(least(greatest(score, 0.0::double), 1.0::double) - y::int, 2))', 'brier')} from isotest"),
+    _metrics("isotonic", ["ece"], _ECE.format(t="isotest", r=r6("sum(abs(observed - predicted) * cnt) / sum(cnt)", "ece"))),
+    f"select 'sustained' as part, 'threshold_' || cast(budget as varchar) as metric, {r6('threshold', 'value')} from policy",
+    *[_metrics(f"fpr_{b}", _POINT, qm._confusion("test", "", at)) for b, at in zip(CFG.fpr_budgets, _AT)],
+    *[_metrics(f"fpr_{b}", _LEADS, f"select {qm._LEAD_SUMMARY} from lead{i}") for i, b in enumerate(CFG.fpr_budgets)]])
+
+
+@query("evaluation_report", with_parts(_EVALUATION, *_REPORT))
 def evaluation_report(spark, sf_dir):
     """All metrics of one model at its operating points, as (part, metric, value) rows."""
     return ev.evaluation_report(scored(spark, sf_dir), CFG, block=20)

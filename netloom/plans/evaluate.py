@@ -24,7 +24,9 @@ def _long(part: str, df: DataFrame) -> DataFrame:
 
 def evaluation_report(scored: DataFrame, cfg: EngineConfig, score: str = "score", label: str = "y",
                       n_boot: int = 300, block: int = 180) -> DataFrame:
-    """Calibrate on calibration anchors, report on test anchors: (part, metric, value) rows.
+    """Calibrate on calibration anchors, report on test anchors: (part, metric, value) rows. Parts: ranking and calibration
+    error, the interval of average precision, early warning, means over captures, isotonic calibration, thresholds
+    of the sustained policy, and per budget the operating point with its lead times.
 
     ``scored`` is the windows table with split, valid, label, score, is_quiet and
     is_compromise_onset; store it first, since every part reads it.
@@ -40,6 +42,12 @@ def evaluation_report(scored: DataFrame, cfg: EngineConfig, score: str = "score"
         _long("macro_capture", mt.per_capture(test, score, label).agg(
             F.avg("auprc").alias("auprc"), F.avg("roc_auc").alias("roc_auc"))),
     ]
+    calibrated = ca.apply_isotonic(test, ca.isotonic(cal, score, label), score, "_calibrated")
+    parts += [_long("isotonic", mt.confusion(calibrated, [], 0.5, "_calibrated", label).select("brier")),
+              _long("isotonic", mt.calibration_error(calibrated, [], "_calibrated", label))]
+    policy = ca.sustained_policy(scored, cfg.fpr_budgets, cfg.hysteresis, score=score, label=label)
+    parts.append(policy.select(F.lit("sustained").alias("part"), F.concat(F.lit("threshold_"), F.col("budget").cast("string")).alias("metric"),
+                               F.col("threshold").alias("value")))
     thresholds = ca.conformal_thresholds(cal, cfg.fpr_budgets, (), score, label)
     for budget in cfg.fpr_budgets:
         at = thresholds.filter(F.col("budget") == budget).select("threshold").scalar()
