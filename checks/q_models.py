@@ -279,7 +279,18 @@ def hybrid(spark, sf_dir):
     return out.select(*KEYS, "s_a", "s_b", "hybrid")
 
 
-@query("platt_calibration")
+_LOGIT = "ln(least(greatest(score, 0.0001), 0.9999) / (1 - least(greatest(score, 0.0001), 0.9999)))"
+_NEWTON = (("counted", f"select {_LOGIT} as z, count(*)::double as n, sum(y::int)::double as p from cal group by 1"),
+           ("newton0", "select 0.0::double as a, 0.0::double as b"),
+           *[(f"newton{i}", f"""select a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) as a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) as b
+  from (select a, b, sum((n * q - p) * z) + a / 1000 as ga, sum(n * q - p) as gb, sum(n * q * (1 - q) * z * z) + 0.001::double as haa,
+      sum(n * q * (1 - q) * z) as hab, sum(n * q * (1 - q)) as hbb
+    from (select *, 1 / (1 + exp(-(a * z + b))) as q from newton{i - 1} cross join counted) group by a, b)""") for i in range(1, 13)])
+
+
+@query("platt_calibration", with_parts(f"""
+select capture, {big('win', '"window"')}, {r6(f'1 / (1 + exp(-(a * {_LOGIT} + b)))', 'probability')}
+from scored cross join newton12""", *_NEWTON))
 def platt(spark, sf_dir):
     a, b = ca.fit_platt(part(spark, sf_dir, "calibration"))
     return scored(spark, sf_dir).select(*KEYS, ca.apply_platt(F.col("score"), a, b).alias("probability"))

@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -249,14 +247,45 @@ def apply_isotonic(df: DataFrame, blocks: DataFrame, score: str = "score", out:
     return placed.join(pieces, meets, "left").withColumn(out, value).select(*[placed[k] for k in df.columns], out)
 
 
-def fit_platt(cal: DataFrame, score: str = "score", label: str = "y", c: float = 1e3) -> tuple[float, float]:
-    """Slope and intercept of a logistic fit on the logit of the score."""
-    data = cal.select(logit(F.col(score)).alias("z"), F.col(label).cast("double").alias("label"))
-    ready = VectorAssembler(inputCols=["z"], outputCol="features").transform(data).select("features", "label")
-    n = ready.count()
-    model = LogisticRegression(regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False,
-                               maxIter=200, tol=1e-9).fit(ready)
-    return float(model.coefficients[0]), float(model.intercept)
+def fit_platt(cal: DataFrame, score: str = "score", label: str = "y", c: float = 1e3, steps: int = 50) -> tuple[float, float]:
+    """Slope and intercept of a logistic fit on the logit of the score (slope penalised by ``1 / (2 c)``).
+
+    Rows are counted once per distinct score, stored, and every Newton step is one sum over the counts; steps
+    that do not lower the loss are halved.
+    """
+    counts = materialise(cal.filter(F.col(score).isNotNull()).groupBy(logit(F.col(score)).alias("z")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(label).cast("double")).alias("p")), "platt")
+    z, n, p = F.col("z"), F.col("n"), F.col("p")
+
+    def sums(a: float, b: float):
+        x = F.lit(a) * z + F.lit(b)
+        q, curve = sigmoid(x), n * sigmoid(x) * sigmoid(-x)
+        # log(1 + exp(x)) without overflow
+        loss = n * (F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))) - p * x
+        row = counts.agg(F.sum(loss), F.sum((n * q - p) * z), F.sum(n * q - p), F.sum(curve * z * z), F.sum(curve * z), F.sum(curve)).first()
+        return None if row[0] is None else (row[0] + a * a / (2 * c), row[1] + a / c, row[2], row[3] + 1 / c, row[4], row[5])
+
+    at, step = (0.0, 0.0), 1.0
+    now = sums(*at)
+    for _ in range(steps if now else 0):
+        _, ga, gb, haa, hab, hbb = now
+        det = haa * hbb - hab * hab
+        if det <= 0:  # one class and no curvature left
+            break
+        move = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        there = at[0] - step * move[0], at[1] - step * move[1]
+        after = sums(*there)
+        if after[0] <= now[0]:
+            done = max(abs(step * m) for m in move) < 1e-10 * (1 + max(map(abs, there)))
+            at, now, step = there, after, 1.0
+            if done:
+                break
+        else:
+            step /= 2
+            if step < 1e-6:
+                break
+    release(counts)
+    return at
 
 
 def apply_platt(score: Column, a: float, b: float) -> Column:

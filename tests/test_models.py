@@ -218,3 +218,19 @@ def test_isotonic_without_rows(spark):
     empty = spark.createDataFrame([], "score double, y boolean")
     df = spark.createDataFrame([(0.5,)], "score double")
     assert ca.apply_isotonic(df, ca.isotonic(empty)).first()["probability"] is None
+
+
+@pytest.mark.parametrize("kind", ["noisy", "separable", "one class"])
+def test_platt_is_optimal(spark, kind):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.random(500), 3)
+    y = {"noisy": rng.random(500) < 0.1 + 0.6 * x, "separable": x > 0.5, "one class": x > -1}[kind]
+    df = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(x, y)] + [(None, True)], "score double, y boolean")
+    a, b = ca.fit_platt(df)
+    z = np.log(np.clip(x, 1e-4, 1 - 1e-4) / (1 - np.clip(x, 1e-4, 1 - 1e-4)))
+    q = 1 / (1 + np.exp(-(a * z + b)))
+    if kind == "one class":
+        assert q.min() > 0.99
+    else:  # both derivatives of the penalised loss vanish
+        assert abs(((q - y) * z).sum() + a / 1e3) < 1e-6 and abs((q - y).sum()) < 1e-6
+    assert ca.fit_platt(df.filter("false")) == (0.0, 0.0)
