@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from checks import q_metrics as qm
 from checks.q_metrics import scored
 from checks.q_models import ISOTONIC_PARTS
@@ -131,6 +133,9 @@ def forecast_timeline(spark, sf_dir):
         return temporal_split(build_windows(flows(spark, sf_dir), CFG), CFG, CFG.primary_horizon)
     windows = stored(spark, sf_dir, "windows", build)
     model = an.fit(windows, CFG)
-    return an.analyse(flows(spark, sf_dir), model, CFG).drop("time")
+    arrays = ("nowcast", "risk_steps", "stage_steps", "next_probs")
+    found = an.analyse(flows(spark, sf_dir), model, CFG)
+    texts = {c: F.transform(F.flatten(c) if c == "stage_steps" else F.col(c), lambda v: F.format_number(v, 4)) for c in arrays}
+    return found.drop("time").withColumns({c: F.array_join(v, " ") for c, v in texts.items()})
 
 

@@ -122,6 +122,18 @@ def rollout_risk(win: DataFrame, forecast: dict[str, np.ndarray], horizons: Sequ
     return win.withColumns({f"p_within_{k}": risk(k) for k in horizons})
 
 
+def rollout_steps(win: DataFrame, forecast: dict[str, np.ndarray], horizon: int, belief: str = "nowcast", prog: str = "progress",
+                  risk: str = "risk_steps", stage: str = "stage_steps") -> DataFrame:
+    """The whole forecast as arrays over steps 1..horizon: P(compromise within k), and the stage distribution at k."""
+    hits = _constant(np.array([_starts(forecast["hit"][k]) for k in range(horizon)]))
+    stages = _constant(np.array([_starts(forecast["stage"][k]) for k in range(horizon)]))
+    at = F.col(prog) + 1
+    mixed = lambda start: F.aggregate(
+        F.zip_with(F.col(belief), F.element_at(start, at), lambda b, h: b * h), F.lit(0.0), lambda a, v: a + v)
+    return win.withColumns({risk: F.transform(hits, mixed),
+                            stage: F.transform(stages, lambda start: _weighted(F.col(belief), F.element_at(start, at)))})
+
+
 def horizon_stage_mass(win: DataFrame, forecast: dict[str, np.ndarray], horizon: int,
                        belief: str = "nowcast", prog: str = "progress", out: str = "stage_mass") -> DataFrame:
     """Expected number of windows spent in each stage over the horizon, as an array."""

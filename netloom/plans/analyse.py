@@ -12,6 +12,7 @@ from netloom import vocab
 from netloom.config import EngineConfig
 from netloom.functions.scalars import arg_max
 from netloom.operators import alerts as al
+from netloom.operators import dynamics as dy
 from netloom.operators import models as md
 from netloom.operators import normalise as nm
 from netloom.operators import transitions as tr
@@ -25,6 +26,7 @@ class ForecastModel:
     """Fitted parts of a forecast. All are of fixed size or stored Spark ML models."""
 
     scaler: DataFrame
+    bins: DataFrame
     detector: object
     nowcast: object
     forecast: dict[str, np.ndarray]
@@ -35,35 +37,44 @@ class ForecastModel:
     platt_rollout: tuple[float, float]
 
 
-def score_windows(windows: DataFrame, model: ForecastModel, cfg: EngineConfig) -> DataFrame:
-    """Hybrid risk, early-warning score, nowcast stage, progress and next stage per window."""
-    scaled = nm.scale_wide(windows, model.scaler)
+def score_windows(windows: DataFrame, model: ForecastModel, cfg: EngineConfig, warmup: bool = False) -> DataFrame:
+    """Hybrid risk, early-warning score, nowcast stage, progress, next stage, the forecast of every step and surprise.
+
+    ``warmup`` centres each session on its own warm-up windows (where it has enough), as for networks the model has not seen.
+    """
+    scaled = nm.scale_wide(windows, model.scaler, centers=nm.warmup_centers(windows) if warmup else None)
+    unlikely = dy.surprise(dy.binned_states(scaled, model.bins), cfg.context, cfg.session_block)
     inputs = nm.model_input(scaled, out="x")
     scored = md.predict(model.detector, inputs, "detector_raw")
     seen = md.nowcast(model.nowcast, scored)
     seen = tr.nowcast_progress(seen, cfg.context)
     seen = tr.rollout_risk(seen, model.forecast, (cfg.primary_horizon,))
+    seen = tr.rollout_steps(seen, model.forecast, cfg.primary_horizon)
     seen = tr.horizon_stage_mass(seen, model.forecast, cfg.primary_horizon)
     seen = seen.withColumn("current", arg_max(F.col("nowcast")))
     seen = tr.next_stage(seen, model.onset_counts, cfg.next_stage_blend)
     early = F.col(f"p_within_{cfg.primary_horizon}")
     ready = F.col("pos_in_session") >= cfg.context - 1
     risk = (apply_platt(F.col("detector_raw"), *model.platt_detector) + apply_platt(early, *model.platt_rollout)) / 2
+    seen = seen.join(unlikely, [al.KEY, al.POS], "left")
     return seen.withColumns({
         "risk": F.when(ready, risk), "early": F.when(ready, early),
         "detector_risk": F.when(ready, apply_platt(F.col("detector_raw"), *model.platt_detector)),
     })
 
 
-def analyse(flows: DataFrame, model: ForecastModel, cfg: EngineConfig) -> DataFrame:
-    """The alert timeline of every capture in ``flows``."""
+def analyse(flows: DataFrame, model: ForecastModel, cfg: EngineConfig, warmup: bool = False) -> DataFrame:
+    """The alert timeline of every capture in ``flows``, with the forecast of every step (NULL before a whole context)."""
     windows = materialise(build_windows(flows, cfg), "windows")
-    scored = score_windows(windows, model, cfg)
+    scored = score_windows(windows, model, cfg, warmup)
     levels = al.two_level(scored, "risk", "early", model.threshold, model.early_threshold, cfg.hysteresis)
+    ready = F.col(al.POS) >= cfg.context - 1
+    levels = levels.withColumns({c: F.when(ready, F.col(c)) for c in ("risk_steps", "stage_steps", "next_probs", "nowcast")})
     return al.timeline(levels, cfg).select(
         "capture", "session_key", "window", "t", "time", "pos_in_session", "n_flows", "n_attack_flows", "stage_now",
         "family_now", "warmup", "risk", "alert", "level", "early", "detector_risk",
-        F.col("current").alias("nowcast_stage"), "progress", "heading_to", "heading_to_p")
+        F.col("current").alias("nowcast_stage"), "progress", "heading_to", "heading_to_p",
+        "surprise", "nowcast", "risk_steps", "stage_steps", "next_probs")
 
 
 def fit(windows: DataFrame, cfg: EngineConfig, names: tuple[str, ...] = vocab.FEATURE_NAMES,
@@ -75,7 +86,9 @@ def fit(windows: DataFrame, cfg: EngineConfig, names: tuple[str, ...] = vocab.FE
     k = cfg.primary_horizon
     y, valid = f"y_{k}", f"valid_{k}"
     scaler = materialise(nm.fit_scaler(nm.fit_rows(windows), names), "scaler")
-    inputs = materialise(nm.model_input(nm.scale_wide(windows, scaler, names), names, "x"), "inputs")
+    scaled = nm.scale_wide(windows, scaler, names)
+    bins = materialise(nm.fit_bins(nm.unpivot(nm.fit_rows(scaled), names, [], compressed=False)), "bins")
+    inputs = materialise(nm.model_input(scaled, names, "x"), "inputs")
     train = inputs.filter((F.col("split") == "train") & F.col(valid))
     detector = md.fit_logistic(train, y)
     now = md.fit_nowcast(inputs.filter("split = 'train'"))
@@ -92,5 +105,5 @@ def fit(windows: DataFrame, cfg: EngineConfig, names: tuple[str, ...] = vocab.FE
     budget = threshold_budget or cfg.primary_fpr_budget
     level2 = conformal_thresholds(cal.withColumn("hybrid", hybrid), (budget,), (), "hybrid", y).first()
     level1 = early_warning_threshold(raw, cfg.early_warning_budget, "early", label=y, valid=valid).first()
-    return ForecastModel(scaler, detector, now, forecast, counts, float(level2["threshold"]) if level2 else 0.5,
+    return ForecastModel(scaler, bins, detector, now, forecast, counts, float(level2["threshold"]) if level2 else 0.5,
                          float(level1["threshold"]) if level1 else 1.1, platt[0], platt[1])

@@ -234,3 +234,18 @@ def test_platt_is_optimal(spark, kind):
     else:  # both derivatives of the penalised loss vanish
         assert abs(((q - y) * z).sum() + a / 1e3) < 1e-6 and abs((q - y).sum()) < 1e-6
     assert ca.fit_platt(df.filter("false")) == (0.0, 0.0)
+
+
+def test_forecast_steps_are_the_single_forecasts(spark):
+    rng = np.random.default_rng(12)
+    counts = spark.createDataFrame([(z, p, n, float(rng.integers(1, 30))) for z in range(7) for p in range(7) for n in range(7)],
+                                   "stage int, progress int, next_stage int, n double")
+    forecast = tr.propagate(tr.transition_table(counts), 5)
+    beliefs = rng.dirichlet(np.ones(7), 20)
+    df = spark.createDataFrame([(i, list(map(float, b)), int(i % 7)) for i, b in enumerate(beliefs)], "i int, nowcast array<double>, progress int")
+    rows = tr.step_stage_argmax(tr.rollout_risk(tr.rollout_steps(df, forecast, 5), forecast, range(1, 6)), forecast, 5).collect()
+    for r in rows:
+        assert r["risk_steps"] == pytest.approx([r[f"p_within_{k}"] for k in range(1, 6)])
+        assert all(b >= a - 1e-12 for a, b in zip(r["risk_steps"], r["risk_steps"][1:]))
+        assert np.allclose(np.sum(r["stage_steps"], 1), 1)
+        assert r["step_stage"] == [int(np.argmax(s[1:])) + 1 for s in r["stage_steps"]]
