@@ -26,7 +26,7 @@ class ForecastModel:
     """Fitted parts of a forecast. All are of fixed size or stored Spark ML models."""
 
     scaler: DataFrame
-    bins: DataFrame
+    bins: DataFrame | None
     detector: object
     nowcast: object
     forecast: dict[str, np.ndarray]
@@ -38,12 +38,14 @@ class ForecastModel:
 
 
 def score_windows(windows: DataFrame, model: ForecastModel, cfg: EngineConfig, warmup: bool = False) -> DataFrame:
-    """Hybrid risk, early-warning score, nowcast stage, progress, next stage, the forecast of every step and surprise.
+    """Hybrid risk, early-warning score, nowcast stage, progress, next stage, the forecast of every step, and surprise if
+    the model has bins (NULL otherwise).
 
     ``warmup`` centres each session on its own warm-up windows (where it has enough), as for networks the model has not seen.
     """
     scaled = nm.scale_wide(windows, model.scaler, centers=nm.warmup_centers(windows) if warmup else None)
-    unlikely = dy.surprise(dy.binned_states(scaled, model.bins), cfg.context, cfg.session_block)
+    if model.bins is not None:
+        scaled = materialise(scaled, "scaled")  # read twice
     inputs = nm.model_input(scaled, out="x")
     scored = md.predict(model.detector, inputs, "detector_raw")
     seen = md.nowcast(model.nowcast, scored)
@@ -56,7 +58,11 @@ def score_windows(windows: DataFrame, model: ForecastModel, cfg: EngineConfig, w
     early = F.col(f"p_within_{cfg.primary_horizon}")
     ready = F.col("pos_in_session") >= cfg.context - 1
     risk = (apply_platt(F.col("detector_raw"), *model.platt_detector) + apply_platt(early, *model.platt_rollout)) / 2
-    seen = seen.join(unlikely, [al.KEY, al.POS], "left")
+    if model.bins is not None:
+        unlikely = dy.surprise(dy.binned_states(scaled, model.bins), cfg.context, cfg.session_block)
+        seen = seen.join(unlikely, [al.KEY, al.POS], "left")
+    else:
+        seen = seen.withColumn("surprise", F.lit(None).cast("double"))
     return seen.withColumns({
         "risk": F.when(ready, risk), "early": F.when(ready, early),
         "detector_risk": F.when(ready, apply_platt(F.col("detector_raw"), *model.platt_detector)),
@@ -78,16 +84,18 @@ def analyse(flows: DataFrame, model: ForecastModel, cfg: EngineConfig, warmup: b
 
 
 def fit(windows: DataFrame, cfg: EngineConfig, names: tuple[str, ...] = vocab.FEATURE_NAMES,
-        threshold_budget: float | None = None) -> ForecastModel:
-    """Fit every part of the forecast on a stored, split windows table."""
+        threshold_budget: float | None = None, surprise: bool = False) -> ForecastModel:
+    """Fit every part of the forecast on a stored, split windows table; ``surprise`` adds the bins that it needs."""
     from netloom.operators.calibration import conformal_thresholds, early_warning_threshold, fit_platt
     from netloom.operators.timeline import compromise_onsets
 
     k = cfg.primary_horizon
     y, valid = f"y_{k}", f"valid_{k}"
     scaler = materialise(nm.fit_scaler(nm.fit_rows(windows), names), "scaler")
-    scaled = nm.scale_wide(windows, scaler, names)
-    bins = materialise(nm.fit_bins(nm.unpivot(nm.fit_rows(scaled), names, [], compressed=False)), "bins")
+    scaled, bins = nm.scale_wide(windows, scaler, names), None
+    if surprise:
+        scaled = materialise(scaled, "scaled")
+        bins = materialise(nm.fit_bins(nm.unpivot(nm.fit_rows(scaled), names, [], compressed=False)), "bins")
     inputs = materialise(nm.model_input(scaled, names, "x"), "inputs")
     train = inputs.filter((F.col("split") == "train") & F.col(valid))
     detector = md.fit_logistic(train, y)
