@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -150,6 +151,70 @@ def test_every_pair_of_two_documents_with_a_passage_is_proposed(make_docs):
     assert {r.doc_id for r in passages.passages(make_docs(rows)).collect()} == has
 
 
+def covered_words(found, doc_id) -> set[int]:
+    return {i for r in found if r.doc_id == doc_id for i in range(r.start, r.end)}
+
+
+def test_passage_behind_many_repeats():
+    paragraph, tail = [f"p{i}" for i in range(45)], [f"t{i}" for i in range(30)]
+    a, b = paragraph * 4 + ["x"] + paragraph + tail, paragraph + tail + ["y"] + paragraph * 4
+    found = passages.shared(*(neardup.word_hashes(" ".join(t).encode()) for t in (a, b)))
+    assert any(i <= 181 and j >= 256 and k == 0 and m >= 75 for i, j, k, m, _ in found)
+
+
+def test_every_place_of_exact_passages_of_repeats_is_found():
+    draw = random.Random(8)
+    parts = [[f"s{i}w{j}" for j in range(draw.randint(6, 30))] for i in range(5)]
+    for _ in range(60):
+        a, b = ([w for i in range(draw.randint(8, 30)) for w in draw.choice(parts)] for _ in range(2))
+        windows = {tuple(b[i:i + 50]) for i in range(len(b) - 49)}
+        want = {i + k for i in range(len(a) - 49) if tuple(a[i:i + 50]) in windows for k in range(50)}
+        found = passages.shared(*(neardup.word_hashes(" ".join(t).encode()) for t in (a, b)))
+        assert want <= {i for p in found for i in range(p[0], p[1])}
+        for s, e, t, f, same in found:
+            assert min(e - s, f - t) >= 50 and same >= 0.8
+
+
+def test_passage_whose_runs_occur_in_parts_elsewhere(make_docs, prose):
+    shared = prose(80, 900).split()
+    other = [prose(60, 910 + i) for i in range(3)]
+    thirds = [f"{other[i]} {' '.join(shared[i * 26:i * 26 + 32])} z{i}" for i in range(3)]
+    rows = [*thirds, f"{' '.join(other)} {' '.join(shared)} {prose(20, 920)}", f"{' '.join(other)} q {' '.join(shared)}"]
+    found = passages.passages(make_docs(rows)).collect()
+    assert covered_words(found, 3) >= set(range(180, 260)) and covered_words(found, 4) >= set(range(181, 261))
+
+
+def test_exact_windows_of_all_documents_against_brute_force(make_docs, prose):
+    draw = random.Random(9)
+    parts = [prose(draw.randint(8, 70), 1000 + i) for i in range(25)]
+    rows = [" ".join(draw.choice(parts) for _ in range(draw.randint(1, 9))) for _ in range(60)]
+    rows += [rows[3], rows[3].upper().replace(" ", "\n"), rows[5], None, "", prose(400, 2000)]
+    holders = {}
+    for i, text in enumerate(rows):
+        words = (text or "").lower().split()
+        for at in range(len(words) - 49):
+            holders.setdefault(tuple(words[at:at + 50]), []).append((i, at))
+    want = {(i, at + k) for held in holders.values() if len({i for i, _ in held}) > 1 for i, at in held for k in range(50)}
+    found = passages.passages(make_docs(rows)).collect()
+    got = {(r.doc_id, i) for r in found for i in range(r.start, r.end)}
+    assert want <= got and len(want) > 1000
+    assert len(set(found)) == len(found)
+    both = {(r.doc_id, r.start, r.end, r.partner_id, r.partner_start, r.partner_end) for r in found}
+    assert {(d, s, e, p, a, b) for p, a, b, d, s, e in both} == both
+    # Copies stand beside their first text only, whole.
+    n = len(rows[3].split())
+    assert {(r.partner_id, r.start, r.end, r.identity) for r in found if r.doc_id in (60, 61)} == {(3, 0, n, 1.0)}
+
+
+def test_passages_of_repeated_ids(make_docs, spark, prose):
+    shared = prose(60, 3000)
+    rows = [(1, shared), (1, shared), (2, shared), (2, f"{prose(90, 3001)} {shared}"), (None, shared), (3, prose(90, 3001))]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.partner_id, r.start, r.end) for r in found} == {
+        (1, 2, 0, 60), (2, 1, 0, 60), (2, 1, 90, 150), (2, 3, 0, 90), (3, 2, 0, 90)}
+    assert {r.class_id for r in found} == {1}
+
+
 def test_passages_cut_and_awkward(awkward, no_docs, make_docs, prose):
     found = passages.passages(awkward)
     assert {(r.doc_id, r.partner_id) for r in found.collect()} == {(3, 4), (4, 3), (8, 9), (9, 8)}
