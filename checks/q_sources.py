@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.q_metrics import scored
-from checks.q_splits import state_table, stored_split
+from checks.q_splits import stored_split
 from checks.q_states import KEYS
 from checks.registry import CFG, big, flows, query, r6, table
 from checks.sqltext import with_parts
 from netloom import vocab
 from netloom.functions import scalars as sc
 from netloom.operators import labels as lb
-from netloom.plans.build import merge_packet_block
+from netloom.plans.build import build_windows, merge_packet_block
 from netloom.session import scratch_path
 from netloom.sources import csv_flows as cf
 from netloom.sources import packets as pk
@@ -413,7 +413,7 @@ select s.capture, {big('s.win', '"window"')}, {r6("case when s.win % 3 = 0 then
 from split s left join agg a on a.capture = s.capture and a.win = s.win"""))
 def packet_block(spark, sf_dir):
     """A cached block on a shifted grid replaces measurements where it has valid rows."""
-    state = state_table(spark, sf_dir, ("ttl_mean_mean",))
+    state = build_windows(flows(spark, sf_dir), CFG)
     cached = stored_split(spark, sf_dir).select(
         "capture", (F.col("window") - 10).alias("window"), (F.col("n_flows") * 2.0).alias("ttl_mean_mean"),
         F.when(F.col("window") % 3 == 0, 1).otherwise(0).alias("packet_level_valid"))
