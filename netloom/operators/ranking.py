@@ -81,7 +81,8 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float],
               buckets: int = BUCKETS, rows: int = BUCKET_ROWS) -> DataFrame:
-    """Exact linear-interpolation quantiles, one ``q`` array per group (NULLs ignored).
+    """Exact linear-interpolation quantiles, one ``q`` array per group (NULLs ignored). Without groups there is always one
+    row; without values it has ``n`` 0 and NULLs in ``q``.
 
     Every distinct value knows the ranks it covers, so it emits only the requested quantiles it
     takes part in: at most two short rows per quantile and group reach the last aggregate.
@@ -105,7 +106,11 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float],
         F.max("_spot").alias("_spot"), F.max("total_n").alias("n"))
     blend = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_spot") - F.floor("_spot"))
     packed = F.array_sort(F.collect_list(F.struct("_i", blend.alias("v"))))
-    return ends.groupBy(*by).agg(F.max("n").alias("n"), F.transform(packed, lambda x: x["v"]).alias("q"))
+    found = ends.groupBy(*by).agg(F.max("n").alias("n"), F.transform(packed, lambda x: x["v"]).alias("q"))
+    if by:
+        return found
+    none = F.array_repeat(F.lit(None).cast(found.schema["q"].dataType.elementType), len(qs))
+    return found.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(F.size("q") > 0, F.col("q")).otherwise(none).alias("q"))
 
 
 def order_statistic(df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:

@@ -113,5 +113,5 @@ def fit(windows: DataFrame, cfg: EngineConfig, names: tuple[str, ...] = vocab.FE
     budget = threshold_budget or cfg.primary_fpr_budget
     level2 = conformal_thresholds(cal.withColumn("hybrid", hybrid), (budget,), (), "hybrid", y).first()
     level1 = early_warning_threshold(raw, cfg.early_warning_budget, "early", label=y, valid=valid).first()
-    return ForecastModel(scaler, bins, detector, now, forecast, counts, float(level2["threshold"]) if level2 else 0.5,
-                         float(level1["threshold"]) if level1 else 1.1, platt[0], platt[1])
+    early_threshold = 1.1 if level1["threshold"] is None else float(level1["threshold"])  # without quiet rows: never
+    return ForecastModel(scaler, bins, detector, now, forecast, counts, float(level2["threshold"]), early_threshold, platt[0], platt[1])
