@@ -179,8 +179,8 @@ def paired(spark, sf_dir):
 # ------------------------------------------------------------------ thresholds
 _BUDGETS = "select unnest([0.005::double, 0.01::double, 0.02::double, 0.05::double]) as budget"
 _NEG = """select score, row_number() over (order by score) as r, count(*) over () as n from cal where not y"""
-_THR = ("thr", f"""select budget, min(score) as threshold, min(n) as n from neg cross join budgets
-where r >= least(greatest(ceil((n + 1) * (1.0::double - budget)), 1), n) group by budget""")
+_THR = ("thr", f"""select budget, coalesce(min(score) filter (r >= least(greatest(ceil((n + 1) * (1.0::double - budget)), 1), n)),
+  0.5::double) as threshold, coalesce(min(n), 0) as n from budgets left join neg on true group by budget""")
 
 
 @query("conformal_threshold", with_parts(
@@ -194,9 +194,9 @@ def conformal(spark, sf_dir):
 select {r6('budget', 'budget')}, {r6('threshold', 'threshold')}, {r6('c.f', 'calibration_fpr')}, {r6('t.f', 'test_fpr')},
   {r6('t.r', 'test_recall')}, {r6('t.f', 'test_alerts_per_hour')}, {r6('t.f - budget', 'coverage_gap')},
   t.f <= budget * 1.5::double as guarantee_held
-from (select budget, threshold, avg((score >= threshold)::int) filter (not y) as f from cal cross join thr group by 1, 2) c
-join (select budget, avg((score >= threshold)::int) filter (not y) as f,
-        avg((score >= threshold)::int) filter (y) as r from test cross join thr group by 1) t using (budget)""",
+from (select budget, threshold, coalesce(avg((score >= threshold)::int) filter (not y), 0) as f from cal cross join thr group by 1, 2) c
+join (select budget, coalesce(avg((score >= threshold)::int) filter (not y), 0) as f,
+        coalesce(avg((score >= threshold)::int) filter (y), 0) as r from test cross join thr group by 1) t using (budget)""",
                                      ("budgets", _BUDGETS), ("neg", _NEG), _THR))
 def coverage(spark, sf_dir):
     return ca.coverage_report(part(spark, sf_dir, "calibration"), part(spark, sf_dir, "test"),
