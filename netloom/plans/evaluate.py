@@ -90,7 +90,7 @@ def two_level_report(scored: DataFrame, cfg: EngineConfig, budgets: Sequence[flo
     return hours.join(rates, "budget", "left").join(warned, "budget", "left").select(
         "budget", "early_threshold", F.coalesce("onsets", F.lit(0)).alias("onsets"),
         F.coalesce("warned", F.lit(0)).alias("warned"), "false_rate", "hit_rate",
-        (F.col("_false") / F.col("hours")).alias("false_per_hour"))
+        (F.coalesce("_false", F.lit(0.0)) / F.col("hours")).alias("false_per_hour"))
 
 
 def fixed_threshold_report(rows: DataFrame, threshold: float, score: str = "score", label: str = "y") -> DataFrame:
