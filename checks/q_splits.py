@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.q_states import KEYS, labelled
-from checks.registry import CFG, big, flows, query, r6, stored
+from checks.registry import CFG, big, query, r6, stored, stored_flows
 from checks.sqltext import with_parts
 from netloom import vocab
 from netloom.operators import dynamics as dy
@@ -104,7 +104,7 @@ NAMES = vocab.FEATURE_NAMES
 def state_table(spark, sf_dir):
     """The whole windows table: all features (in single precision, as tables of states are stored) and masks, split."""
     def build():
-        windows = sp.temporal_split(build_windows(flows(spark, sf_dir), CFG), CFG, CFG.primary_horizon)
+        windows = sp.temporal_split(build_windows(stored_flows(spark, sf_dir), CFG), CFG, CFG.primary_horizon)
         return windows.withColumns({n: F.col(n).cast("float").cast("double") for n in NAMES})
     return stored(spark, sf_dir, "state", build)
 

@@ -87,6 +87,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     return spark.read.parquet(_STORED[key])
 
 
+def stored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical flows as a table, as a build reads them many times: the projection is computed once."""
+    return stored(spark, sf_dir, "flows", lambda: flows(spark, sf_dir))
+
+
 # The data has two decimals, so means over 2^k rows end exactly on a rounding border, where the
 # order of a floating-point sum decides. Both engines shift by this much before rounding.
 OFF_BORDER = 1.7e-8

@@ -34,7 +34,8 @@ def _at_most(borders: Column, x: Column) -> Column:
         return F.when(s["lo"] >= s["hi"], s).when(right, F.struct((middle + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
             F.struct(s["lo"].alias("lo"), middle.alias("hi")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(MAX_BORDERS.bit_length())), state, step, lambda s: s["lo"])
+    halvings = F.greatest(F.ceil(F.log2(F.size(borders) + 1)).cast("int"), F.lit(1))
+    return F.aggregate(F.sequence(F.lit(1), halvings), state, step, lambda s: s["lo"])
 
 
 def row_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = BLOCK_ROWS, out: str = "_block") -> DataFrame:
@@ -48,9 +49,9 @@ def row_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: i
     """
     held = F.xxhash64(*[F.col(k) for k in keys]).alias("_held")  # keys that share a hash share borders: still exact
     spot = F.struct(*[F.col(c) for c in order])
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    size = F.greatest(F.lit(rows), F.ceil(total / MAX_BORDERS))
-    many = df.select(held).groupBy("_held").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size).select(
+    sizes = df.select(held).groupBy("_held").agg(F.count(F.lit(1)).alias("_n"))
+    size = F.greatest(F.lit(rows), F.ceil(sizes.agg(F.sum("_n")).scalar() / MAX_BORDERS))
+    many = sizes.filter(F.col("_n") > size).select(
         "_held", F.greatest(F.floor(size / POINTS), F.lit(1)).alias("_rate"))
     picked = df.select(held, spot.alias("_spot")).join(F.broadcast(many), "_held").filter(
         F.pmod(F.xxhash64("_spot", F.lit(1)), F.col("_rate")) == 0)
@@ -76,17 +77,16 @@ def look_back(
     them still finds exactly its predecessors. Keys of one block, nearly all, do not take part in it.
     """
     inner = W.partitionBy(*keys, "_block").orderBy(*order)
-    whole_block = W.partitionBy(*keys, "_block")
     ranked = row_blocks(df, keys, order, rows).select(
         "*",
         F.row_number().over(inner).alias("_rn"),
-        F.count(F.lit(1)).over(whole_block).alias("_size"),
+        F.lead(F.lit(1), depth).over(inner).isNull().alias("_last"),
         *[c.alias(n) for n, c in values(inner).items()],
     )
-    helper = ("_block", "_rn", "_size")
+    helper = ("_block", "_rn", "_last")
     done = (F.col("_rn") > depth) | (F.col("_block") == 0)
     deep = ranked.filter(done).drop(*helper)
-    edge = ranked.filter((~done | (F.col("_rn") > F.col("_size") - depth)) & F.col("_cut")).drop("_cut")
+    edge = ranked.filter((~done | F.col("_last")) & F.col("_cut")).drop("_cut")
     outer = W.partitionBy(*keys).orderBy(*order)
     names = list(values(outer))
     finished = (
