@@ -426,7 +426,7 @@ select capture, {big('count(*)', 'windows')}, {big('count(*) filter (is_onset)',
 def manifest(spark, sf_dir):
     from netloom.operators.reports import build_manifest
     path = scratch_path(spark, "flows")
-    st.write_partitioned(flows(spark, sf_dir).select("capture", "dataset", "ts").coalesce(1), path)
+    st.write_partitioned(flows(spark, sf_dir).select("capture", "dataset", "ts").repartition("capture"), path)
     raw = st.raw_files(spark.read.parquet(path))
     out = build_manifest(stored_split(spark, sf_dir), raw)
     return out.select("capture", "windows", "onsets", "raw_files", (F.col("raw_bytes") > 0).alias("has_size"))
