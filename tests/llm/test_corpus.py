@@ -151,6 +151,42 @@ def test_every_pair_of_two_documents_with_a_passage_is_proposed(make_docs):
     assert {r.doc_id for r in passages.passages(make_docs(rows)).collect()} == has
 
 
+def test_fuzzy_passage_whose_runs_lie_in_smaller_documents(make_docs, prose):
+    shared = prose(80, 700).split()
+    fuzzy = [w if i % 9 else f"other{i}" for i, w in enumerate(shared)]
+    other = [prose(60, 710 + i) for i in range(4)]
+    parts = [f"{other[i]} {' '.join(shared[i * 20:i * 20 + 25])} z{i}" for i in range(4)]
+    rows = [*parts, f"{prose(60, 720)} {' '.join(shared)}", f"{prose(60, 730)} y {' '.join(fuzzy)}", " ".join(other)]
+    found = passages.passages(make_docs(rows)).collect()
+    assert {(r.doc_id, r.partner_id) for r in found if r.doc_id in (4, 5)} == {(4, 5), (5, 4)}
+    assert {r.class_id for r in found if r.doc_id in (4, 5)} == {4}
+
+
+def test_passages_of_all_pairs_against_brute_force(make_docs, prose):
+    draw = random.Random(11)
+    base = [prose(draw.randint(60, 90), 4000 + i).split() for i in range(4)]
+
+    def version(words):
+        start = draw.choice([0, 0, 10, 20])
+        return [f"v{draw.random()}" if draw.random() < 0.07 else w for w in words[start:start + draw.randint(20, 90)]]
+
+    rows = [" ".join(w for _ in range(draw.randint(1, 2)) for w in [f"n{draw.random()}", *version(draw.choice(base))]) for _ in range(60)]
+    hashes = [neardup.word_hashes(r.encode()) for r in rows]
+    found = passages.passages(make_docs(rows)).collect()
+    classes = {r.doc_id: r.class_id for r in found}
+    listed = {(r.doc_id, r.partner_id) for r in found}
+    holds, behind = 0, 0
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if passages.shared(hashes[b], hashes[a]):
+            holds += 1
+            behind += (a, b) not in listed
+            assert classes[a] == classes[b]
+            assert (a, b) in listed or any((a, r) in listed and (b, r) in listed for r in range(a))
+        else:
+            assert (a, b) not in listed
+    assert holds > 100 and 0 < behind < holds
+
+
 def covered_words(found, doc_id) -> set[int]:
     return {i for r in found if r.doc_id == doc_id for i in range(r.start, r.end)}
 
