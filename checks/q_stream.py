@@ -15,6 +15,7 @@ from netloom.streaming import windows as sw
 from netloom.streaming.run import run_available
 
 WIN = big("win", '"window"')
+FILES = 8  # of a time range, and of a micro-batch
 
 
 def _time_files(spark, df, order: str, parts: int = 3):
@@ -26,7 +27,7 @@ def _time_files(spark, df, order: str, parts: int = 3):
         here = F.col(order) >= low + i * step
         if i < parts - 1:
             here = here & (F.col(order) < low + (i + 1) * step)
-        df.filter(here).coalesce(2).write.mode("append").parquet(path)
+        df.filter(here).repartition(FILES).write.mode("append").parquet(path)
     return path, df.schema
 
 
@@ -47,7 +48,7 @@ def _run(spark, sf_dir, transform, stateful=False, closing=True):
     if closing:
         # A later batch: written afterwards, so the file source picks it up last.
         _closing(df).coalesce(1).write.mode("append").parquet(path)
-    return run_available(spark, path, schema, transform, stateful)
+    return run_available(spark, path, schema, transform, stateful, FILES)
 
 
 def _run_scored(spark, df, transform):
@@ -57,7 +58,7 @@ def _run_scored(spark, df, transform):
         "session_key": F.lit("end"), "window": F.col("window") + 40})
     end.coalesce(1).write.mode("append").parquet(path)
     time = F.timestamp_seconds(F.col("window") * int(CFG.window_seconds))
-    return run_available(spark, path, schema, lambda s: transform(s.withColumn("event_time", time).withWatermark("event_time", "1 day")), True)
+    return run_available(spark, path, schema, lambda s: transform(s.withColumn("event_time", time).withWatermark("event_time", "1 day")), True, FILES)
 
 
 @query("stream_states", with_parts(f"""

@@ -1,7 +1,8 @@
 """Keyed state over a stream: new pairs, beacons, hysteresis and the adaptive threshold.
 
 Every processor works in event time. Rows wait in map state, one entry per window, until an event-time timer says that the
-watermark has passed the window's end; then the key's closed windows are processed in time order. So results do not
+watermark has passed the end of the key's first waiting window; then all its closed windows are processed in time order. A key has
+a list of its waiting windows and one timer for the first, so no timer walks through all of them. Results do not
 depend on the order of arrival within the watermark's delay, and equal the batch operators. Rows behind the watermark
 never reach a processor: Spark drops and counts them (``run.StreamRun.late_rows``).
 
@@ -45,43 +46,60 @@ class ClosedWindows(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "window bigint", ", ".join(f"{c} array<{t}>" for c, t in self.columns.items()))
+        self.open = handle.getValueState("open", "windows array<bigint>")
         self.known = handle.getValueState("known", ", ".join(f"{c} {t}" for c, t in {"window": "bigint", **self.memory}.items()))
 
     def _end(self, window: int) -> int:
         return (window + 1) * self.slot_ms
 
+    def _open(self) -> list[int]:
+        return sorted(self.open.get()[0]) if self.open.exists() else []
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self._open()
+        held = set(before)
         for pdf in rows:
-            for window, part in pdf.groupby("window", sort=False):
-                at, new = (int(window),), [part[c].tolist() for c in self.columns]
-                if self.waiting.containsKey(at):
+            of = pdf["window"].to_numpy()
+            order = np.argsort(of, kind="stable")
+            windows, start = np.unique(of[order], return_index=True)
+            columns = [pdf[c].to_numpy()[order].tolist() for c in self.columns]
+            for window, i, j in zip(windows.tolist(), start.tolist(), [*start[1:].tolist(), len(of)]):
+                at, new = (window,), [c[i:j] for c in columns]
+                if window in held:
                     new = [[*old, *more] for old, more in zip(self.waiting.getValue(at), new)]
-                else:
-                    self.handle.registerTimer(self._end(int(window)))
+                held.add(window)
                 self.waiting.updateValue(at, tuple(new))
+        if len(held) > len(before):
+            self.open.update((sorted(held),))
+            if not before or min(held) < before[0]:
+                self.handle.registerTimer(self._end(min(held)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        open_, closed = 0, []
-        for (window,) in list(self.waiting.keys()):
-            if self._end(window) <= now:
-                closed.append(window)
-            else:
-                open_ += 1
+        held = self._open()
+        closed = [window for window in held if self._end(window) <= now]
         memory = self.known.get() if self.known.exists() else None
         if not closed:
-            if memory is not None and not open_ and self._end(memory[0]) + self.forget_ms <= now:
+            if memory is not None and not held and self._end(memory[0]) + self.forget_ms <= now:
                 self.known.clear()
             return
-        closed.sort()
-        parts = []
+        columns, windows = [[] for _ in self.columns], []
         for window in closed:
-            parts.append(pd.DataFrame(dict(zip(self.columns, self.waiting.getValue((window,))))).assign(window=window))
+            values = self.waiting.getValue((window,))
             self.waiting.removeKey((window,))
+            for column, more in zip(columns, values):
+                column.extend(more)
+            windows += [window] * len(values[0])
+        if len(closed) < len(held):
+            self.open.update((held[len(closed):],))
+            self.handle.registerTimer(self._end(held[len(closed)]))
+        else:
+            self.open.clear()
+        rows = pd.DataFrame({**dict(zip(self.columns, columns)), "window": windows})
         if memory is not None and self._end(memory[0]) + self.forget_ms <= self._end(closed[0] - 1):
             memory = None  # the timer that would have cleared it and these windows came in one batch
-        out, memory = self.advance(key, pd.concat(parts, ignore_index=True), memory[1:] if memory else None)
+        out, memory = self.advance(key, rows, memory[1:] if memory else None)
         self.known.update((closed[-1], *memory))
         self.handle.registerTimer(self._end(closed[-1]) + self.forget_ms)
         yield out

@@ -4,6 +4,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,50 @@ def test_late_rows_are_counted(spark, folder):
     assert {r.window for r in run.rows.collect()} == {0, 40}
 
 
+def test_many_waiting_windows_need_few_calls():
+    """A channel with rows in many windows: one timer for the first, and no walk through all waiting ones."""
+    class State(dict):
+        def get(self):
+            return self["v"]
+
+        def exists(self):
+            return "v" in self
+
+        def update(self, value):
+            self["v"] = value
+
+        def keys(self):
+            raise AssertionError("walks through all waiting windows")
+
+        containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getMapState(self, *_):
+            return State()
+
+        getValueState = getMapState
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Clock:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+    beacons, handle = ss.Beacons(CFG), Handle()
+    beacons.init(handle)
+    rows = pd.DataFrame([r[4:] for r in pair_flows(range(0, 2000, 5))], columns=["window", "ts", "te", "flow_id"])
+    list(beacons.handleInputRows(("c", "a", "b", 80), iter([rows.iloc[200:], rows.iloc[:200]]), Clock(0)))
+    assert handle.timers == [10_000]
+    got = [out for at in (5_000, 1_000_000, 10_000_000) for out in beacons.handleExpiredTimer(("c", "a", "b", 80), Clock(at), Clock(at))]
+    assert [len(x) for x in got] == [200, 200] and len(handle.timers) == 4
+    want = ss.Beacons(CFG).advance(("c", "a", "b", 80), rows, None)[0]
+    assert pd.concat(got, ignore_index=True).equals(want)
+
+
 def test_goes_on_from_its_checkpoint(spark, folder):
     path, place = folder
     before = spark.conf.get(PROVIDER, None)
