@@ -8,6 +8,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from netloom.llm import bpe, lines, mixing, neardup, passages, pii, quality, secrets, topk, toxicity
-from netloom.llm.common import join_small
+from netloom.llm.common import join_small, short_shuffles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -91,6 +92,25 @@ def test_passages_of_many_copies_grow_linearly(make_docs, prose):
     assert found.count() <= 2 * 2 * 60
 
 
+def test_stored_passages_leave_no_shuffle_files(spark, make_docs, prose):
+    def left():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(i).getName() for i in range(held.size()) if held.apply(i).getName().startswith("shuffle_")}
+
+    docs = make_docs([f"{prose(20, i)} {prose(70, 60)}" for i in range(20)]).select("doc_id", "text")
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", left()
+    was = spark.conf.get(key)
+    with short_shuffles(spark):
+        met = passages.repeated_runs(docs, 2000)
+        assert met.select("doc").distinct().count() == 20
+    for _ in range(50):
+        if not left() - before:
+            break
+        time.sleep(0.1)
+    assert not left() - before
+    assert spark.conf.get(key) == was
+
+
 def test_chains_score_like_all_pairs():
     draw = np.random.default_rng(3)
     for _ in range(40):
