@@ -53,33 +53,32 @@ def packet_statistics(decoded: DataFrame, keys: Sequence[str] = ("flow_key",)) -
 
     Different TTLs are counted exactly: a TTL is one byte, so four longs have a bit for each.
 
-    Repeated payload-carrying sequence numbers are counted on (flow, sequence) first, so a flow
-    with a third of all packets is spread over its sequence numbers before the flow-level sum.
+    Repeated payload-carrying sequence numbers are counted against the different ones, which alone go
+    through a (flow, sequence) grouping: a flow with a third of all packets is spread over its sequence
+    numbers, and such a group is two numbers wide. All else is summed by flow before the shuffle.
     """
     payload = F.coalesce("payload_size", F.lit(0))
     carried = F.when(payload > 0, F.col("tcp_seq"))
     edges = vocab.PAYLOAD_EDGES
-    counters = {
-        "packets": F.lit(1), "frag": F.coalesce("fragmented", F.lit(0)),
-        "win_zero_count": (F.col("tcp_window") == 0).cast("int"),
+    window, ttl = F.col("tcp_window"), F.col("ttl")
+    sums = {
+        "packets": F.lit(1), "frag": F.coalesce("fragmented", F.lit(0)), "win_zero_count": (window == 0).cast("int"),
         **{f"payload_hist_{i}": ((payload >= edges[i]) & (payload < edges[i + 1])).cast("int") for i in range(8)},
     }
-    cells = decoded.groupBy(*keys, carried.alias("_seq"), "ttl").agg(
-        F.count(F.lit(1)).alias("_n"), F.count("tcp_window").alias("_wn"),
-        F.sum("tcp_window").alias("_w"), F.sum(F.pow(F.col("tcp_window").cast("double"), F.lit(2.0))).alias("_w2"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in counters.items()])
-    by_seq = cells.groupBy(*keys, "_seq").agg(
-        *[F.coalesce(F.bit_or(F.when(F.shiftright("ttl", 6) == i, F.expr("shiftleft(1L, ttl & 63)"))), F.lit(0)).alias(f"_ttls{i}")
-          for i in range(4)],
-        F.sum(F.when(F.col("ttl").isNotNull(), F.col("_n"))).alias("_tn"),
-        F.sum(F.col("ttl") * F.col("_n")).alias("_t"),
-        F.sum(F.col("ttl").cast("double") * F.col("ttl") * F.col("_n")).alias("_t2"),
-        *[F.sum(n).alias(n) for n in ("_n", "_wn", "_w", "_w2", *counters)])
-    repeats = F.when(F.col("_seq").isNotNull(), F.col("_n") - 1).otherwise(0)
-    total = by_seq.groupBy(*keys).agg(
-        sum((F.bit_count(F.bit_or(f"_ttls{i}")) for i in range(1, 4)), F.bit_count(F.bit_or("_ttls0"))).alias("_kinds"),
-        F.sum(repeats).alias("retrans_count"),
-        *[F.sum(n).alias(n) for n in ("_tn", "_t", "_t2", "_wn", "_w", "_w2", *counters)])
+    masks = [F.when(F.shiftright("ttl", 6) == i, F.expr("shiftleft(1L, ttl & 63)")) for i in range(4)]
+    flows = decoded.groupBy(*keys).agg(
+        *[F.coalesce(F.bit_or(m), F.lit(0)).alias(f"_ttls{i}") for i, m in enumerate(masks)],
+        F.count("ttl").alias("_tn"), F.sum("ttl").alias("_t"), F.sum(ttl.cast("double") * ttl).alias("_t2"),
+        F.count("tcp_window").alias("_wn"), F.sum("tcp_window").alias("_w"), F.sum(F.pow(window.cast("double"), F.lit(2.0))).alias("_w2"),
+        F.count(carried).alias("_carried"), F.lit(0).cast("bigint").alias("_seqs"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()])
+    # Packets without a number stay in: a filter on decoded fields would run the decoding in itself again.
+    different = decoded.select(*keys, carried.alias("_seq")).distinct().groupBy(*keys).agg(F.count("_seq").alias("_seqs"))
+    # A union instead of a join: keys may be null.
+    total = flows.unionByName(different, allowMissingColumns=True).groupBy(*keys).agg(
+        sum((F.bit_count(F.max(f"_ttls{i}")) for i in range(1, 4)), F.bit_count(F.max("_ttls0"))).alias("_kinds"),
+        (F.max("_carried") - F.sum("_seqs")).alias("retrans_count"),
+        *[F.max(n).alias(n) for n in ("_tn", "_t", "_t2", "_wn", "_w", "_w2", *sums)])
 
     def variance(n: str, s: str, s2: str) -> Column:
         mean = F.col(s) / F.col(n)

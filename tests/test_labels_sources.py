@@ -1,9 +1,12 @@
 """Label vocabularies, parsers and CSV readers on small hand-written inputs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions import scalars as sc
+from netloom.operators import knowledge as kb
 from netloom.operators import labels as lb
 from netloom.sources import csv_flows as cf
 from netloom.sources import packets as pk
@@ -162,6 +165,50 @@ def test_packet_statistics(spark):
     assert (r["payload_hist_0"], r["payload_hist_1"], r["payload_hist_7"]) == (1.0, 2.0, 1.0)
 
 
+def grouped_columns(df):
+    """Widths of the rows that the plan's hash aggregates keep, by their numbers of keys."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return [(len(k.split(", ")), len(f.split(", ")) if f else 0)
+            for k, f in re.findall(r"HashAggregate\(keys=\[(.+?)\], functions=\[(.*?)\], output", plan)]
+
+
+def test_packets_by_sequence_number_are_narrow(spark):
+    schema = "flow_key string, ttl int, fragmented int, tcp_window bigint, tcp_seq bigint, payload_size int"
+    rows = [(k, 60 + i % 3, i % 2, i * 10, i % 5 if i % 7 else None, i % 4 * 30) for k in ("f", "g", None) for i in range(40)]
+    out = pk.packet_statistics(spark.createDataFrame(rows, schema))
+    wide = [functions for keys, functions in grouped_columns(out) if keys > 1]
+    assert wide and max(wide) == 0
+    found = {r["flow_key"]: r for r in out.collect()}
+    carried = [r[4] for r in rows if r[0] == "f" and r[4] is not None and r[5] > 0]
+    assert set(found) == {"f", "g", None}
+    assert all(r["retrans_count"] == len(carried) - len(set(carried)) and r["ttl_unique"] == 3 for r in found.values())
+
+
+def test_mitigations_do_not_sort_relationships(spark):
+    ref = "array<struct<source_name: string, external_id: string, url: string>>"
+    schema = ("id string, type string, revoked boolean, x_mitre_deprecated boolean, name string, description string, "
+              f"relationship_type string, source_ref string, target_ref string, external_references {ref}")
+
+    def obj(key, kind, name, external, revoked=False):
+        return (key, kind, revoked, None, name, None, None, None, None, [("mitre-attack", external, "u")])
+
+    def link(key, source, target):
+        return (key, "relationship", None, None, None, None, "mitigates", source, target, None)
+
+    rows = [obj("p1", "attack-pattern", "one", "T1"), obj("p2", "attack-pattern", "two", "T2"), obj("p3", "attack-pattern", "x", "T3", True),
+            obj("s1", "course-of-action", "b", "M1"), obj("s2", "course-of-action", "a", "M1"), obj("s3", "course-of-action", "c", "X1"),
+            link("r1", "s1", "p1"), link("r2", "s1", "p1"), link("r3", "s2", "p1"), link("r4", "s1", "p2"), link("r5", "s2", "p3"), link("r6", "s3", "p1")]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = kb.mitigations(spark.createDataFrame(rows, schema))
+        assert sorted(map(tuple, out.collect())) == [("T1", "M1", "a"), ("T2", "M1", "b")]
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in plan and not re.search(r"SortAggregate\(key=\[technique", plan)
+
+
 def test_headers_take_one_task_per_file(spark, tmp_path):
     """However small the splits are: a large file is opened once, and a small one is not packed with others."""
     for i, rows in enumerate((3000, 1, 40)):
