@@ -20,21 +20,24 @@ def _external(field: str):
     return F.try_element_at(refs, F.lit(1))[field]
 
 
-def live_objects(objects: DataFrame) -> DataFrame:
-    """Objects with their external id; revoked and deprecated ones dropped, ids kept once."""
+def live_objects(objects: DataFrame, kind: str) -> DataFrame:
+    """Objects of a type with their external id; revoked and deprecated ones dropped, ids kept once.
+
+    Other types go first: relationships are most of a bundle, and an id names its type.
+    """
     flag = [~F.coalesce(F.col(c), F.lit(False)) for c in ("revoked", "x_mitre_deprecated")]
     first_line = F.element_at(F.split(F.coalesce("description", F.lit("")), "\n"), 1)
-    return objects.filter(flag[0] & flag[1]).select(
-        "id", "type", _external("external_id").alias("external_id"), _external("url").alias("url"), "name",
+    return objects.filter(flag[0] & flag[1] & (F.col("type") == kind)).select(
+        "id", _external("external_id").alias("external_id"), _external("url").alias("url"), "name",
         first_line.alias("description")).dropDuplicates(["id"])
 
 
 def tactics(objects: DataFrame) -> DataFrame:
-    return live_objects(objects).filter("type = 'x-mitre-tactic'").select("external_id", "name", "url", "description")
+    return live_objects(objects, "x-mitre-tactic").select("external_id", "name", "url", "description")
 
 
 def techniques(objects: DataFrame) -> DataFrame:
-    return live_objects(objects).filter("type = 'attack-pattern'").select(
+    return live_objects(objects, "attack-pattern").select(
         "external_id", "name", "url", "description", F.col("id").alias("stix_id"))
 
 
@@ -42,11 +45,17 @@ def mitigations(objects: DataFrame) -> DataFrame:
     """(technique, mitigation) pairs through "mitigates" relationships, each once."""
     links = objects.filter("type = 'relationship' and relationship_type = 'mitigates'").select(
         "source_ref", "target_ref")
-    source = live_objects(objects).filter("type = 'course-of-action' and external_id like 'M%'").select(
+    source = live_objects(objects, "course-of-action").filter("external_id like 'M%'").select(
         F.col("id").alias("source_ref"), F.col("external_id").alias("mitigation"), F.col("name").alias("mitigation_name"))
     target = techniques(objects).select(F.col("stix_id").alias("target_ref"), F.col("external_id").alias("technique"))
-    return links.join(target, "target_ref").join(source, "source_ref").select(
-        "technique", "mitigation", "mitigation_name").dropDuplicates(["technique", "mitigation"])
+    order = W.partitionBy("mitigation").orderBy("mitigation_name", "source_ref")
+    source = source.withColumn("_nth", F.row_number().over(order))
+    # Objects are hashed and relationships pass by unsorted; a pair carries the number of its first name, which joins last.
+    pairs = (links.join(target.hint("shuffle_hash"), "target_ref")
+             .join(source.select("source_ref", "mitigation", "_nth").hint("shuffle_hash"), "source_ref")
+             .groupBy("technique", "mitigation").agg(F.min("_nth").alias("_nth")))
+    names = source.select("mitigation", "_nth", "mitigation_name")
+    return pairs.join(names.hint("shuffle_hash"), ["mitigation", "_nth"], "left").select("technique", "mitigation", "mitigation_name")
 
 
 def technique_lookup(wanted: DataFrame, known: DataFrame) -> DataFrame:
