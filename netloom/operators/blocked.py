@@ -25,7 +25,7 @@ POINTS = 64
 
 
 def _at_most(borders: Column, x: Column) -> Column:
-    """Number of sorted ``borders`` that do not exceed ``x``, by halving."""
+    """Number of sorted ``borders`` that do not exceed ``x``, by halving: the plain form of ``_count_borders`` for one expression."""
     state = F.struct(F.lit(0).alias("lo"), F.size(borders).alias("hi"))
 
     def step(s: Column, _: Column) -> Column:
@@ -38,6 +38,18 @@ def _at_most(borders: Column, x: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), halvings), state, step, lambda s: s["lo"])
 
 
+def _count_borders(df: DataFrame, out: str) -> DataFrame:
+    """Add the number of sorted ``_borders`` that do not exceed ``_spot``, by halving (0 where there are none).
+
+    One plain expression per halving, so that all of it is generated code; a higher-order function would be interpreted.
+    """
+    df = df.withColumn(out, F.lit(0))
+    for step in reversed([1 << i for i in range(MAX_BORDERS.bit_length() + 1)]):  # hash samples may hold twice as many
+        below = F.get("_borders", F.col(out) + (step - 1)) <= F.col("_spot")
+        df = df.withColumn(out, F.when(below, F.col(out) + step).otherwise(F.col(out)))
+    return df
+
+
 def row_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = BLOCK_ROWS, out: str = "_block") -> DataFrame:
     """Add a block number that does not decrease along ``order`` and holds about ``rows`` rows of a key.
 
@@ -57,9 +69,8 @@ def row_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: i
         F.pmod(F.xxhash64("_spot", F.lit(1)), F.col("_rate")) == 0)
     points = picked.groupBy("_held").agg(F.sort_array(F.collect_list("_spot")).alias("_points"))
     borders = points.select("_held", F.filter("_points", lambda x, i: (i + 1) % POINTS == 0).alias("_borders"))
-    found = df.withColumn("_held", held).join(F.broadcast(borders), "_held", "left")
-    block = F.when(F.col("_borders").isNull(), F.lit(0)).otherwise(_at_most(F.col("_borders"), spot))
-    return found.withColumns({out: block, "_cut": F.col("_borders").isNotNull()}).drop("_held", "_borders")
+    found = df.withColumns({"_held": held, "_spot": spot}).join(F.broadcast(borders), "_held", "left")
+    return _count_borders(found, out).withColumn("_cut", F.col("_borders").isNotNull()).drop("_held", "_borders", "_spot")
 
 
 def look_back(
@@ -75,18 +86,22 @@ def look_back(
     A row with at least ``depth`` rows before it in its own block needs nothing else. The others, and the
     last ``depth`` rows of every block, form a small table (2 * depth rows per border) in which each of
     them still finds exactly its predecessors. Keys of one block, nearly all, do not take part in it.
+
+    Both branches read the same columns under the same filters, so Spark shuffles the blocks once: keys that are not cut
+    are block -1 instead of carrying a flag, and no condition on the block alone can move below the shuffle.
     """
     inner = W.partitionBy(*keys, "_block").orderBy(*order)
-    ranked = row_blocks(df, keys, order, rows).select(
+    blocks = row_blocks(df, keys, order, rows)
+    ranked = blocks.withColumn("_block", F.when(F.col("_cut"), F.col("_block")).otherwise(-1)).drop("_cut").select(
         "*",
         F.row_number().over(inner).alias("_rn"),
         F.lead(F.lit(1), depth).over(inner).isNull().alias("_last"),
         *[c.alias(n) for n, c in values(inner).items()],
     )
     helper = ("_block", "_rn", "_last")
-    done = (F.col("_rn") > depth) | (F.col("_block") == 0)
-    deep = ranked.filter(done).drop(*helper)
-    edge = ranked.filter((~done | F.col("_last")) & F.col("_cut")).drop("_cut")
+    block = F.col("_block")
+    deep = ranked.filter((F.col("_rn") > depth) | (block <= 0)).drop(*helper)
+    edge = ranked.filter(((F.col("_rn") <= depth) & (block > 0)) | (F.col("_last") & (block >= 0)))
     outer = W.partitionBy(*keys).orderBy(*order)
     names = list(values(outer))
     finished = (
@@ -95,7 +110,7 @@ def look_back(
         .filter((F.col("_rn") <= depth) & (F.col("_block") > 0))
         .drop(*helper)
     )
-    return deep.drop("_cut").unionByName(finished)
+    return deep.unionByName(finished)
 
 
 def with_halo(df: DataFrame, position: Column, block: int, before: int = 0, after: int = 0) -> DataFrame:

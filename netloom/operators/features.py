@@ -147,7 +147,7 @@ def cell_features(flows: DataFrame, cfg: EngineConfig, series: Sequence[str] = S
     def only(condition: Column) -> Column:
         return F.when(condition, c("n")).otherwise(zero)
 
-    records = F.array_compact(F.array(
+    records = F.array(
         record("pair", c("src_ip"), c("dst_ip"), n=c("n"), half_open=c("half_open"), icmp=c("icmp"),
                auth=only(port.isin(*vocab.AUTH_PORTS)), web=only(port.isin(*vocab.WEB_PORTS)),
                dns=only(port == 53), internal=both.cast("bigint")),
@@ -156,9 +156,10 @@ def cell_features(flows: DataFrame, cfg: EngineConfig, series: Sequence[str] = S
         record("port", port, n=c("n")),
         F.when(upload, record("host", c("src_ip"), sent=c("fwd"), got=c("bwd"), long_sent=c("long_fwd")))
         .when(download, record("host", c("dst_ip"), sent=c("bwd"), got=c("fwd"))),
-    ))
+    )
     keys = [*series, "window"]
-    parts = cell_counts(flows, cfg, series).select(*keys, F.inline(records))
+    # Cells without a host record leave a row of NULLs; dropping it afterwards keeps all of this generated code.
+    parts = cell_counts(flows, cfg, series).select(*keys, F.inline(records)).filter(c("kind").isNotNull())
     totals = ("n", "half_open", "icmp", "auth", "web", "dns", "internal", "sent", "got", "long_sent")
     level = parts.groupBy(*keys, "kind", "k1", "k2").agg(*[F.sum(x).alias(x) for x in totals])
 
