@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from netloom import vocab
 from netloom.functions.scalars import bin_index, clip, compress
-from netloom.operators.ranking import quantiles
+from netloom.operators.ranking import quantiles, quantiles_of_counts, value_counts
+from netloom.session import materialise, release
 
 CLIP = 10.0
 EPS = 1e-9
@@ -47,10 +48,15 @@ def fit_scaler(fit: DataFrame, names: Sequence[str] = vocab.FEATURE_NAMES) -> Da
         F.col("feature").isin(*vocab.LOG_FEATURES).alias("is_log"))
 
 
-def scaler_row(scaler: DataFrame) -> Column:
-    """The scaler as one ``map<feature, struct>`` value for expressions on other tables."""
+def scaler_row(scaler: DataFrame, names: Sequence[str]) -> Column:
+    """The scaler as one array of structs, in the order of ``names``, for expressions on other tables."""
     pairs = F.collect_list(F.struct("feature", F.struct("center", "scale")))
-    return scaler.agg(F.map_from_entries(pairs).alias("m")).scalar()
+    return _in_order(scaler.agg(F.map_from_entries(pairs).alias("m")), "m", names).scalar()
+
+
+def _in_order(df: DataFrame, column: str, names: Sequence[str], *keep: str) -> DataFrame:
+    """A map by feature as an array by position, looked up once per table or session and not once per window."""
+    return df.select(*keep, F.array(*[F.col(column)[n] for n in names]).alias(column))
 
 
 def scaled(x: Column, is_log: bool, center: Column, scale: Column) -> Column:
@@ -68,23 +74,23 @@ def scale_wide(win: DataFrame, scaler: DataFrame, names: Sequence[str] = vocab.F
     if centers is not None:
         per = centers.groupBy("session_key").agg(
             F.map_from_entries(F.collect_list(F.struct("feature", "center"))).alias("_own"))
-        win = win.join(per, "session_key", "left")
-    win = win.withColumn("_s", scaler_row(scaler))
+        win = win.join(_in_order(per, "_own", names, "session_key"), "session_key", "left")
+    win = win.withColumn("_s", scaler_row(scaler, names))
 
-    def center(n: str) -> Column:
-        shared = F.col("_s")[n]["center"]
-        return shared if centers is None else F.coalesce(F.col("_own")[n], shared)
+    def center(i: int) -> Column:
+        shared = F.col("_s")[i]["center"]
+        return shared if centers is None else F.coalesce(F.col("_own")[i], shared)
 
-    out = win.withColumns({n: scaled(F.col(n), n in vocab.LOG_FEATURES, center(n), F.col("_s")[n]["scale"])
-                           for n in names})
+    out = win.withColumns({n: scaled(F.col(n), n in vocab.LOG_FEATURES, center(i), F.col("_s")[i]["scale"])
+                           for i, n in enumerate(names)})
     return out.drop("_s", "_own")
 
 
 def unscale_wide(win: DataFrame, scaler: DataFrame, names: Sequence[str] = vocab.FEATURE_NAMES) -> DataFrame:
-    win = win.withColumn("_s", scaler_row(scaler))
+    win = win.withColumn("_s", scaler_row(scaler, names))
     return win.withColumns({
-        n: unscaled(F.col(n), n in vocab.LOG_FEATURES, F.col("_s")[n]["center"], F.col("_s")[n]["scale"])
-        for n in names}).drop("_s")
+        n: unscaled(F.col(n), n in vocab.LOG_FEATURES, F.col("_s")[i]["center"], F.col("_s")[i]["scale"])
+        for i, n in enumerate(names)}).drop("_s")
 
 
 def warmup_centers(win: DataFrame, names: Sequence[str] = vocab.FEATURE_NAMES, min_rows: int = 10) -> DataFrame:
@@ -100,21 +106,29 @@ def warmup_centers(win: DataFrame, names: Sequence[str] = vocab.FEATURE_NAMES, m
 
 def fit_bins(long: DataFrame, n_bins: int = 16) -> DataFrame:
     """``bins(feature, edges, centers)`` from scaled long values: unique quantile edges and the
-    median of every bin (the middle of its borders where the bin is empty)."""
+    median of every bin (the middle of its borders where the bin is empty).
+
+    The long rows are read once, into a stored table of value counts; all later passes read that one. The result, one
+    row per feature, is stored too, and the counts are deleted.
+    """
     qs = [i / n_bins for i in range(1, n_bins)]
-    edges = quantiles(long, ["feature"], "value", qs).select("feature", F.array_distinct("q").alias("edges"))
-    placed = long.join(F.broadcast(edges), "feature").withColumn("bin", bin_index(F.col("value"), F.col("edges")))
-    medians = quantiles(placed, ["feature", "bin"], "value", [0.5]).select(
+    counts = materialise(value_counts(long, ["feature"], "value"), "bin-values")
+    edges = quantiles_of_counts(counts, ["feature"], "value", qs).select("feature", F.array_distinct("q").alias("edges"))
+    placed = counts.join(F.broadcast(edges), "feature").withColumn("bin", bin_index(F.col("value"), F.col("edges")))
+    medians = quantiles_of_counts(placed, ["feature", "bin"], "value", [0.5]).select(
         "feature", "bin", F.col("q")[0].alias("median"))
     found = medians.groupBy("feature").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "median"))).alias("found"))
-    ends = long.groupBy("feature").agg((F.min("value") - 1e-6).alias("lo"), (F.max("value") + 1e-6).alias("hi"))
+    ends = counts.groupBy("feature").agg((F.min("value") - 1e-6).alias("lo"), (F.max("value") + 1e-6).alias("hi"))
     borders = F.concat(F.array("lo"), F.col("edges"), F.array("hi"))
     centers = F.transform(
         F.sequence(F.lit(0), F.size("edges")),
         lambda b: F.coalesce(F.col("found")[b], (F.element_at("borders", b + 1) + F.element_at("borders", b + 2)) / 2))
-    return (edges.join(found, "feature").join(ends, "feature").withColumn("borders", borders)
+    bins = (edges.join(found, "feature").join(ends, "feature").withColumn("borders", borders)
             .select("feature", "edges", centers.alias("centers")))
+    stored = materialise(bins, "bins")
+    release(counts)
+    return stored
 
 
 def assign_bins(long: DataFrame, bins: DataFrame) -> DataFrame:

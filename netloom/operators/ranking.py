@@ -87,7 +87,13 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float],
     Every distinct value knows the ranks it covers, so it emits only the requested quantiles it
     takes part in: at most two short rows per quantile and group reach the last aggregate.
     """
-    ranked = cumulate(value_counts(df, by, value), by, value, ["n"], buckets=buckets, rows=rows)
+    return quantiles_of_counts(value_counts(df, by, value), by, value, qs, buckets, rows)
+
+
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], value: str, qs: Sequence[float],
+                        buckets: int = BUCKETS, rows: int = BUCKET_ROWS) -> DataFrame:
+    """``quantiles`` of values that are counted already: one row per (group, value) with its number ``n``."""
+    ranked = cumulate(counts, by, value, ["n"], buckets=buckets, rows=rows)
     points = F.array(*[F.lit(float(q)) for q in qs])
     start, end = F.col("cum_n") - F.col("n"), F.col("cum_n")
 
