@@ -262,6 +262,35 @@ def test_exact_windows_of_all_documents_against_brute_force(make_docs, prose):
     assert {(r.partner_id, r.start, r.end, r.identity) for r in found if r.doc_id in (60, 61)} == {(3, 0, n, 1.0)}
 
 
+def test_long_rows_of_one_word_are_covered_by_the_first(make_docs):
+    rows = [" ".join(["be"] * n) + f" z{n}" for n in (60, 200, 130, 300, 52, 75, 90, 110)]
+    found = passages.passages(make_docs(rows)).collect()
+    for i, n in enumerate((60, 200, 130, 300, 52, 75, 90, 110)):
+        assert covered_words(found, i) >= set(range(n))
+        assert all(r.partner_id == 0 for r in found if r.doc_id == i > 0)
+
+
+def test_pairs_of_rows_of_one_word(make_docs):
+    # No run in common but rows of one word; each row alone is too short for a passage.
+    def text(a, b, *between):
+        return " ".join([f"s{a}{b}"] + ["be"] * a + list(between) + ["an"] * b + [f"t{a}{b}"])
+
+    rows = [text(40, 9, *["x"] * 31), text(30, 28, "y"), text(28, 30, "z"), text(33, 26, "y", "v"), text(9, 45, *["w"] * 40)]
+    hashes = [neardup.word_hashes(r.encode()) for r in rows]
+    has = {(b, a) for a, b in itertools.combinations(range(len(rows)), 2) if passages.shared(hashes[b], hashes[a])}
+    found = {(r.doc_id, r.partner_id) for r in passages.passages(make_docs(rows)).collect()}
+    assert {(2, 1), (3, 1)} <= has and {p for p in found if p[0] > p[1]} <= has
+    assert all(p in found or any((p[0], r) in found and (p[1], r) in found for r in range(p[1])) for p in has)
+
+
+def test_word_hashes_of_many_texts_at_once():
+    texts = ["A b\tc\x0b\x0cd\r\n", "", " ", "x" * 63, "x" * 64, "x" * 65 + " " + "x" * 300, "é É ab\0 ab", "abcdefgh abcdefghi ABCDEFGH"]
+    hashes, first = passages.hashed([t.encode() for t in texts])
+    words = [w for t in texts for w in t.encode().lower().split()]
+    assert np.diff(first).tolist() == [len(t.encode().split()) for t in texts]
+    assert {(hashes[i] == hashes[j]) == (a == b) for i, a in enumerate(words) for j, b in enumerate(words)} == {True}
+
+
 def test_passages_of_repeated_ids(make_docs, spark, prose):
     shared = prose(60, 3000)
     rows = [(1, shared), (1, shared), (2, shared), (2, f"{prose(90, 3001)} {shared}"), (None, shared), (3, prose(90, 3001))]
